@@ -6,22 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwell.llm import oracles
+from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
 from siftwell.llm.ngram_jaccard_join import similar_groups
+from siftwell.llm.sharding import assign_shards, tree
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), tree(16), tree(17))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_embedding_near_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_embedding_near_dedup": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op9_ngram_jaccard_join": oracles.OP9}
