@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import oracles
@@ -12,6 +13,7 @@ from siftwell.llm.common import table
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
 from siftwell.llm.ngram_jaccard_join import similar_groups
 from siftwell.llm.sharding import assign_shards, tree
+from siftwell.llm.token_output import token_digest
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +34,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op9_ngram_jaccard_join, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
