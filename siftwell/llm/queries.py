@@ -12,6 +12,7 @@ from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
 from siftwell.llm.ngram_jaccard_join import similar_groups
+from siftwell.llm.pii import pii_digest
 from siftwell.llm.sharding import assign_shards, tree
 from siftwell.llm.token_output import token_digest
 
@@ -30,6 +31,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), tree(16), tree(17))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -39,7 +44,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op9_ngram_jaccard_join, op10_token_output)}
+    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
