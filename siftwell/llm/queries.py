@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm import oracles
 from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
+from siftwell.llm.decontamination import benchmark_hits
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
+from siftwell.llm.license_scan import duckdb_sql, license_digest
 from siftwell.llm.ngram_jaccard_join import similar_groups
 from siftwell.llm.pii import pii_digest
 from siftwell.llm.sharding import assign_shards, tree
 from siftwell.llm.token_output import token_digest
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -27,6 +33,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", "start", "similarity")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), tree(16), tree(17))
 
@@ -44,8 +55,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_embedding_near_dedup, op5_chat_formatting, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
+    return {f.__name__: f for f in (op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_near_dedup": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op9_ngram_jaccard_join": oracles.OP9}
+    return {"op3_license_scan": duckdb_sql(), "op4_embedding_near_dedup": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op9_ngram_jaccard_join": oracles.OP9}
