@@ -107,6 +107,19 @@ def binary_values(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that it reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        new, low = root.copy(), np.minimum(root[a], root[b])
+        for at in (root[a], root[b], a, b):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): rows (id, component), component being the smallest id reachable.
 

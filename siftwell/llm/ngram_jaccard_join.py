@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import WordHasher, binary_values, broadcast_within, columns, components, mixed, signed, staged
+from siftwell.llm.common import WordHasher, binary_values, broadcast_within, columns, components, least_roots, mixed, signed, staged
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND = 1.5
@@ -26,8 +26,12 @@ BAND = 1.5
 COLLISION_COST = 40.0
 #: Ids of up to this many documents (16 bytes each) are broadcast when texts are fetched again; beyond, Spark shuffles.
 BROADCAST_IDS = 2_000_000
-#: Rounds in which each bucket compares its members with one more centre before it compares what is still unconnected.
-STAR_ROUNDS = 3
+#: Rounds in which each bucket compares its members with one centre before families of unconnected members are compared.
+STAR_ROUNDS = 2
+#: Sets and shingles that a task takes of a family; larger families are cut into blocks and each pair of blocks is a task.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+#: Shingles that are counted at once.
+COUNTED = 2048
 
 
 def band_of(size: int) -> int:
@@ -182,6 +186,58 @@ def _verified(num: int, den: int):
     return made
 
 
+def _linked_in_block(num: int, den: int):
+    """Sets of two blocks of a family to their links (a, b), reduced to each set and its root in the task.
+
+    Common shingles of all pairs are counted by matrix products over the shingles that several sets have; no pair leaves
+    the task. Sets that are connected already are not linked again.
+    """
+
+    def made(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        part, ids, done = (group[c].to_numpy() for c in ("part", "set_id", "component"))
+        one = np.flatnonzero(part == low)
+        two = one if low == high else np.flatnonzero(part == high)
+        sets = [np.frombuffer(x, np.uint64) for x in binary_values(group["shingles"].combine_chunks())]
+        sizes = np.array([len(x) for x in sets])
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        owner, number = owner[number >= 0], number[number >= 0]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        both = np.zeros((len(one), len(two)), np.float32)
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, COUNTED):
+            a, b = np.searchsorted(number, [at, at + COUNTED])
+            has = np.zeros((len(sets), COUNTED), np.float32)
+            has[owner[a:b], number[a:b] - at] = 1
+            both += has[one] @ has[two].T
+        union = sizes[one][:, None] + sizes[two][None, :] - both
+        near = (den * both >= num * union) & (done[one][:, None] != done[two][None, :])
+        i, j = np.nonzero(near)
+        root = least_roots(len(ids), one[i], two[j])
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": signed(ids[moved]), "b": signed(ids[root[moved]])})
+
+    return made
+
+
+def _links_in_families(open_members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between members that are not connected yet.
+
+    Members that share buckets, directly or through others, are a family. Its sets are brought together once, cut into
+    blocks where there are many, and compared within each pair of blocks.
+    """
+    least = open_members.groupBy("sig").agg(F.min("set_id").alias("b"))
+    families = staged(components(open_members.join(least, "sig").select(F.col("set_id").alias("a"), "b")), "families").select(F.col("id").alias("set_id"), F.col("component").alias("family"))
+    rows = open_members.select("set_id", "component").distinct().join(families, "set_id").join(sets, "set_id")
+    cuts = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cut"))
+    rows = rows.join(cuts, "family").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("cut")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    rows = rows.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set_id", "component", "shingles")
+    return rows.groupBy("family", "low", "high").applyInArrow(_linked_in_block(num, den), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -189,8 +245,8 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     white space, A-Z lower-cased); with fewer words the whole sequence is one; a null, empty or blank text has none and
     links with nothing. Documents link when den * intersection >= num * union. component_id is the smallest doc_id
     reachable by links, itself included. Equal sets are one node throughout. Within a bucket members are first compared
-    with one centre each round; members that are then connected need no comparison; all others are compared pair by pair,
-    so that no link is lost and groups of near copies never expand into all pairs. Rows with a null id get a null
+    with one centre each round; members that are then connected need no comparison. What is still unconnected in a bucket is
+    compared within families of such members, in blocks, so that no link is lost and no group expands into rows of pairs. Rows with a null id get a null
     component and link with nothing; repeated rows each give a row. Extra columns are ignored. An empty table gives an
     empty result.
     """
@@ -220,16 +276,14 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
         with_sets = both.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right")), "b")
         return with_sets.select("a", "b", "left", "right").mapInArrow(_verified(num, den), "a long, b long")
 
-    links = None
-    open_members = members.withColumn("component", F.col("set_id"))
+    links, open_members = None, members.withColumn("component", F.col("set_id"))
     for step in range(STAR_ROUNDS + 1):
         if step < STAR_ROUNDS:
             centre = open_members.where(~F.col("cut") if step == 0 else F.lit(True)).groupBy("sig").agg(F.min_by(F.struct("set_id", "cut", "component"), F.xxhash64("component", F.lit(step)) if step else F.col("set_id")).alias("c"))
             pairs = open_members.join(centre, "sig").where("component <> c.component and not (cut and c.cut)").select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b"))
+            found = staged(verified(pairs), "links")
         else:
-            right = open_members.select("sig", F.col("set_id").alias("b"), F.col("cut").alias("cut_b"), F.col("component").alias("component_b"))
-            pairs = open_members.withColumnRenamed("set_id", "a").join(right, "sig").where("a < b and component <> component_b and not (cut and cut_b)").select("a", "b")
-        found = staged(verified(pairs), "links")
+            found = staged(_links_in_families(open_members, sets, num, den), "links")
         links = found if links is None else links.union(found)
         groups = staged(components(links), "groups")
         if step < STAR_ROUNDS:
