@@ -7,11 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from siftwell.llm import oracles
+from siftwell.llm.byte_bpe import bpe_digest
 from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
 from siftwell.llm.decontamination import benchmark_hits
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
+from siftwell.llm.language_id import identify_documents
 from siftwell.llm.license_scan import duckdb_sql, license_digest
 from siftwell.llm.ngram_jaccard_join import similar_groups
 from siftwell.llm.pii import pii_digest
@@ -19,6 +22,14 @@ from siftwell.llm.sharding import assign_shards, tree
 from siftwell.llm.token_output import token_digest
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
