@@ -47,7 +47,7 @@ class WordTokens:
 
     def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
-        new = set(words) - self.kept.keys()
+        new = set(words).difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT_WORDS:
                 self.kept.clear()
