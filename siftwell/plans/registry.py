@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwell.plans import feeds, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES = (feeds, texts)
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The flagship: hybrid search, fused from full text and nearest vectors."""
+    return texts.hybrid_search(spark, sf_dir)
