@@ -141,11 +141,18 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
     free = ~F.exists("spans", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
     maybe = maybe.where(free).select("doc_id", "hash", "c.start", "c.end", "c.value", context(F.col("c.left")).alias("ctx")).where("ctx is not null")
     maybe = staged(maybe, "candidates")
+    held = staged(seeds.select(F.col("doc_id").alias("d"), F.col("hash").alias("h")).distinct(), "seeded")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
+    seeded = docs.join(broadcast_within(held, held.count(), BROADCAST_ROWS), same, "left_semi")
     instances, accepted, known = seeds, None, None
     for _ in range(rounds):
         patterns = staged(supported(instances), "patterns")
         asked = patterns.select("ctx").distinct() if known is None else patterns.select("ctx").distinct().join(known, "ctx", "left_anti")
         asked = staged(asked, "contexts")
+        if not asked.isEmpty():
+            # The texts that hold seeds bound the totals from below, which settles common contexts without counting them everywhere.
+            bound = staged(context_totals(seeded, asked), "bounds")
+            asked = staged(patterns.join(bound, "ctx").where(F.col("conf") >= pattern_least * F.col("total")).select("ctx").distinct(), "contexts")
         if not asked.isEmpty():
             totals = staged(context_totals(docs, asked), "totals")
             known = totals if known is None else known.union(totals)
