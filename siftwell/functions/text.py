@@ -95,7 +95,7 @@ def cve_ids(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Common English suffixes cut where at least three letters stay."""
-    for suffix, to in (("ies$", "y"), ("(?<=.{3})(?:ing|edly|ed|ly|ers|er)$", ""), ("(?<=.{3}[^s])s$", "")):
+    for suffix, to in (("ies$", "y"), ("(?<=.{3})(?:ing|edly|ed|ly|ers|er)$", ""), ("(?<=.{2}[^s])s$", "")):
         word = F.regexp_replace(word, suffix, to)
     return word
 

@@ -18,7 +18,7 @@ def matched_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFr
     left = dependencies.withColumn("_n", norm(F.col("name")))
     right = advisories.withColumn("_n", norm(F.col("package"))).withColumnRenamed("ecosystem", "_e")
     met = left.join(right, (left["_n"] == right["_n"]) & (F.col("ecosystem") == F.col("_e")))
-    hit = F.coalesce(in_range(F.col("version"), F.col("introduced"), F.col("fixed"), F.col("last")), F.lit(True))
+    hit = F.col("version").isNull() | in_range(F.col("version"), F.col("introduced"), F.col("fixed"), F.col("last"))
     return met.where(hit).select("name", "ecosystem", "version", "advisory_id", "fixed", F.col("version").isNotNull().alias("confirmed"))
 
 
