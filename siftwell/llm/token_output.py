@@ -8,9 +8,12 @@ expansion length. The table is written by Spark to any store that it knows, so a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +30,23 @@ BLOCK_IDS = 1 << 19
 #: Rounds of pair replacement, most rules of a round, and uses that a rule needs.
 ROUNDS, RULES, USES = 4, 4096, 4
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Bits of the table by which selected pairs are found.
 PAIR_BITS = 18
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_ids long, docs array<struct<doc_id:long,n_ids:long,n_symbols:long>>, base int, rules binary, lengths binary, symbols binary"
 
 
+#: Words of Latin-1 letters with ASCII marks after them: normalising changes only their case, and the vocabulary's pattern
+#: cuts them into the letters and the marks, so that its model can be asked directly. All other words go the whole way.
+PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*shown}))}
+
+
 class WordTokens:
     """A tokenizers vocabulary applied to texts; ids of blank-separated words are kept, as no token spans a blank."""
 
@@ -43,8 +57,25 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        letters = byte_letters()
+        self.model, self.letters = self.tokenizer.model, [letters[b] for b in range(256)]
+        kinds = [x["type"] for x in json.loads(self.tokenizer.to_str())["normalizer"]["normalizers"]]
+        self.asks_model = kinds == ["NFC", "Replace", "Lowercase"]
         self.kept: dict[str, bytes] = {}
 
+    def _learn(self, words: set[str]) -> None:
+        rest = []
+        for word in words:
+            parts = PLAIN.fullmatch(word.lower()) if self.asks_model and len(word) < 100 else None
+            if parts:
+                found = [t.id for part in parts.groups() if part for t in self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in part.encode()]))]
+                self.kept[word] = array("I", found).tobytes()
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 5000):
+            for word, found in zip(rest[at : at + 5000], self.tokenizer.encode_batch(rest[at : at + 5000], add_special_tokens=False), strict=True):
+                self.kept[word] = array("I", found.ids).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.kept)
@@ -52,10 +83,7 @@ class WordTokens:
             if len(self.kept) + len(new) > KEPT_WORDS:
                 self.kept.clear()
                 new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 5000):
-                for word, found in zip(new[at : at + 5000], self.tokenizer.encode_batch(new[at : at + 5000], add_special_tokens=False), strict=True):
-                    self.kept[word] = np.array(found.ids, "<u4").tobytes()
+            self._learn(new)
         return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
 
 
