@@ -1,33 +1,40 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding by joining pieces.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words, and decoding by joining binary pieces.
 
-A text is split by the tokenizer's pattern. Words are strings of bytes; a fold merges the neighbouring pieces of least rank
-until no merge is left. The fold runs once for each of the most frequent words of the corpus, whose ids then form a
-literal dictionary of bounded size, and in place for the others. Ranks, pieces and dictionary are literals cut into
-buckets by hash, so that a lookup compares few keys.
+A text is split by the tokenizer's pattern. A word's bytes are pieces, each with its id; a fold of higher-order functions
+merges the neighbouring pieces of least rank, as a literal rank map of piece pairs has it, until no merge is left. The fold
+runs once for each of the most frequent words of the corpus, whose ids form a dictionary of bounded size, and once in every
+batch of texts for each distinct word that the dictionary lacks. Ids of words are then put in the order of the texts.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import columns
+from siftwell.llm.common import columns, staged
 
-#: Words of the literal dictionary and buckets of the literals.
-DICTIONARY, BUCKETS = 1 << 17, 1 << 15
+#: Most words of the dictionary.
+DICTIONARY = 1 << 18
+#: Buckets of the literal rank map, a prime number.
+BUCKETS = 65_537
 #: Rank of a pair that does not merge.
 NEVER = 2**31 - 1
-#: A run of so many characters with or without white space makes a text go the way of long words: a heap of merges in a
-#: task instead of a fold, which would copy the word for each merge. The ids are the same.
+#: Words of so many characters go to a heap of merges instead of a fold, which would copy them for each merge. The ids are
+#: the same.
 LONG = 1024
+#: Words of texts that are looked up together, but for a text that has more.
+CHUNK_WORDS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -41,95 +48,127 @@ def java_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
-def _byte_string(b: bytes) -> str:
-    """Bytes as a string of the characters 0 to 255."""
-    return b.decode("latin-1")
+def words(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def as_bytes(word: Column) -> Column:
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-
-
-def _bucketed(spark: SparkSession, keys: list[str], values: list, kind: str) -> Column:
-    """A literal array of BUCKETS maps; a key is in the map that `_bucket` names."""
-    places = spark.createDataFrame(pa.table({"i": pa.array(range(len(keys)), pa.int32()), "k": pa.array(keys, pa.string())})).select("i", _bucket(F.col("k")).alias("b"))
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for i, b in zip(*places.toArrow().to_pydict().values(), strict=True):
-        maps[b - 1][keys[i]] = values[i]
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{kind}>>")
-
-
-def _bucket(key: Column) -> Column:
-    return (F.pmod(F.xxhash64(key), F.lit(BUCKETS)) + 1).cast("int")
-
-
-def _look(literal: Column, key: Column) -> Column:
-    return F.element_at(F.element_at(literal, _bucket(key)), key)
+def byte_array(word: Column) -> Column:
+    """The UTF-8 bytes of a word as an array of int."""
+    return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
 
 
 class Coder:
     """A byte-level vocabulary as Spark expressions."""
 
-    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
-        self.spark, self.path, self.pattern = spark, ranks_path, pattern
+    def __init__(self, ranks_path: str) -> None:
         ranks = read_ranks(ranks_path)
-        by_id = sorted(ranks, key=ranks.get)
-        if [ranks[b] for b in by_id] != list(range(len(by_id))):
+        if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks have gaps")
-        self.ranks = _bucketed(spark, [_byte_string(b) for b in by_id], list(range(len(by_id))), "int")
-        self.pieces = F.from_json(F.lit(json.dumps([b.hex() for b in by_id])), "array<string>")
-        self.little_endian = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(len(by_id))])), "array<string>")
+        self.edge = len(ranks)  # stands before and after a word's pieces and merges with nothing
+        pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
+        merged: list[list[int]] = [[] for _ in range(BUCKETS)]
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pair = left * (self.edge + 1) + right
+                    pairs[pair % BUCKETS].append(pair)
+                    merged[pair % BUCKETS].append(rank)
+
+        def literal(value: list, kind: str) -> Column:
+            return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+        self.literals = F.struct(literal(pairs, "array<array<bigint>>").alias("pairs"), literal(merged, "array<array<int>>").alias("merged"), literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"))
+
+    def fold(self, byte_arrays: Column) -> Column:
+        """Ids of each byte array of an array: what is left of its bytes after all merges."""
+
+        def with_map(t: Column) -> Column:
+            return F.transform(byte_arrays, lambda b: self._fold(b, t))
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(java_pattern(self.pattern)), F.lit(0))
+        return F.get(F.transform(F.array(self.literals), with_map), F.lit(0))
 
-    def rank(self, piece: Column) -> Column:
-        return F.coalesce(_look(self.ranks, piece), F.lit(NEVER))
+    def _fold(self, b: Column, t: Column) -> Column:
+        state_type = "struct<p:array<int>,r:array<int>>"
+        edge = F.array(F.lit(self.edge))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of a word: its rank if it has one, else what is left of its bytes after all merges."""
-        state_type = "struct<p:array<string>,r:array<int>>"
+        def rank(left: Column, right: Column) -> Column:
+            """Rank of a pair, which also is the id of the merged piece."""
+            pair = left.cast("long") * (self.edge + 1) + right
+            bucket = (pair % BUCKETS).cast("int")
+            return F.coalesce(F.get(F.get(t["merged"], bucket), (F.array_position(F.get(t["pairs"], bucket), pair) - 1).cast("int")), F.lit(NEVER))
 
         def start(p: Column) -> Column:
-            ranks = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: self.rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+            ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank)
             return F.struct(p.alias("p"), ranks.alias("r")).cast(state_type)
 
-        def merged(state: Column, i: Column) -> Column:
-            def at(x: Column) -> Column:
-                i, p, r = x["i"], state["p"], state["r"]  # i counts from 1
-                new = F.concat(F.get(p, i - 1), F.get(p, i))
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(p), F.array(self.rank(F.concat(new, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
+        def step(state: Column, _: Column) -> Column:
+            p, r = state["p"], state["r"]
+
+            def merge(x: Column) -> Column:
+                new, i = x["m"], x["i"]  # i counts from 1 and never is 1, where the edge is
                 pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
+                ranks = F.concat(F.slice(r, F.lit(1), i - 2), F.array(rank(F.get(p, i - 2), new), rank(new, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))
                 return F.struct(pieces.alias("p"), ranks.alias("r")).cast(state_type)
 
-            return F.get(F.transform(F.array(F.struct(i.alias("i"))), at), F.lit(0))
+            def at(m: Column) -> Column:
+                place = F.struct(m.alias("m"), F.array_position(r, m).cast("int").alias("i"))
+                return F.when(m < NEVER, F.get(F.transform(F.array(place), merge), F.lit(0))).otherwise(state)
 
-        def step(state: Column, _: Column) -> Column:
-            def one(m: Column) -> Column:
-                return F.when(m < NEVER, merged(state, F.array_position(state["r"], m).cast("int"))).otherwise(state)
+            return F.get(F.transform(F.array(F.array_min(r)), at), F.lit(0))
 
-            return F.get(F.transform(F.array(F.coalesce(F.array_min(state["r"]), F.lit(NEVER))), one), F.lit(0))
+        def folded(p: Column) -> Column:
+            inner = F.aggregate(F.sequence(F.lit(4), F.size(p)), start(p), step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+            return F.when(F.size(p) > 3, inner).otherwise(F.slice(p, F.lit(2), F.size(p) - 2))
 
-        def ids(p: Column) -> Column:
-            return F.transform(p, self.rank)
+        pieces = F.concat(edge, F.transform(b, lambda x: F.get(t["bytes"], x)), edge)
+        return F.get(F.transform(F.array(pieces), folded), F.lit(0))
 
-        def folded(b: Column) -> Column:
-            def of(p: Column) -> Column:
-                return F.when(F.size(p) == 1, ids(p)).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step, lambda s: ids(s["p"])))
 
-            whole = F.transform(F.array(_look(self.ranks, b)), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.get(F.transform(F.array(F.split(b, "")), of), F.lit(0))))
-            return F.get(whole, F.lit(0))
+@dataclass
+class Known:
+    """Ids of known words: the vocabulary's own pieces, each its rank, and the most frequent words, folded."""
 
-        return F.get(F.transform(F.array(as_bytes(word)), folded), F.lit(0))
+    index: dict[str, int]
+    first: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
 
-    def dictionary(self, docs: DataFrame) -> Column:
-        """The ids of the most frequent words of all texts, as a literal."""
-        counts = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").count()
-        top = counts.orderBy(F.desc("count"), "word").limit(DICTIONARY).select("word")
-        got = top.repartition(self.spark.sparkContext.defaultParallelism).select("word", self.fold(F.col("word")).alias("ids")).toArrow()
-        return _bucketed(self.spark, got["word"].to_pylist(), got["ids"].to_pylist(), "array<int>")
+
+def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> DataFrame:
+    """The most frequent words of all texts, at most `most`: all words that occur at least a certain number of times.
+
+    The number is found from a histogram of the counts with eight steps to each doubling, so no task sees all words.
+    """
+    counts = docs.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").count()
+    level = F.floor(F.log2("count") * 8).cast("int")
+    counts = staged(counts.where(F.length("word") < LONG).select("word", level.alias("level")), "word-counts")
+    histogram = {r["level"]: r["count"] for r in counts.groupBy("level").count().collect()}  # at most 512 rows
+    least, total = 512, 0
+    for at in sorted(histogram, reverse=True):
+        total += histogram[at]
+        if total > most:
+            break
+        least = at
+    return counts.where(F.col("level") >= least).select("word")
+
+
+def known_words(docs: DataFrame, coder: Coder, ranks_path: str, pattern: str) -> Known:
+    frequent = frequent_words(docs, pattern)
+    got = frequent.select("word", F.get(coder.fold(F.array(byte_array(F.col("word")))), F.lit(0)).alias("ids")).toArrow()  # DICTIONARY rows at most
+    lists = got["ids"].combine_chunks()
+    ids, size = [lists.flatten().to_numpy()], [lists.value_lengths().to_numpy()]
+    index = {w: i for i, w in enumerate(got["word"].to_pylist())}
+    whole = {}
+    for piece, rank in read_ranks(ranks_path).items():
+        try:
+            whole[piece.decode()] = rank
+        except UnicodeDecodeError:
+            continue
+    index |= {w: len(lists) + i for i, w in enumerate(whole)}  # a word that is a piece has that piece's id, whatever merges give
+    size = np.concatenate([*size, np.ones(len(whole), np.int32)]).astype(np.int64)
+    ids = np.concatenate([*ids, np.array(list(whole.values()))]).astype(np.int32)
+    return Known(index, np.cumsum(size) - size, size, ids)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -142,7 +181,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     while heap:
         _, i, both = heapq.heappop(heap)
         j = after[i]
-        if piece[i] is None or j >= len(word) or piece[i] + piece[j] != both:
+        if piece[i] is None or j >= len(word) or piece[j] is None or piece[i] + piece[j] != both:
             continue
         piece[i], piece[j], after[i] = both, None, after[j]
         if after[j] < len(word):
@@ -153,15 +192,66 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _long_texts(path: str, pattern: str):
+def gathered(first: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The runs values[first : first + size], one after another."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
+
+
+def _looked_up(known: Broadcast):
+    """Rows (doc_id, words) to chunks: doc_ids, how many words each has, a place for each word (known ones from 0 on, distinct
+    new ones as -1, -2, ...), the new words, and those of LONG characters, whose places come after the others."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        index = known.value.index
+        for batch in batches:
+            counts = batch.column(1).value_lengths().to_numpy()
+            at = 0
+            while at < len(counts):
+                n = max(1, int(np.searchsorted(np.cumsum(counts[at:]), CHUNK_WORDS, "right")))
+                part = batch.slice(at, n)
+                coded = part.column(1).flatten().dictionary_encode()
+                new: list[str] = []
+                long: list[str] = []
+                places = np.empty(len(coded.dictionary), np.int32)
+                late: list[int] = []
+                for i, word in enumerate(coded.dictionary.to_pylist()):
+                    place = index.get(word)
+                    if place is None:
+                        if len(word) < LONG:
+                            new.append(word)
+                            place = -len(new)
+                        else:
+                            long.append(word)
+                            late.append(i)
+                            continue
+                    places[i] = place
+                places[late] = -1 - len(new) - np.arange(len(late))
+                row = [part.column(0), pa.array(counts[at : at + n], pa.int32()), pa.array(places[coded.indices.to_numpy()], pa.int32()), pa.array(new, pa.string()), pa.array(long, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], ["doc_ids", "counts", "places", "new", "long"])
+                at += n
+
+    return made
+
 
-        split, ranks = regex.compile(pattern), read_ranks(path)
+def _in_order(known: Broadcast, ranks_path: str):
+    """Chunks with the folded ids of their new words to rows (doc_id, ids)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = known.value
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = [i for word in split.findall(text.as_py()) for i in merge_long(word.encode(), ranks)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([np.array(ids, np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for r in range(batch.num_rows):
+                doc_ids, counts, places, folded, long = (batch.column(c)[r].values for c in range(5))
+                lists = [np.array(merge_long(w.encode(), read_ranks(ranks_path)), np.int32) for w in long.to_pylist()]
+                size = folded.value_lengths().to_numpy().astype(np.int64)
+                ids = np.concatenate([k.ids, folded.flatten().to_numpy(), *lists])
+                size = np.concatenate([k.size, size, np.array([len(x) for x in lists], np.int64)])
+                first = np.concatenate([k.first, len(k.ids) + np.cumsum(size[len(k.size) :]) - size[len(k.size) :]])
+                at = places.to_numpy().astype(np.int64)
+                at = np.where(at >= 0, at, len(k.size) - 1 - at)
+                out = gathered(first[at], size[at], ids)
+                ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(counts.to_numpy())])]
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], ["doc_id", "ids"])
 
     return made
 
@@ -172,28 +262,53 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     A null or empty text has no ids. Null ids are kept; repeated rows each give a row. Extra columns are ignored; an empty
     table gives an empty result. Every text is encoded whole.
     """
-    coder = Coder(docs.sparkSession, ranks_path, pattern)
+    coder = Coder(ranks_path)
     rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    far = F.rlike("text", F.lit(f"(?U)\\S{{{LONG}}}|\\s{{{LONG}}}"))
-    usual = rows.where(~far)
-    known = coder.dictionary(usual)
+    known = docs.sparkSession.sparkContext.broadcast(known_words(rows, coder, ranks_path, pattern))
+    chunks = rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_looked_up(known), "doc_ids array<long>, counts array<int>, places array<int>, new array<string>, long array<string>")
+    chunks = chunks.select("doc_ids", "counts", "places", coder.fold(F.transform("new", byte_array)).alias("folded"), "long")
+    return chunks.mapInArrow(_in_order(known, ranks_path), "doc_id long, ids array<int>")
 
-    def of(word: Column) -> Column:
-        return F.coalesce(_look(known, word), coder.fold(word))
 
-    short = usual.select("doc_id", F.flatten(F.transform(coder.words(F.col("text")), of)).alias("ids"))
-    long = rows.where(far).mapInArrow(_long_texts(ranks_path, pattern), "doc_id long, ids array<int>")
-    return short.union(long)
+@lru_cache(maxsize=2)
+def _pieces(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id the place and length of its piece in the bytes of all pieces."""
+    ranks = read_ranks(ranks_path)
+    pieces = sorted(ranks, key=ranks.get)
+    size = np.array([len(p) for p in pieces], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(pieces), np.uint8)
 
 
-def decode(ids: Column, coder: Coder) -> Column:
+def decoded(ids: np.ndarray, ranks_path: str) -> bytes:
     """The bytes that ids stand for: their pieces one after another."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(coder.pieces, i)), ""))
+    first, size, pieces = _pieces(ranks_path)
+    return gathered(first[ids], size[ids], pieces).tobytes()
+
+
+def _id_lists(column: pa.Array) -> Iterator[np.ndarray]:
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    flat = column.flatten().to_numpy()
+    yield from (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
+    """Rows (doc_id, ids) to (doc_id, decoded), decoded being binary; no ids give no bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoded(x, ranks_path) for x in _id_lists(batch.column(1))], pa.binary())], ["doc_id", "decoded"])
+
+    return rows.select("doc_id", "ids").mapInArrow(made, "doc_id long, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and, of the decoded ids, decoded_sha256."""
-    coder = Coder(docs.sparkSession, ranks_path, pattern)
-    ids = encode(docs, ranks_path, pattern)
-    little = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(coder.little_endian, i)), ""))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), coder), 256).alias("decoded_sha256"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = list(_id_lists(batch.column(1)))
+            little = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
+            back = [hashlib.sha256(decoded(x, ranks_path)).hexdigest() for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(little, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, ranks_path, pattern).mapInArrow(made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
