@@ -2,8 +2,8 @@
 
 A text is split by the tokenizer's pattern. A word's bytes are pieces, each with its id; a fold of higher-order functions
 merges the neighbouring pieces of least rank, as a literal rank map of piece pairs has it, until no merge is left. The fold
-runs once for each of the most frequent words of the corpus, whose ids form a dictionary of bounded size, and once in every
-batch of texts for each distinct word that the dictionary lacks. Ids of words are then put in the order of the texts.
+runs once for each of the most frequent words of the corpus, whose ids form a dictionary of bounded size. Words that it lacks
+get the same merges in the task that meets them, once for each distinct word of a chunk of texts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,9 +30,8 @@ DICTIONARY = 1 << 18
 BUCKETS = 65_537
 #: Rank of a pair that does not merge.
 NEVER = 2**31 - 1
-#: Words of so many characters go to a heap of merges instead of a fold, which would copy them for each merge. The ids are
-#: the same.
-LONG = 1024
+#: Words of so many characters go to a heap of merges instead of a scan for each merge. The ids are the same.
+LONG = 256
 #: Words of texts that are looked up together, but for a text that has more.
 CHUNK_WORDS = 1 << 20
 
@@ -65,6 +64,8 @@ class Coder:
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks have gaps")
         self.edge = len(ranks)  # stands before and after a word's pieces and merges with nothing
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.pairs: dict[int, int] = {}
         pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
         merged: list[list[int]] = [[] for _ in range(BUCKETS)]
         for piece, rank in ranks.items():
@@ -72,13 +73,14 @@ class Coder:
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     pair = left * (self.edge + 1) + right
+                    self.pairs[pair] = rank
                     pairs[pair % BUCKETS].append(pair)
                     merged[pair % BUCKETS].append(rank)
 
         def literal(value: list, kind: str) -> Column:
             return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
-        self.literals = F.struct(literal(pairs, "array<array<bigint>>").alias("pairs"), literal(merged, "array<array<int>>").alias("merged"), literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"))
+        self.literals = F.struct(literal(pairs, "array<array<bigint>>").alias("pairs"), literal(merged, "array<array<int>>").alias("merged"), literal(self.bytes, "array<int>").alias("bytes"))
 
     def fold(self, byte_arrays: Column) -> Column:
         """Ids of each byte array of an array: what is left of its bytes after all merges."""
@@ -89,7 +91,6 @@ class Coder:
         return F.get(F.transform(F.array(self.literals), with_map), F.lit(0))
 
     def _fold(self, b: Column, t: Column) -> Column:
-        state_type = "struct<p:array<int>,r:array<int>>"
         edge = F.array(F.lit(self.edge))
 
         def rank(left: Column, right: Column) -> Column:
@@ -100,7 +101,7 @@ class Coder:
 
         def start(p: Column) -> Column:
             ranks = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank)
-            return F.struct(p.alias("p"), ranks.alias("r")).cast(state_type)
+            return F.struct(p.alias("p"), ranks.alias("r"))
 
         def step(state: Column, _: Column) -> Column:
             p, r = state["p"], state["r"]
@@ -109,7 +110,7 @@ class Coder:
                 new, i = x["m"], x["i"]  # i counts from 1 and never is 1, where the edge is
                 pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
                 ranks = F.concat(F.slice(r, F.lit(1), i - 2), F.array(rank(F.get(p, i - 2), new), rank(new, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))
-                return F.struct(pieces.alias("p"), ranks.alias("r")).cast(state_type)
+                return F.struct(pieces.alias("p"), ranks.alias("r"))
 
             def at(m: Column) -> Column:
                 place = F.struct(m.alias("m"), F.array_position(r, m).cast("int").alias("i"))
@@ -133,6 +134,9 @@ class Known:
     first: np.ndarray
     size: np.ndarray
     ids: np.ndarray
+    pairs: dict[int, int]
+    bytes: list[int]
+    edge: int
 
 
 def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> DataFrame:
@@ -168,7 +172,23 @@ def known_words(docs: DataFrame, coder: Coder, ranks_path: str, pattern: str) ->
     index |= {w: len(lists) + i for i, w in enumerate(whole)}  # a word that is a piece has that piece's id, whatever merges give
     size = np.concatenate([*size, np.ones(len(whole), np.int32)]).astype(np.int64)
     ids = np.concatenate([*ids, np.array(list(whole.values()))]).astype(np.int32)
-    return Known(index, np.cumsum(size) - size, size, ids)
+    return Known(index, np.cumsum(size) - size, size, ids, coder.pairs, coder.bytes, coder.edge)
+
+
+def merge(word: bytes, known: Known) -> list[int]:
+    """The fold for one word: the leftmost pair of least rank is merged until no pair merges."""
+    pairs, base = known.pairs, known.edge + 1
+    p = [known.bytes[b] for b in word]
+    r = [pairs.get(x * base + y, NEVER) for x, y in zip(p, p[1:], strict=False)]
+    while r and (m := min(r)) < NEVER:
+        i = r.index(m)
+        p[i : i + 2] = [m]
+        del r[i]
+        if i:
+            r[i - 1] = pairs.get(p[i - 1] * base + m, NEVER)
+        if i < len(r):
+            r[i] = pairs.get(m * base + p[i + 1], NEVER)
+    return p
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -198,62 +218,44 @@ def gathered(first: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
 
 
-def _looked_up(known: Broadcast):
-    """Rows (doc_id, words) to chunks: doc_ids, how many words each has, a place for each word (known ones from 0 on, distinct
-    new ones as -1, -2, ...), the new words, and those of LONG characters, whose places come after the others."""
+def _encoded(known: Broadcast, ranks_path: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """Rows (doc_id, words) to rows (doc_id, ids), in chunks, and `finish` of those."""
+
+    def ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k = known.value
+        ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+        coded = batch.column(1).flatten().dictionary_encode()
+        new: list[list[int]] = []
+        places = np.empty(len(coded.dictionary), np.int64)
+        for i, word in enumerate(coded.dictionary.to_pylist()):
+            place = k.index.get(word)
+            if place is None:
+                place = len(k.size) + len(new)
+                new.append(merge(word.encode(), k) if len(word) < LONG else merge_long(word.encode(), read_ranks(ranks_path)))
+            places[i] = place
+        size = np.concatenate([k.size, np.array([len(x) for x in new], np.int64)])
+        first = np.concatenate([k.first, len(k.ids) + np.cumsum(size[len(k.size) :]) - size[len(k.size) :]])
+        at = places[coded.indices.to_numpy()]
+        out = gathered(first[at], size[at], np.concatenate([k.ids, np.array([i for x in new for i in x], np.int32)]))
+        ends = np.concatenate([[0], np.cumsum(size[at])])[ends]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], ["doc_id", "ids"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = known.value.index
         for batch in batches:
             counts = batch.column(1).value_lengths().to_numpy()
             at = 0
             while at < len(counts):
                 n = max(1, int(np.searchsorted(np.cumsum(counts[at:]), CHUNK_WORDS, "right")))
-                part = batch.slice(at, n)
-                coded = part.column(1).flatten().dictionary_encode()
-                new: list[str] = []
-                long: list[str] = []
-                places = np.empty(len(coded.dictionary), np.int32)
-                late: list[int] = []
-                for i, word in enumerate(coded.dictionary.to_pylist()):
-                    place = index.get(word)
-                    if place is None:
-                        if len(word) < LONG:
-                            new.append(word)
-                            place = -len(new)
-                        else:
-                            long.append(word)
-                            late.append(i)
-                            continue
-                    places[i] = place
-                places[late] = -1 - len(new) - np.arange(len(late))
-                row = [part.column(0), pa.array(counts[at : at + n], pa.int32()), pa.array(places[coded.indices.to_numpy()], pa.int32()), pa.array(new, pa.string()), pa.array(long, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row], ["doc_ids", "counts", "places", "new", "long"])
+                yield finish(ids_of(batch.slice(at, n)))
                 at += n
 
     return made
 
 
-def _in_order(known: Broadcast, ranks_path: str):
-    """Chunks with the folded ids of their new words to rows (doc_id, ids)."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = known.value
-        for batch in batches:
-            for r in range(batch.num_rows):
-                doc_ids, counts, places, folded, long = (batch.column(c)[r].values for c in range(5))
-                lists = [np.array(merge_long(w.encode(), read_ranks(ranks_path)), np.int32) for w in long.to_pylist()]
-                size = folded.value_lengths().to_numpy().astype(np.int64)
-                ids = np.concatenate([k.ids, folded.flatten().to_numpy(), *lists])
-                size = np.concatenate([k.size, size, np.array([len(x) for x in lists], np.int64)])
-                first = np.concatenate([k.first, len(k.ids) + np.cumsum(size[len(k.size) :]) - size[len(k.size) :]])
-                at = places.to_numpy().astype(np.int64)
-                at = np.where(at >= 0, at, len(k.size) - 1 - at)
-                out = gathered(first[at], size[at], ids)
-                ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(counts.to_numpy())])]
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], ["doc_id", "ids"])
-
-    return made
+def _encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    known = docs.sparkSession.sparkContext.broadcast(known_words(rows, Coder(ranks_path), ranks_path, pattern))
+    return rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_encoded(known, ranks_path, finish), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,12 +264,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     A null or empty text has no ids. Null ids are kept; repeated rows each give a row. Extra columns are ignored; an empty
     table gives an empty result. Every text is encoded whole.
     """
-    coder = Coder(ranks_path)
-    rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    known = docs.sparkSession.sparkContext.broadcast(known_words(rows, coder, ranks_path, pattern))
-    chunks = rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_looked_up(known), "doc_ids array<long>, counts array<int>, places array<int>, new array<string>, long array<string>")
-    chunks = chunks.select("doc_ids", "counts", "places", coder.fold(F.transform("new", byte_array)).alias("folded"), "long")
-    return chunks.mapInArrow(_in_order(known, ranks_path), "doc_id long, ids array<int>")
+    return _encode(docs, ranks_path, pattern, id_col, text_col, lambda batch: batch, "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -304,11 +301,12 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and, of the decoded ids, decoded_sha256."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = list(_id_lists(batch.column(1)))
-            little = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
-            back = [hashlib.sha256(decoded(x, ranks_path)).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(little, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, little, back = [], [], []
+        for ids in _id_lists(batch.column(1)):
+            n.append(len(ids))
+            little.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            back.append(hashlib.sha256(decoded(ids, ranks_path)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(little, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, ranks_path, pattern).mapInArrow(made, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encode(docs, ranks_path, pattern, "doc_id", "text", digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -67,6 +67,17 @@ def test_long_merge():
         assert byte_bpe.merge_long(word.encode(), ranks) == encoding().encode_ordinary(word) or len(regex.findall(PATTERN, word)) > 1
 
 
+def test_fold_merges_and_decoding_agree(spark):
+    words = ["abab" * 9, "aaaaaaa", "zzq", "ünïcödé", " the", "日本語", "x"]
+    coder = byte_bpe.Coder(RANKS)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r.word: list(r.ids) for r in df.select("word", F.get(coder.fold(F.array(byte_bpe.byte_array(F.col("word")))), F.lit(0)).alias("ids")).collect()}
+    known = byte_bpe.Known({}, None, None, None, coder.pairs, coder.bytes, coder.edge)
+    assert all(byte_bpe.merge(w.encode(), known) == got[w] for w in words)
+    rows = spark.createDataFrame([(i, got[w]) for i, w in enumerate(words)] + [(None, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(rows, RANKS).collect()} == {i: w.encode() for i, w in enumerate(words)} | {None: b""}
+
+
 # 2: language
 
 
