@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ BLOCK_IDS = 1 << 19
 ROUNDS, RULES, USES = 4, 4096, 4
 #: Words whose ids a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 500_000
+#: Bytes of texts that are looked up together, but for a text that has more.
+CHUNK_BYTES = 1 << 22
 #: Bits of the table by which selected pairs are found.
 PAIR_BITS = 18
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_ids long, docs array<struct<doc_id:long,n_ids:long,n_symbols:long>>, base int, rules binary, lengths binary, symbols binary"
@@ -76,15 +79,28 @@ class WordTokens:
             for word, found in zip(rest[at : at + 5000], self.tokenizer.encode_batch(rest[at : at + 5000], add_special_tokens=False), strict=True):
                 self.kept[word] = array("I", found.ids).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has. A null text has none."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         new = set(words).difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT_WORDS:
                 self.kept.clear()
                 new = set(words)
             self._learn(new)
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, words)), "<u4")
+        found = list(map(self.kept.__getitem__, words))
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        at = coded.indices.to_numpy()
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - ends[:-1], each)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])])
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.ids_of(pa.array([text]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -177,14 +193,19 @@ def _blocks(tokenizer: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("n_symbols", pa.int64())]))), ("base", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())]))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                docs.append(doc.as_py())
-                ids.append(np.append(tokens.ids(text.as_py() or ""), np.uint32(end_id)))
-                size += len(ids[-1])
-                if size >= block_ids:
-                    yield out()
-                    before, block = before + size, block + 1
-                    ids, docs, size = [], [], 0
+            bytes_before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            for part_of in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(bytes_before // CHUNK_BYTES)) + 1):
+                some = batch.slice(part_of[0], len(part_of))
+                flat, counts = tokens.ids_of(some.column(1))
+                ends = np.cumsum(counts)
+                for doc, a, b in zip(some.column(0).to_pylist(), ends - counts, ends, strict=True):
+                    docs.append(doc)
+                    ids.append(np.append(flat[a:b], np.uint32(end_id)))
+                    size += len(ids[-1])
+                    if size >= block_ids:
+                        yield out()
+                        before, block = before + size, block + 1
+                        ids, docs, size = [], [], 0
         if docs:
             yield out()
 
