@@ -258,11 +258,17 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     shared = met.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.min("cut").alias("all_cut")).where("low <> high and not all_cut")
     shared = staged(shared.select("sig"), "shared")
     n_shared = shared.count()
+    firsts = staged(marked.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
+
+    def named_by(of_set: DataFrame) -> DataFrame:
+        """The result from the least doc_id (least) of each set's group; documents of one set share it."""
+        out = marked.select("doc_id", "set_id", "n").join(of_set, "set_id", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+
     if not n_shared:
-        return marked.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return named_by(firsts.select("set_id", F.col("doc_id").alias("least")))
     members = met.join(broadcast_within(shared, n_shared, BROADCAST_IDS), "sig")
     members = staged(members.groupBy("sig", "set_id").agg(F.min("cut").alias("cut")), "members")
-    firsts = staged(marked.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
     used = firsts.join(members.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
     used = staged(used, "used")
     texts = docs.join(broadcast_within(used, used.count(), BROADCAST_IDS), "doc_id", "left_semi")
@@ -294,8 +300,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
                 break
     named = firsts.join(groups, firsts.set_id == groups.id).groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = firsts.join(groups, firsts.set_id == groups.id, "left").join(named, "component", "left").select("set_id", F.coalesce("least", "doc_id").alias("least"))
-    out = marked.select("doc_id", "set_id", "n").join(of_set, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+    return named_by(of_set)
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -335,6 +335,15 @@ def test_groups_equal_brute_force(spark, size, num, den):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows, size, num, den)
 
 
+def test_exact_copies_without_near_ones_are_linked(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    rows = [(k, say(k)) for k in range(8)] + [(20, say(3)), (21, say(3)), (22, say(5)), (23, None), (24, " "), (None, say(3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join.similar_groups(df).collect()}
+    assert got == {k: k for k in range(8)} | {20: 3, 21: 3, 22: 5, 23: 23, 24: 24, None: None}
+    assert sorted(str(r.doc_id) for r in ngram_jaccard_join.one_of_each_group(df).collect()) == sorted(map(str, [*range(8), 23, 24, None]))
+
+
 def test_allocation_covers_the_difference():
     for num, den in ((90, 100), (80, 100), (50, 100)):
         for size in (*range(1, 60), 200, 1000):
