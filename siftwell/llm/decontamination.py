@@ -87,11 +87,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int
 
     A window is similar to an item when the weighted Jaccard similarity of their five-word shingles is at least num/den;
     an item with fewer words is one shingle, found only as a whole. Windows that reach over an end of the document are cut
-    there. Items and documents without words, and null texts, match nothing. Repeated items each match; repeated
-    documents match once per id and text. start is the window's first word, counted from 0. Extra columns are ignored;
+    there. Items and documents without words, and null texts, match nothing. Repeated items each match; items with a null
+    id match too, those of different words one by one; repeated documents match once per id and text. start is the window's first word, counted from 0. Extra columns are ignored;
     empty tables give an empty result.
     """
     items = columns(benchmark, item_id=F.col("item_id").cast("long"), w=words(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("size", F.size("w")).where("size > 0")
+    # Ids may be null; item_key tells items apart in joins.
+    items = items.withColumn("item_key", F.xxhash64("item_id", "w"))
     items = staged(items.withColumn("item_print", simhash(F.col("w"))).withColumn("shingles", _weighted(F.col("w"))), "items")
     found = items.groupBy(F.least("size", F.lit(SHINGLE)).alias("run")).agg(F.min("size")).collect()  # SHINGLE rows at most
     texts = columns(docs, doc_id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -116,19 +118,20 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int
     first = F.greatest("start", F.lit(0))
     cut = cut.select("doc_id", "text_hash", "size", "start", F.slice("w", first + 1, F.col("size") + F.least("start", F.lit(0))).alias("w"))
     cut = staged(cut.withColumn("print", simhash(F.col("w"))).withColumn("own", _weighted(F.col("w"))), "cut-windows")
-    index = items.select("item_id", "size", "item_print", "shingles", F.explode(_blocks("item_print")).alias("b"))
-    index = index.select("item_id", "size", "item_print", "shingles", "b.block", F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(m)) for m in _variants()])).alias("value"))
+    index = items.select("item_key", "size", "item_print", "shingles", F.explode(_blocks("item_print")).alias("b"))
+    index = index.select("item_key", "size", "item_print", "shingles", "b.block", F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(m)) for m in _variants()])).alias("value"))
     asked = cut.select("doc_id", "text_hash", "size", "start", "print", F.explode(_blocks("print")).alias("b")).select("doc_id", "text_hash", "size", "start", "print", "b.*")
     index_rows = items.count() * BLOCKS * len(_variants())
     near = asked.join(broadcast_within(index.drop("shingles"), index_rows, BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "text_hash", "size", "start", "item_id").distinct()
+    near = near.select("doc_id", "text_hash", "size", "start", "item_key").distinct()
     n_items = items.count()
     pairs = near.join(cut.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("x"), F.col("size").alias("z"), F.col("start").alias("s"), "own"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("x")) & (F.col("size") == F.col("z")) & (F.col("start") == F.col("s")))
-    pairs = pairs.join(broadcast_within(items.select("item_id", F.col("size").alias("of"), "shingles"), n_items, 20_000), "item_id").where("size = of")
+    pairs = pairs.join(broadcast_within(items.select("item_id", "item_key", F.col("size").alias("of"), "shingles"), n_items, 20_000), "item_key").where("size = of")
     both = F.size(F.array_intersect("own", "shingles"))
     union = F.size("own") + F.size("shingles") - both
-    good = pairs.where(both * den >= union * num).select("doc_id", "text_hash", "item_id", "start", (both / union).alias("similarity"))
-    best = good.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
+    nameless = F.when(F.col("item_id").isNull(), F.col("item_key")).alias("nameless")
+    good = pairs.where(both * den >= union * num).select("doc_id", "text_hash", "item_id", nameless, "start", (both / union).alias("similarity"))
+    best = good.groupBy("doc_id", "text_hash", "item_id", "nameless").agg(F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", "b.start", "b.similarity")
 
 

@@ -229,6 +229,14 @@ def test_hits_odd(spark, odd):
     assert decontamination.benchmark_hits(odd, bench.limit(0)).count() == 0 and decontamination.benchmark_hits(odd.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    passage = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(3)]
+    docs = spark.createDataFrame([(1, f"before {passage[0]} after"), (2, f"x {passage[1]} y {passage[2]}"), (3, "nothing of it " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage[0]), (7, passage[1]), (None, passage[2]), (None, passage[2])], "item_id long, text string")
+    assert sorted((r.doc_id, str(r.item_id), r.start) for r in decontamination.benchmark_hits(docs, bench).collect()) == [(1, "None", 1), (2, "7", 1), (2, "None", 14)]
+    assert [r.doc_id for r in decontamination.without_benchmark(docs, bench).collect()] == [3]
+
+
 # 7: shards
 
 
