@@ -25,25 +25,31 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Candidates for unseen identifiers: words with a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Code points before an entity in which its context is looked for.
-REACH = 80
-SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,ctx:bigint>>"
 #: Contexts and documents with findings up to these counts are broadcast; beyond, Spark shuffles the join.
 BROADCAST_ROWS = 200_000
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """All matches with their positions in code points and what stands before them, from the pieces between matches."""
+    """All matches with their positions in code points and their contexts, from the pieces between matches.
+
+    Of what stands before a match the last two whole words and what is glued to the match are carried on to the next one.
+    """
 
     def walk(x: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
             before, value = F.get(x["pieces"], i), F.get(x["hits"], i)
             start = state["at"] + F.length(before)
-            last = F.concat(F.coalesce(F.get(x["hits"], i - 1), F.lit("")), before)
-            span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(last, F.lit(REACH)).alias("left"))
-            return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), (start + F.length(value)).alias("at"))
+            words = F.split(F.concat(state["tail"], F.coalesce(F.get(x["hits"], i - 1), F.lit("")), before), r"\s+")
+
+            def seen(w: Column) -> Column:
+                span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), context(w).alias("ctx"))
+                tail = F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), " ")
+                return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), (start + F.length(value)).alias("at"), tail.alias("tail"))
+
+            return F.get(F.transform(F.array(words), seen), F.lit(0))
 
-        none = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"))
+        none = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"), F.lit("").alias("tail"))
         return F.when(F.size(x["hits"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), none, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
@@ -77,13 +83,13 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end, value, left) by kind as in KINDS (numbered from 0), then start."""
+    """Array of (kind, start, end, value, ctx) by kind as in KINDS (numbered from 0), then start."""
 
     def of(number: int, kind: str) -> Column:
         has = F.contains(text, F.lit("@")) if kind == "email" else F.rlike(text, F.lit(NEEDS[kind]))
         spans = F.when(has, _located(text, PATTERNS[kind])).otherwise(F.array().cast(SPAN))
         good = F.filter(spans, lambda s: _valid(kind, s["value"]))
-        return F.transform(good, lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left")))
+        return F.transform(good, lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["ctx"].alias("ctx")))
 
     return F.concat(*[of(number, kind) for number, kind in enumerate(KINDS)])
 
@@ -95,7 +101,7 @@ def candidates(text: Column) -> Column:
     def trimmed(s: Column) -> Column:
         inner = F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+]*+(.*?)[^\p{L}\p{N}]*$", 1)
         lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+]*+", 0))
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(inner)).alias("end"), inner.alias("value"), s["left"].alias("left"))
+        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(inner)).alias("end"), inner.alias("value"), s["ctx"].alias("ctx"))
 
     return F.filter(F.transform(spans, trimmed), lambda s: F.length(s["value"]) >= 5)
 
@@ -104,10 +110,9 @@ def _alike(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "[0-9]+", "0")
 
 
-def context(left: Column) -> Column:
-    """Hash of the two words before an entity, or null where there are fewer in reach."""
-    words = F.filter(F.split(left, r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.xxhash64(_alike(F.element_at(words, -2)), _alike(F.element_at(words, -1))))
+def context(words: Column) -> Column:
+    """Hash of the two whole words before an entity, or null where there are fewer; the last item is what is glued to it."""
+    return F.when((F.size(words) >= 3) & (F.get(words, F.size(words) - 3) != ""), F.xxhash64(_alike(F.element_at(words, -3)), _alike(F.element_at(words, -2))))
 
 
 def context_totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
     its mentions' confidences by all its occurrences in the corpus, whatever follows there. A value's confidence is
     1 - product of (1 - confidence) over the patterns of its mentions. Rounds end early when nothing new is found.
     """
-    seeds = found.select("doc_id", "hash", F.explode("spans").alias("s")).select("doc_id", "hash", "s.kind", "s.value", context(F.col("s.left")).alias("ctx"), F.lit(1.0).alias("conf"))
+    seeds = found.select("doc_id", "hash", F.explode("spans").alias("s")).select("doc_id", "hash", "s.kind", "s.value", "s.ctx", F.lit(1.0).alias("conf"))
     seeds = staged(seeds.where("ctx is not null"), "seeds")
 
     def supported(instances: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
 
     maybe = found.select("doc_id", "hash", "spans", F.explode("others").alias("c"))
     free = ~F.exists("spans", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    maybe = maybe.where(free).select("doc_id", "hash", "c.start", "c.end", "c.value", context(F.col("c.left")).alias("ctx")).where("ctx is not null")
+    maybe = maybe.where(free).select("doc_id", "hash", "c.start", "c.end", "c.value", "c.ctx").where("ctx is not null")
     maybe = staged(maybe, "candidates")
     held = staged(seeds.select(F.col("doc_id").alias("d"), F.col("hash").alias("h")).distinct(), "seeded")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
@@ -150,9 +155,10 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
         asked = patterns.select("ctx").distinct() if known is None else patterns.select("ctx").distinct().join(known, "ctx", "left_anti")
         asked = staged(asked, "contexts")
         if not asked.isEmpty():
-            # The texts that hold seeds bound the totals from below, which settles common contexts without counting them everywhere.
+            # The texts that hold seeds bound the totals from below, which settles common contexts without counting them
+            # everywhere; a context that they do not hold, learnt from values found elsewhere, is bounded by nothing.
             bound = staged(context_totals(seeded, asked), "bounds")
-            asked = staged(patterns.join(bound, "ctx").where(F.col("conf") >= pattern_least * F.col("total")).select("ctx").distinct(), "contexts")
+            asked = staged(patterns.join(asked, "ctx", "left_semi").join(bound, "ctx", "left").where(F.col("conf") >= pattern_least * F.coalesce("total", F.lit(0))).select("ctx").distinct(), "contexts")
         if not asked.isEmpty():
             totals = staged(context_totals(docs, asked), "totals")
             known = totals if known is None else known.union(totals)

@@ -297,6 +297,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[3] == "lorem ipsum account mail: [email] dolor 3" and "hidden99" not in clean[100] and clean[101] == rows[-1][1]
 
 
+def test_contexts_of_later_rounds_may_lack_seeds(spark):
+    rows = [(i, f"lorem ipsum account mail: user{i}@mail.example.com dolor") for i in range(150)]
+    rows += [(200 + i, f"lorem account mail: hidden{i}(at)mail dolor ticket code: hidden{i}(at)mail") for i in range(9)]
+    rows += [(300, "sit amet ticket code: other77(at)mail dolor")]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200].count("email:") == 2 and got[300] == "email:22:37"
+
+
+def test_contexts_are_whole_words_of_the_text(spark):
+    rows = [(i, f"lorem call phone 2: +15550100{i:02d} now") for i in range(12)] + [(100, "lorem call phone 2: AB-1234 now")]
+    rows += [(20 + i, f"say to user me (u{i}@mail.example.com) now") for i in range(12)] + [(101, "say to user me (hidden55(at)mail) now")]
+    got = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:20:27" and got[101] == "email:16:32"
+
+
 def test_pii_odd(odd):
     got = pii.pii_digest(odd).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got) and pii.pii_digest(odd.limit(0)).collect() == []
