@@ -1,7 +1,8 @@
 """Licences by sentence rules: known sentences give identifiers, ordered rules match sequences of identifiers.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences. The identifiers of a text,
-in order and without what lies between, are matched against rules; longer rules come first and use up what they match.
+A text is normalised with its sentence and line ends marked, and known licence sentences are looked for between marks;
+they may run over line ends and clauses. The identifiers of a text, in order and without what lies between, are matched
+against rules; longer rules come first and use up what they match.
 All of it is DataFrame functions.
 """
 
@@ -61,17 +62,24 @@ RULES = (
     ("cc0-1.0", "CC0-1.0", ("cc0",)),
     ("all-rights-reserved", "proprietary", ("reserved",)),
 )
-#: White space that ends a sentence after one of .!?;: and the line ends.
-BOUNDARY = r"(?<=[.!?;:])[ \t\f\r]+|[\n]"
+#: Marks in normalised text, capitals as all else is lower case: S ends a sentence, N a line, and W a clause. A known sentence
+#: begins and ends at a mark. Inside it one N or a run of W may stand for a blank; S and a blank line (N twice) may not.
+MARKS = ((r"[.!?][ \t\f\r\n]", "S"), (r"\n", "N"), (r"[;:][ \t\f\r]", "W"), (r"[^a-z0-9NSW]+", " "))
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, BOUNDARY, -1)
+def marked(text: Column) -> Column:
+    """Lower case, a mark for each end of a sentence, line or clause, other runs of anything but a-z and 0-9 as one blank."""
+    text = F.lower(text)
+    for pattern, mark in MARKS:
+        text = F.regexp_replace(text, pattern, mark)
+    text = F.regexp_replace(F.concat(F.lit("S"), text, F.lit("S")), " ?([NSW]) ?", "$1")
+    return F.regexp_replace(text, "(?<!W)W*+([NS])W*+", "$1")
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, runs of anything but a-z and 0-9 as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _known() -> str:
+    """A pattern of all known sentences between marks, longer ones first."""
+    texts = sorted({text for _, text in SENTENCES}, key=lambda t: (-len(t), t))
+    return "(?<=[NSW])(?:" + "|".join(t.replace(" ", "(?: |N|W++)") for t in texts) + ")(?=[NSW])"
 
 
 def _pattern(names: tuple[str, ...]) -> str:
@@ -81,16 +89,14 @@ def _pattern(names: tuple[str, ...]) -> str:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, sentence_ids (identifiers in order), rules (names in the order of RULES), licenses.
 
-    sentence_ids holds every known sentence of the whole text, repeats included. licenses is the sorted set of the matched
+    sentence_ids holds every known sentence of the whole text, repeats included, also those wrapped over several lines. licenses is the sorted set of the matched
     rules' licences. Null, empty or blank texts give empty lists. Rows with a null id and repeated rows each give a row.
     Extra columns are ignored; an empty table gives an empty result.
     """
     rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     known = F.create_map(*[F.lit(x) for name, text in SENTENCES for x in (text, name)])
-    longest = max(len(text) for _, text in SENTENCES)
-    # A known sentence has few blanks and marks besides its words; four times its length is beyond all of them.
-    short = F.filter(sentences(F.col("text")), lambda s: F.length(F.btrim(s)).between(5, 4 * longest))
-    ids = F.filter(F.transform(short, lambda s: F.element_at(known, normalised(s))), lambda x: x.isNotNull())
+    hits = F.regexp_extract_all(marked(F.col("text")), F.lit(_known()), F.lit(0))
+    ids = F.transform(hits, lambda s: F.element_at(known, F.regexp_replace(s, "[NW]+", " ")))
     rows = rows.select("doc_id", ids.alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(licence).alias("licence"), F.lit(_pattern(ids)).alias("pattern")) for name, licence, ids in RULES])
     sequence = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
@@ -112,7 +118,10 @@ def license_digest(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same in DuckDB: sentences by a line break after each mark, then the rules one after another."""
+    """DuckDB twin: sentences by a line break after each mark, then the rules one after another.
+
+    It knows only sentences that stand on one line without an inner `;` or `:`, and so is narrower than scan_licenses.
+    """
     known = ", ".join(f"('{text}', '{name}')" for name, text in SENTENCES)
     steps, hits = ["q AS r0"], []
     for n, (name, licence, ids) in enumerate(RULES):

@@ -113,6 +113,75 @@ def test_license_rules(spark):
     assert got == {1: (["mit-titled-text"], ["MIT"]), 2: (["mit-short", "all-rights-reserved"], ["MIT", "proprietary"]), 3: ([], []), 4: ([], []), None: (["cc-by-nc-4.0-short"], ["CC-BY-NC-4.0"])}
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_license_texts_as_they_are_wrapped(spark):
+    texts = {"gpl-3.0-header": GPL.format(":", ",", 3), "gpl-2.0-header": GPL.format(";", ";", 2), "apache-2.0-header": APACHE, "mit-titled-text": MIT, "bsd-3-clause-text": BSD}
+    ways = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f" * {x}\n" for x in t.split("\n")), lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    rows = [(i, way(t), name) for name, t in texts.items() for i, way in enumerate(ways)]
+    got = license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.rules for r in got} == {k: [name] for k, (_, _, name) in enumerate(rows)}
+    cut = [(1, "Some words\nAll rights reserved\nmore words"), (2, "all rights\n\nreserved"), (3, "all rights. Reserved"), (4, "ж; " * 20_000 + "\nReleased under the\nMIT License"), (5, "; " * 20_000 + "the\n" * 20_000)]
+    got = license_scan.scan_licenses(spark.createDataFrame(cut, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.sentence_ids for r in got} == {1: ["reserved"], 2: [], 3: [], 4: ["mit-short"], 5: []}
+
+
 def test_license_odd(spark, odd):
     assert license_scan.license_digest(odd).count() == len(ODD) and license_scan.license_digest(odd.limit(0)).count() == 0
 
