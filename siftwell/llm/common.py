@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Odd multiplier of the rolling word hash, and the two multipliers of the 64-bit finaliser (fixed values).
+#: Odd multiplier that joins the hashes of a shingle's words, and the two multipliers of the 64-bit finaliser (fixed values).
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share; a folder of our own only in local mode where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{os.path.join(tempfile.gettempdir(), 'siftwell-shared')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -38,6 +41,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables. All that was made from them must have been written by then."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns(df: DataFrame, **named: str | Column) -> DataFrame:
     """Only the given columns under the given names; other input columns, whatever their names, are left out."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in named.items()])
@@ -55,46 +66,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of the words of a text, one word being a run of bytes other than ASCII white space.
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the next text; emptied when there are very many."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of bytes other than ASCII white space, with A-Z lower-cased (bytes.lower and bytes.split know ASCII alone)."""
+    return text.lower().split()
 
-    A word's hash is a polynomial in an odd base over its bytes modulo 2**64, taken for all words of the text at once
-    from prefix sums, then finalised together with the word's length. A-Z are lower-cased first.
-    """
 
-    def __init__(self) -> None:
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-        self.space = np.zeros(256, bool)
-        self.space[[0x20, *range(0x09, 0x0E)]] = True
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            n = 1 << n.bit_length()
-            back = np.uint64(pow(int(ROLL), -1, 1 << 64))
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, ROLL)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, back)]), dtype=np.uint64)
-
-    def words(self, text: bytes) -> np.ndarray:
-        raw = np.frombuffer(text.lower(), np.uint8)
-        if not len(raw):
-            return np.zeros(0, np.uint64)
-        edge = np.diff(np.concatenate([[True], self.space[raw], [True]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self._grow(len(raw))
-        total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], dtype=np.uint64)])
-        return mixed((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-
-    def shingles(self, text: bytes, size: int) -> np.ndarray:
-        """Sorted distinct hashes of runs of `size` words; of the whole sequence when there are fewer; none without words."""
-        w = self.words(text)
-        n = min(size, len(w))
-        if not n:
-            return np.zeros(0, np.uint64)
-        out = np.full(len(w) - n + 1, np.uint64(n))
-        for k in range(n):
-            out = mixed(out * ROLL + w[k : len(w) - n + 1 + k])
-        return np.unique(out)
+def shingles_of(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    """Distinct runs of `size` words; the whole sequence when there are fewer; none without words."""
+    n = min(size, len(words))
+    return set(zip(*[words[k:] for k in range(n)], strict=False)) if n else set()
+
+
+def shingle_hashes(words: list[bytes], size: int, known: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; for finding candidates, never for counting."""
+    n = min(size, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    out = np.full(len(w) - n + 1, np.uint64(n))
+    for k in range(n):
+        out = mixed(out * ROLL + w[k : len(w) - n + 1 + k])
+    return np.unique(out)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -120,24 +124,38 @@ def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+#: A node with more than this share of all edges is hot, so that at most 2 / HOT_SHARE nodes are; those are broadcast.
+HOT_SHARE = 1 / 500
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """Edges (a, b) with the column low of their a in `least` (a, low, n); the edges of hot nodes are not brought together."""
+    hot = least.where(F.col("n") > max(1000, n_edges * HOT_SHARE)).select("a", F.col("low").alias("hot_low"))
+    cut = edges.join(F.broadcast(hot), "a", "left")
+    rest = cut.where("hot_low is null").select("a", "b").join(least.select("a", "low"), "a")
+    return cut.where("hot_low is not null").select("a", "b", F.col("hot_low").alias("low")).union(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): rows (id, component), component being the smallest id reachable.
 
-    Alternating large-star and small-star rounds; each round is two aggregations with map-side combine and joins that
-    adaptive execution splits when one node has very many edges, and is written to the shared folder. Ids without an
-    edge to another id are not returned. Null ids are left out.
+    Alternating large-star and small-star rounds; each round is two aggregations with map-side combine and two joins, from
+    which the edges of nodes with very many are kept out, and is written to the shared folder. Ids without an edge to
+    another id are not returned. Null ids are left out.
     """
     live = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark = live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")), "least")
+        large = _with_least(both.where("b > a"), low, 2 * mark[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = staged(large, "edges")
+        discard(live, low)
+        least = staged(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "least")
+        small = _with_least(large, least, mark[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         live = staged(small, "edges")
-        now = live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark:
+        discard(large, least)
+        before, mark = mark, live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if before == mark:
             roots = live.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             return live.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
-        mark = now

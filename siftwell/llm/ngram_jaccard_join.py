@@ -1,14 +1,16 @@
 """Set-similarity join of documents on word shingles: universe partitioning with the pigeonhole principle.
 
-Shingles are hashed into segments; the number of segments is set by the size band of the document. Two sets with Jaccard
-similarity of at least t differ in at most H = (1 - t)/(1 + t) * (|r| + |s|) shingles, so that with segments whose
-levels add up to H + 1 at least one segment of level 1 is identical, or one of level 2 differs in at most one shingle.
-A segment of level 1 is indexed by its hash, one of level 2 also by the hashes with one shingle left out. Candidates
-that share a signature are verified exactly on their whole sets.
+Shingles are hashed into the segments of a size band. Two sets with Jaccard similarity of at least t differ in at most
+H = (1 - t)/(1 + t) * (|r| + |s|) shingles, so that among segments whose levels add up to H + 1 at least one of level 1 is
+identical, or one of level 2 differs in at most one shingle. A set therefore indexes only its first segments that are not
+empty, up to that sum: a segment by its hash, one of level 2 also by the hashes with one shingle left out. Documents that
+share a signature are candidates. A parity sketch, whose differing bits never outnumber the differing shingles, drops
+candidates that cannot be similar; the others are verified on the words of their whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,20 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import WordHasher, binary_values, broadcast_within, columns, components, least_roots, mixed, signed, staged
+from siftwell.llm.common import WordHashes, binary_values, broadcast_within, columns, components, discard, mixed, shingle_hashes, shingles_of, signed, staged, words_of
 
 #: Ratio of the largest to the smallest set size of a band.
-BAND = 1.5
-#: Cost of a segment that unrelated sets may share, in signatures, for the allocation of levels.
+BAND = 2.0
+#: Cost of a segment that unrelated sets share, in signatures, for the allocation of levels.
 COLLISION_COST = 40.0
-#: Ids of up to this many documents (16 bytes each) are broadcast when texts are fetched again; beyond, Spark shuffles.
-BROADCAST_IDS = 2_000_000
+#: Bits of a signature. Signatures of different segments that are equal by chance only cost a comparison.
+SIGNATURE_BITS = 48
+#: Ids of up to this many documents (2 MB) are broadcast when texts are fetched again; beyond, Spark shuffles.
+BROADCAST_IDS = 250_000
 #: Rounds in which each bucket compares its members with one centre before families of unconnected members are compared.
 STAR_ROUNDS = 2
-#: Sets and shingles that a task takes of a family; larger families are cut into blocks and each pair of blocks is a task.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-#: Shingles that are counted at once.
-COUNTED = 2048
+#: Sets that a task takes of a family, and bytes of texts; larger families are cut and each pair of blocks is a task.
+BLOCK_SETS, BLOCK_BYTES = 1024, 8_000_000
+#: Signatures, and bytes of texts, that a task holds before it passes rows on.
+HELD_SIGNATURES, KEPT_SETS = 300_000, 64
 
 
 def band_of(size: int) -> int:
@@ -51,256 +55,330 @@ def most_different(sizes: int, num: int, den: int) -> int:
     return (den - num) * sizes // (den + num)
 
 
+def levels_needed(size: int, top: int, num: int, den: int) -> int:
+    """Sum of levels that a set must index in a band: one more than it can differ from any similar set of the band."""
+    return most_different(size + min(top, size * den // num), num, den) + 1
+
+
 @lru_cache(maxsize=256)
-def allocation(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """Segments of a band, how many of them have level 2, and how many empty ones a set may leave out.
+def allocation(band: int, num: int, den: int) -> tuple[int, int]:
+    """Segments of a band, and how many of them, the first ones, have level 2.
 
-    Levels add up to at least H + 1 + spare, so that with up to `spare` empty segments left out the pigeonhole still
-    holds for the others. Among all numbers of level-2 segments the one of least cost is taken: signatures of a set, plus
-    what segments cost that are so small that unrelated sets share them.
+    Together the levels are at least as many as the largest sets need, and so many more that these sets seldom fill too
+    few segments. Among the numbers of level-2 segments the one of least cost is taken: the signatures of a middling set,
+    plus what segments cost that are so small that unrelated sets share them.
     """
-    size = band_top(band)
-    need, best = most_different(2 * size, num, den) + 1, None
-    for two in range(0, need // 2 + 1) if need <= 64 else (0,):
-        for spare in range(0, need + 2) if need <= 64 else (_spare(size, need),):
-            count = need + spare - two
-            if two > count:
-                continue
-            each = size / count
-            empty = math.exp(-each)
-            lost = _over(count * empty, spare)
-            cost = count + two * each + COLLISION_COST * (count * math.exp(-1.5 * each) + two * math.exp(-1.5 * max(0.0, each - 1)) + count * empty * lost)
-            if best is None or cost < best[0]:
-                best = (cost, count, two, spare)
+    top = band_top(band)
+    need = levels_needed(top, top, num, den)
+    size, best = (top + 1) * 0.75, None
+    asked = levels_needed(int(size), top, num, den)
+    for two in sorted({need * k // 32 for k in range(17)}):
+        count = max(1, need - two)
+        while need > 1 and count < 2 * need and count + two < need + count * math.exp(-top / count) + 3 * math.sqrt(count * math.exp(-top / count)):
+            count += max(1, count // 50)
+        each = size / count
+        used = min(two, asked // 2)
+        single = max(0, asked - 2 * used)
+        cost = used * (1 + each) + single + COLLISION_COST * (single * math.exp(-1.5 * each) + used * math.exp(-1.5 * max(0.0, each - 1)))
+        if best is None or cost < best[0]:
+            best = (cost, count, two)
     return best[1:]
 
 
-def _spare(size: int, need: int) -> int:
-    mean = need * math.exp(-size / need)
-    return math.ceil(mean + 5 * math.sqrt(mean) + 1)
-
+def signatures(shingles: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+    """Signatures of a set of `size` shingles in its own band and in those where a similar larger set can be.
 
-def _over(mean: float, most: int) -> float:
-    """Probability that a Poisson number exceeds `most`."""
-    term = total = math.exp(-mean)
-    for k in range(1, most + 1):
-        term *= mean / k
-        total += term
-    return max(0.0, 1 - total)
-
-
-def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """64-bit signatures of a set in its own band, and in the next one if a similar larger set can be there.
-
-    The lowest bit of a signature tells a whole segment (0) from one with a shingle left out (1).
+    Of two similar sets, take the one whose indexed segments end first. It indexes levels for one more difference than
+    there is, so one of these segments is the same in both, or differs in one shingle and has level 2; the other set
+    indexes it too. A set that fills too few segments indexes all, the empty ones included, and leaves out single
+    shingles too: two such sets then agree in a segment, as all levels together are more than their differences.
     """
-    size = len(shingles)
-    own, out = band_of(size), []
-    for band in {own, band_of(max(size, size * den // num))}:
-        count, two, spare = allocation(band, num, den)
+    out = []
+    for band in range(band_of(size), band_of(max(size, size * den // num)) + 1):
+        count, two = allocation(band, num, den)
+        need = levels_needed(size, band_top(band), num, den)
         place = mixed(shingles ^ np.uint64(band + 1))
-        segment = (place >> np.uint64(11)) % np.uint64(count)
+        segment = ((place >> np.uint64(11)) % np.uint64(count)).astype(np.int64)
         element = mixed(place ^ np.uint64(0xD6E8FEB86659FD93))
-        whole = np.zeros(count, np.uint64)
-        np.add.at(whole, segment, element)
-        filled = np.bincount(segment.astype(np.int64), minlength=count) > 0
-        label = mixed(np.arange(count, dtype=np.uint64) * np.uint64(256) + np.uint64(band))
-        keep = filled if count - filled.sum() <= spare else np.ones(count, bool)
-        out.append(mixed(whole[keep] + label[keep]) << np.uint64(1))
+        order = np.argsort(segment, kind="stable")
+        segment, element = segment[order], element[order]
+        first = np.flatnonzero(np.diff(segment, prepend=-1))
+        number, held = segment[first], np.diff(first, append=len(segment))
+        whole = np.add.reduceat(element, first)
+        label = mixed(number.astype(np.uint64) * np.uint64(256) + np.uint64(band))
+        sums = np.cumsum(np.where((number < two) & (held > 1), 2, 1))
+        last = int(np.searchsorted(sums, need)) + 1
+        least = 2
+        if sums[-1] < need:
+            least = 1
+            empty = np.setdiff1d(np.arange(count), number).astype(np.uint64)
+            out.append(mixed(mixed(empty * np.uint64(256) + np.uint64(band))))
+        out.append(mixed(whole[:last] + label[:last]))
         if two:
-            cut = segment < two
-            at = segment[cut].astype(np.int64)
-            out.append((mixed(whole[at] - element[cut] + label[at]) << np.uint64(1)) | np.uint64(1))
-    return np.concatenate(out)
+            of = np.repeat(np.arange(len(first)), held)
+            cut = (of < last) & (number[of] < two) & (held[of] >= least)
+            out.append(mixed(whole[of[cut]] - element[cut] + label[of[cut]]))
+    return np.unique(np.concatenate(out) >> np.uint64(64 - SIGNATURE_BITS))
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, set_id, n, shingles): a set's 64-bit id, its size and its sorted shingle hashes as bytes."""
+def sketch_bits(size: int, num: int, den: int) -> int:
+    """Bits of the parity sketch of a set: a power of two, about four times as many as its similar sets differ in."""
+    return 1 << max(6, (4 * most_different(2 * size, num, den)).bit_length())
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            ids, sets, total = [], [], 0
-            for doc, text in zip(batch.column(0), binary_values(batch.column(1)), strict=True):
-                ids.append(doc.as_py())
-                sets.append(hasher.shingles(text, size))
-                total += len(sets[-1])
-                if total > 500_000:
-                    yield _sets(ids, sets)
-                    ids, sets, total = [], [], 0
-            if ids:
-                yield _sets(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, set_id long, n long, shingles binary")
+def parity_sketch(shingles: np.ndarray, bits: int) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of shingles has it."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer bits."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def can_be_similar(a: bytes, b: bytes, sizes: int, num: int, den: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= most_different(sizes, num, den)
+
+
+MARKED = "doc_id long, hi long, lo long, n long, sketch binary, signatures array<long>"
+
 
+def _marked(size: int, num: int, den: int):
+    """Rows (doc_id, text) to those of MARKED. hi and lo are a 128-bit digest of the document's words in order."""
 
-def _id_of(s: np.ndarray) -> int:
-    return int(mixed(np.array([np.add.reduce(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64) + np.uint64(len(s))]))[0])
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        ids, digests, ns, sketches, lists = zip(*rows, strict=True)
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        arrays = [pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate(lists)))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "hi", "lo", "n", "sketch", "signatures"])
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = WordHashes(), np.zeros(0, np.uint64)
+        for batch in batches:
+            rows, total = [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
+                words = words_of(text)
+                n = len(shingles_of(words, size))
+                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                if n and doc is not None:
+                    hashes = shingle_hashes(words, size, known)
+                    rows.append((doc, digest, n, parity_sketch(hashes, sketch_bits(n, num, den)), signatures(hashes, n, num, den)))
+                else:
+                    rows.append((doc, digest, n, b"", none))
+                total += len(rows[-1][-1])
+                if total > HELD_SIGNATURES:
+                    yield out(rows)
+                    rows, total = [], 0
+            if rows:
+                yield out(rows)
 
-def _sets(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(np.array([_id_of(s) for s in sets], np.uint64)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_id", "n", "shingles"])
+    return made
 
 
-def _signed_sets(size: int, num: int, den: int):
-    """Documents to rows (doc_id, set_id, n, signatures)."""
+def _possible(num: int, den: int):
+    """Pairs (a, b, na, nb, sketches) to the pairs (a, b) that their sketches do not rule out."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            ids, found, ns, lists, total = [], [], [], [], 0
-
-            def out() -> pa.RecordBatch:
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = signed(np.concatenate(lists) if lists else np.zeros(0, np.uint64))
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), signed(np.array(found, np.uint64)), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "set_id", "n", "signatures"])  # noqa: B023
-
-            for doc, text in zip(batch.column(0), binary_values(batch.column(1)), strict=True):
-                s = hasher.shingles(text, size)
-                ids.append(doc.as_py())
-                found.append(_id_of(s))
-                ns.append(len(s))
-                lists.append(signatures(s, num, den) if len(s) and ids[-1] is not None else np.zeros(0, np.uint64))
-                total += len(lists[-1])
-                if total > 300_000:
-                    yield out()
-                    ids, found, ns, lists, total = [], [], [], [], 0
-            if ids:
-                yield out()
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep = [can_be_similar(a, b, n, num, den) for a, b, n in zip(binary_values(batch.column(4)), binary_values(batch.column(5)), sizes, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return made
 
 
-def _verified(num: int, den: int):
-    """Pairs with both sets to those pairs whose similarity is at least num/den, by exact counts."""
+def _verified(size: int, num: int, den: int):
+    """Pairs with both texts to those pairs whose similarity is at least num/den, counted on the shingles' words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, set] = {}
+
+        def of(text: bytes) -> set:
+            if text not in kept:
+                if len(kept) >= KEPT_SETS:
+                    kept.clear()
+                kept[text] = shingles_of(words_of(text), size)
+            return kept[text]
+
         for batch in batches:
             good = []
             for left, right in zip(binary_values(batch.column(2)), binary_values(batch.column(3)), strict=True):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = of(left), of(right)
+                both = len(a & b)
                 good.append(den * both >= num * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return made
 
 
-def _linked_in_block(num: int, den: int):
-    """Sets of two blocks of a family to their links (a, b), reduced to each set and its root in the task.
+def _near(n: np.ndarray, part: np.ndarray, done: np.ndarray, sketches: list[bytes], low: int, high: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set of a pair of blocks the larger sets of the other block that sizes and sketches allow to be similar."""
+    words = np.array([len(x) // 8 for x in sketches])
+    by_words = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    tables = {(w, w): np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), w) for w, at in by_words.items()}
+    for i in range(len(n)):
+        mine = tables[words[i], words[i]][np.searchsorted(by_words[words[i]], i)]
+        for w, at in by_words.items():
+            if w < words[i]:
+                continue
+            fit = (n[at] >= n[i]) & (n[at] * num <= n[i] * den) & (done[at] != done[i]) & ((n[at] > n[i]) | (at > i))
+            if low != high:
+                fit &= part[at] != part[i]
+            if fit.any():
+                if (w, words[i]) not in tables:
+                    tables[w, words[i]] = folded(tables[w, w], words[i])
+                differ = np.bitwise_count(tables[w, words[i]][fit] ^ mine).sum(axis=1)
+                found = at[fit][differ <= (den - num) * (n[at[fit]] + n[i]) // (den + num)]
+                if len(found):
+                    yield i, found
+
 
-    Common shingles of all pairs are counted by matrix products over the shingles that several sets have; no pair leaves
-    the task. Sets that are connected already are not linked again.
-    """
+def _alive_in_block(num: int, den: int):
+    """Sets of two blocks of a family to the ids of those that some set of another component may be similar to."""
 
     def made(key: tuple, group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
-        part, ids, done = (group[c].to_numpy() for c in ("part", "set_id", "component"))
-        one = np.flatnonzero(part == low)
-        two = one if low == high else np.flatnonzero(part == high)
-        sets = [np.frombuffer(x, np.uint64) for x in binary_values(group["shingles"].combine_chunks())]
-        sizes = np.array([len(x) for x in sets])
-        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        owner, number = owner[number >= 0], number[number >= 0]
-        order = np.argsort(number, kind="stable")
-        owner, number = owner[order], number[order]
-        both = np.zeros((len(one), len(two)), np.float32)
-        for at in range(0, int(number[-1]) + 1 if len(number) else 0, COUNTED):
-            a, b = np.searchsorted(number, [at, at + COUNTED])
-            has = np.zeros((len(sets), COUNTED), np.float32)
-            has[owner[a:b], number[a:b] - at] = 1
-            both += has[one] @ has[two].T
-        union = sizes[one][:, None] + sizes[two][None, :] - both
-        near = (den * both >= num * union) & (done[one][:, None] != done[two][None, :])
-        i, j = np.nonzero(near)
-        root = least_roots(len(ids), one[i], two[j])
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": signed(ids[moved]), "b": signed(ids[root[moved]])})
+        n, part, done, ids = (group[c].to_numpy() for c in ("n", "part", "component", "id"))
+        alive = np.zeros(len(ids), bool)
+        for i, found in _near(n, part, done, list(binary_values(group["sketch"].combine_chunks())), key[1].as_py(), key[2].as_py(), num, den):
+            alive[i] = True
+            alive[found] = True
+        return pa.table({"id": pa.array(ids[alive], pa.int64())})
 
     return made
 
 
-def _links_in_families(open_members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between members that are not connected yet.
+def _linked_in_block(size: int, num: int, den: int):
+    """Sets of two blocks of a family to links (a, b) that connect all similar ones; no other pair leaves the task."""
 
-    Members that share buckets, directly or through others, are a family. Its sets are brought together once, cut into
-    blocks where there are many, and compared within each pair of blocks.
-    """
-    least = open_members.groupBy("sig").agg(F.min("set_id").alias("b"))
-    families = staged(components(open_members.join(least, "sig").select(F.col("set_id").alias("a"), "b")), "families").select(F.col("id").alias("set_id"), F.col("component").alias("family"))
-    rows = open_members.select("set_id", "component").distinct().join(families, "set_id").join(sets, "set_id")
-    cuts = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cut"))
-    rows = rows.join(cuts, "family").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("cut")).cast("int"))
+    def made(key: tuple, group: pa.Table) -> pa.Table:
+        n, part, done, ids = (group[c].to_numpy() for c in ("n", "part", "component", "id"))
+        sets = [shingles_of(words_of(x), size) for x in binary_values(group["text"].combine_chunks())]
+        root = {c: c for c in done.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for i, found in _near(n, part, done, list(binary_values(group["sketch"].combine_chunks())), key[1].as_py(), key[2].as_py(), num, den):
+            for j in found.tolist():
+                x, y = top(int(done[i])), top(int(done[j]))
+                if x != y:
+                    both = len(sets[i] & sets[j])
+                    if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(x, y)] = min(x, y)
+                        links.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return made
+
+
+def _in_blocks(rows: DataFrame, keep: list[str], weight: str) -> DataFrame:
+    """Rows (family, id, ...) cut into blocks of bounded size, each row once for each pair of blocks that it belongs to."""
+    cuts = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("cut"))
+    rows = rows.join(cuts, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    rows = rows.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "set_id", "component", "shingles")
-    return rows.groupBy("family", "low", "high").applyInArrow(_linked_in_block(num, den), "a long, b long")
+    return rows.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *keep)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
-    A document's set holds the hashes of its distinct runs of `size` words (a word is a run of characters other than ASCII
-    white space, A-Z lower-cased); with fewer words the whole sequence is one; a null, empty or blank text has none and
-    links with nothing. Documents link when den * intersection >= num * union. component_id is the smallest doc_id
-    reachable by links, itself included. Equal sets are one node throughout. Within a bucket members are first compared
-    with one centre each round; members that are then connected need no comparison. What is still unconnected in a bucket is
-    compared within families of such members, in blocks, so that no link is lost and no group expands into rows of pairs. Rows with a null id get a null
-    component and link with nothing; repeated rows each give a row. Extra columns are ignored. An empty table gives an
-    empty result.
+    A document's set holds its distinct runs of `size` words (a word is a run of characters other than ASCII white space,
+    A-Z lower-cased); with fewer words the whole sequence is one; a null, empty or blank text has none and links with
+    nothing. Documents link when den * intersection >= num * union. component_id is the smallest doc_id reachable by
+    links, itself included. Documents with equal words are one node, known by a 128-bit digest; all other counts are taken
+    on words. Each member of a bucket is first compared with one centre; members that are then connected need no
+    comparison. What is still unconnected in a bucket is compared within families of such members, in blocks, so that no
+    link is lost and no group expands into rows of pairs. Rows with a null id get a null component and link with nothing;
+    repeated rows each give a row; rows of one id with different texts are one document with the links of all of them.
+    Extra columns are ignored. An empty table gives an empty result.
     """
     docs = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    marked = staged(docs.mapInArrow(_signed_sets(size, num, den), "doc_id long, set_id long, n long, signatures array<long>"), "signatures")
-    met = marked.where("doc_id is not null").select("set_id", F.explode("signatures").alias("s"))
-    met = met.select((F.shiftright("s", 1)).alias("sig"), "set_id", F.col("s").bitwiseAND(F.lit(1)).cast("boolean").alias("cut"))
-    # Copies of one set in a bucket are one member; a bucket needs two different ones, one of them with a whole segment.
-    shared = met.groupBy("sig").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.min("cut").alias("all_cut")).where("low <> high and not all_cut")
-    shared = staged(shared.select("sig"), "shared")
-    n_shared = shared.count()
-    firsts = staged(marked.where("doc_id is not null and n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
-
-    def named_by(of_set: DataFrame) -> DataFrame:
-        """The result from the least doc_id (least) of each set's group; documents of one set share it."""
-        out = marked.select("doc_id", "set_id", "n").join(of_set, "set_id", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
-
-    if not n_shared:
-        return named_by(firsts.select("set_id", F.col("doc_id").alias("least")))
-    members = met.join(broadcast_within(shared, n_shared, BROADCAST_IDS), "sig")
-    members = staged(members.groupBy("sig", "set_id").agg(F.min("cut").alias("cut")), "members")
-    used = firsts.join(members.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
-    used = staged(used, "used")
-    texts = docs.join(broadcast_within(used, used.count(), BROADCAST_IDS), "doc_id", "left_semi")
-    sets = staged(shingle_sets(texts, size).select("set_id", "n", "shingles").dropDuplicates(["set_id"]), "sets")
-    sizes = sets.select("set_id", "n")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of set ids whose sizes allow the similarity."""
+    marked = staged(docs.mapInArrow(_marked(size, num, den), MARKED), "signatures")
+    nodes = marked.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
+    nodes = staged(nodes.where("id is not null"), "nodes")
+    copies = staged(marked.where("n > 0").select("doc_id", "hi", "lo").join(nodes, ["hi", "lo"]).where("doc_id <> id").select("doc_id").distinct(), "copies")
+    ones = marked.where("n > 0 and doc_id is not null").join(broadcast_within(copies, copies.count(), BROADCAST_IDS), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
+    met = ones.select("id", F.explode("signatures").alias("sig"))
+    shared = staged(met.groupBy("sig").agg(F.min("id").alias("centre"), F.count("*").alias("times")).where("times > 1").select("sig", "centre"), "shared")
+    members = staged(met.join(shared, "sig"), "members")
+    discard(shared)
+    sketches = ones.select("id", "n", "sketch")
+
+    def fetched(ids: DataFrame) -> DataFrame:
+        """The texts of the given documents, one row for each text."""
+        ids = staged(ids.distinct(), "asked")
+        found = docs.withColumnRenamed("doc_id", "id").join(broadcast_within(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
+        out = staged(found, "texts")
+        discard(ids)
+        return out
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b) of ids."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
-        with_sets = both.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right")), "b")
-        return with_sets.select("a", "b", "left", "right").mapInArrow(_verified(num, den), "a long, b long")
-
-    links, open_members = None, members.withColumn("component", F.col("set_id"))
+        with_sketches = pairs.join(sketches.toDF("a", "na", "left"), "a").join(sketches.toDF("b", "nb", "right"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+        possible = staged(with_sketches.select("a", "b", "na", "nb", "left", "right").mapInArrow(_possible(num, den), "a long, b long"), "possible")
+        texts = fetched(possible.select(F.explode(F.array("a", "b")).alias("id")))
+        with_texts = possible.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+        out = staged(with_texts.select("a", "b", "left", "right").mapInArrow(_verified(size, num, den), "a long, b long"), "links")
+        discard(possible, texts)
+        return out
+
+    def linked_in_families(open_members: DataFrame) -> DataFrame:
+        """All links that connect members of open buckets.
+
+        Members that share buckets, directly or through others, are a family. Sketches tell which of its sets may be similar
+        to one of another component; the texts of only those are brought together, in blocks where there are many.
+        """
+        least = open_members.groupBy("sig").agg(F.min("id").alias("b"))
+        families = staged(components(open_members.join(least, "sig").select(F.col("id").alias("a"), "b")), "families").withColumnRenamed("component", "family")
+        rows = open_members.select("id", "component").distinct().join(families, "id")
+        rows = staged(rows.join(sketches, "id").withColumn("weight", F.length("sketch").cast("long")), "open-sets")
+        alive = _in_blocks(rows, ["id", "component", "n", "sketch"], "weight").groupBy("family", "low", "high").applyInArrow(_alive_in_block(num, den), "id long")
+        alive = staged(alive.distinct(), "alive")
+        texts = fetched(alive)
+        few = rows.join(alive, "id").join(texts, "id").withColumn("weight", F.octet_length("text").cast("long"))
+        out = _in_blocks(few, ["id", "component", "n", "sketch", "text"], "weight").groupBy("family", "low", "high").applyInArrow(_linked_in_block(size, num, den), "a long, b long")
+        out = staged(out, "links")
+        discard(families, rows, alive, texts)
+        return out
+
+    links, groups, open_members = None, None, None
     for step in range(STAR_ROUNDS + 1):
-        if step < STAR_ROUNDS:
-            centre = open_members.where(~F.col("cut") if step == 0 else F.lit(True)).groupBy("sig").agg(F.min_by(F.struct("set_id", "cut", "component"), F.xxhash64("component", F.lit(step)) if step else F.col("set_id")).alias("c"))
-            pairs = open_members.join(centre, "sig").where("component <> c.component and not (cut and c.cut)").select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b"))
-            found = staged(verified(pairs), "links")
+        if step == 0:
+            votes = members.where("id <> centre").groupBy("id", "centre").count()
+            found = linked(votes.groupBy("id").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("b")).withColumnRenamed("id", "a"))
+        elif step < STAR_ROUNDS:
+            centre = open_members.groupBy("sig").agg(F.min_by(F.struct("id", "component"), F.xxhash64("component", F.lit(step))).alias("c"))
+            found = linked(open_members.join(centre, "sig").where("component <> c.component").select(F.col("id").alias("a"), F.col("c.id").alias("b")))
         else:
-            found = staged(_links_in_families(open_members, sets, num, den), "links")
+            found = linked_in_families(open_members)
         links = found if links is None else links.union(found)
+        if groups is not None:
+            discard(groups)
         groups = staged(components(links), "groups")
         if step < STAR_ROUNDS:
-            now = members.join(groups, members.set_id == groups.id, "left").select("sig", "set_id", "cut", F.coalesce("component", "set_id").alias("component"))
+            of = members if open_members is None else open_members
+            now = of.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
             several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-            open_members = staged(now.join(several, "sig", "left_semi"), "open")
+            still = staged(now.join(several, "sig", "left_semi"), "open")
+            discard(of)
+            open_members = still
             if open_members.isEmpty():
                 break
-    named = firsts.join(groups, firsts.set_id == groups.id).groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_set = firsts.join(groups, firsts.set_id == groups.id, "left").join(named, "component", "left").select("set_id", F.coalesce("least", "doc_id").alias("least"))
-    return named_by(of_set)
+    discard(open_members, links)
+    least = nodes.join(groups, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("least"))
+    out = marked.select("doc_id", "hi", "lo", "n").join(least, ["hi", "lo"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -436,12 +436,51 @@ def test_exact_copies_without_near_ones_are_linked(spark):
     assert sorted(str(r.doc_id) for r in ngram_jaccard_join.one_of_each_group(df).collect()) == sorted(map(str, [*range(8), 23, 24, None]))
 
 
-def test_allocation_covers_the_difference():
-    for num, den in ((90, 100), (80, 100), (50, 100)):
-        for size in (*range(1, 60), 200, 1000):
-            count, two, spare = ngram_jaccard_join.allocation(ngram_jaccard_join.band_of(size), num, den)
-            top = ngram_jaccard_join.band_top(ngram_jaccard_join.band_of(size))
-            assert count + two - spare >= ngram_jaccard_join.most_different(2 * top, num, den) + 1 and top >= size
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100), (30, 100)])
+def test_similar_sets_share_a_signature(num, den):
+    g = np.random.default_rng(num)
+    for size in (*range(1, 40), 63, 64, 65, 200, 700):
+        for _ in range(40):
+            a = np.unique(g.integers(0, 2**63, size).astype(np.uint64))
+            out = g.integers(0, ngram_jaccard_join.most_different(2 * size, num, den) + 1)
+            more = g.integers(0, ngram_jaccard_join.most_different(2 * size, num, den) + 1)
+            b = np.unique(np.concatenate([g.permutation(a)[: max(1, len(a) - out)], g.integers(0, 2**63, more).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both):
+                assert np.intersect1d(ngram_jaccard_join.signatures(a, len(a), num, den), ngram_jaccard_join.signatures(b, len(b), num, den)).size
+                sketch = [ngram_jaccard_join.parity_sketch(x, ngram_jaccard_join.sketch_bits(len(x), num, den)) for x in (a, b)]
+                assert ngram_jaccard_join.can_be_similar(*sketch, len(a) + len(b), num, den)
+    for band in range(14):
+        count, two = ngram_jaccard_join.allocation(band, num, den)
+        top = ngram_jaccard_join.band_top(band)
+        assert count + two >= ngram_jaccard_join.levels_needed(top, top, num, den) and count >= two
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart(spark):
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue.upper()), (4, f" {thue}\t")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 1)}
+
+
+def test_families_in_blocks_lose_no_link(spark, monkeypatch):
+    """Many sets share a common line; without star rounds all links come from the families, cut into small blocks."""
+    monkeypatch.setattr(ngram_jaccard_join, "BLOCK_SETS", 16)
+    g = np.random.default_rng(9)
+    line = [f"c{i}" for i in range(12)]
+    rows = []
+    for k in range(60):
+        own = [f"w{x}" for x in g.integers(0, 10**6, 14)]
+        for _ in range(g.integers(1, 4)):
+            c = list(own)
+            c[g.integers(0, 14)] = "new"
+            rows.append((len(rows), " ".join([*line, *c, *line] if len(rows) % 3 else [*line, *own])))
+    for rounds in (1, 2):
+        monkeypatch.setattr(ngram_jaccard_join, "STAR_ROUNDS", rounds)
+        got = ngram_jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 70, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 2, 70, 100)
 
 
 def test_groups_odd(spark, odd):
