@@ -30,10 +30,12 @@ COLLISION_COST = 40.0
 SIGNATURE_BITS = 48
 #: Ids of up to this many documents (2 MB) are broadcast when texts are fetched again; beyond, Spark shuffles.
 BROADCAST_IDS = 250_000
-#: Rounds in which each bucket compares its members with one centre before families of unconnected members are compared.
-STAR_ROUNDS = 2
-#: Sets that a task takes of a family, and bytes of texts; larger families are cut and each pair of blocks is a task.
+#: Rounds in which members are compared with one centre before what is left of the buckets is compared in blocks.
+STAR_ROUNDS = 3
+#: Sets of a block, and bytes of texts; larger buckets are cut and each pair of blocks is compared on its own.
 BLOCK_SETS, BLOCK_BYTES = 1024, 8_000_000
+#: Rows of blocks that are brought to a task together.
+TASK_ROWS = 20_000
 #: Signatures, and bytes of texts, that a task holds before it passes rows on.
 HELD_SIGNATURES, KEPT_SETS = 300_000, 64
 
@@ -218,19 +220,21 @@ def _verified(size: int, num: int, den: int):
     return made
 
 
-def _near(n: np.ndarray, part: np.ndarray, done: np.ndarray, sketches: list[bytes], low: int, high: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each set of a pair of blocks the larger sets of the other block that sizes and sketches allow to be similar."""
+def _near(n: np.ndarray, done: np.ndarray, sketches: list[bytes], own: np.ndarray, apart: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each own set of a block those as large or larger that sizes and sketches allow to be similar.
+
+    Sets with equal `done` are connected already. `apart` is the block that a set is of, -1 where sets of one block are
+    compared.
+    """
     words = np.array([len(x) // 8 for x in sketches])
     by_words = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
     tables = {(w, w): np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), w) for w, at in by_words.items()}
-    for i in range(len(n)):
+    for i in np.flatnonzero(own).tolist():
         mine = tables[words[i], words[i]][np.searchsorted(by_words[words[i]], i)]
         for w, at in by_words.items():
             if w < words[i]:
                 continue
-            fit = (n[at] >= n[i]) & (n[at] * num <= n[i] * den) & (done[at] != done[i]) & ((n[at] > n[i]) | (at > i))
-            if low != high:
-                fit &= part[at] != part[i]
+            fit = (n[at] * num <= n[i] * den) & (done[at] != done[i]) & ((n[at] > n[i]) | ((n[at] == n[i]) & (at > i))) & ((apart[at] < 0) | (apart[at] != apart[i]))
             if fit.any():
                 if (w, words[i]) not in tables:
                     tables[w, words[i]] = folded(tables[w, w], words[i])
@@ -240,53 +244,85 @@ def _near(n: np.ndarray, part: np.ndarray, done: np.ndarray, sketches: list[byte
                     yield i, found
 
 
-def _alive_in_block(num: int, den: int):
-    """Sets of two blocks of a family to the ids of those that some set of another component may be similar to."""
+def _blocks_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of each pair of blocks of a task, and of each row its block where two are compared, else -1."""
+    keys = [group[c].to_numpy() for c in ("sig", "cls", "low", "high")]
+    order = np.lexsort(keys)
+    new = np.any([np.diff(k[order], prepend=k[order][:1] - 1) != 0 for k in keys], axis=0) if len(order) else np.zeros(0, bool)
+    part, low, high = (group[c].to_numpy() for c in ("part", "low", "high"))
+    for at in np.split(order, np.flatnonzero(new)[1:]):
+        if len(at) > 1:
+            yield at, np.where(low[at] == high[at], -1, part[at])
+
 
-    def made(key: tuple, group: pa.Table) -> pa.Table:
-        n, part, done, ids = (group[c].to_numpy() for c in ("n", "part", "component", "id"))
-        alive = np.zeros(len(ids), bool)
-        for i, found in _near(n, part, done, list(binary_values(group["sketch"].combine_chunks())), key[1].as_py(), key[2].as_py(), num, den):
-            alive[i] = True
-            alive[found] = True
-        return pa.table({"id": pa.array(ids[alive], pa.int64())})
+def _alive_in_blocks(num: int, den: int):
+    """Sets in blocks to (sig, id) of those that a set of another component in their bucket may be similar to."""
+
+    def made(group: pa.Table) -> pa.Table:
+        n, done, own = (group[c].to_numpy() for c in ("n", "component", "own"))
+        sketches = list(binary_values(group["sketch"].combine_chunks()))
+        alive = np.zeros(len(n), bool)
+        for at, apart in _blocks_of(group):
+            for i, found in _near(n[at], done[at], [sketches[k] for k in at], own[at], apart, num, den):
+                alive[at[i]] = True
+                alive[at[found]] = True
+        return group.select(["sig", "id"]).filter(pa.array(alive, pa.bool_()))
 
     return made
 
 
-def _linked_in_block(size: int, num: int, den: int):
-    """Sets of two blocks of a family to links (a, b) that connect all similar ones; no other pair leaves the task."""
-
-    def made(key: tuple, group: pa.Table) -> pa.Table:
-        n, part, done, ids = (group[c].to_numpy() for c in ("n", "part", "component", "id"))
-        sets = [shingles_of(words_of(x), size) for x in binary_values(group["text"].combine_chunks())]
-        root = {c: c for c in done.tolist()}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        links = []
-        for i, found in _near(n, part, done, list(binary_values(group["sketch"].combine_chunks())), key[1].as_py(), key[2].as_py(), num, den):
-            for j in found.tolist():
-                x, y = top(int(done[i])), top(int(done[j]))
-                if x != y:
-                    both = len(sets[i] & sets[j])
-                    if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
-                        root[max(x, y)] = min(x, y)
-                        links.append((ids[i], ids[j]))
+def _linked_in_blocks(size: int, num: int, den: int):
+    """Sets in blocks to links (a, b) that connect all similar ones; no other pair leaves the task."""
+
+    def made(group: pa.Table) -> pa.Table:
+        n, done, own, ids = (group[c].to_numpy() for c in ("n", "component", "own", "id"))
+        sketches, texts = (list(binary_values(group[c].combine_chunks())) for c in ("sketch", "text"))
+        links, kept = [], {}
+
+        def of(k: int) -> set:
+            if texts[k] not in kept:
+                if len(kept) >= BLOCK_SETS:
+                    kept.clear()
+                kept[texts[k]] = shingles_of(words_of(texts[k]), size)
+            return kept[texts[k]]
+
+        for at, apart in _blocks_of(group):
+            root = {c: c for c in done[at].tolist()}
+
+            def top(c: int) -> int:
+                while root[c] != c:  # noqa: B023
+                    root[c] = c = root[root[c]]  # noqa: B023
+                return c
+
+            for i, found in _near(n[at], done[at], [sketches[k] for k in at], own[at], apart, num, den):
+                for j in found.tolist():
+                    x, y = top(int(done[at[i]])), top(int(done[at[j]]))
+                    if x != y:
+                        a, b = of(at[i]), of(at[j])
+                        both = len(a & b)
+                        if den * both >= num * (len(a) + len(b) - both):
+                            root[max(x, y)] = min(x, y)
+                            links.append((ids[at[i]], ids[at[j]]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return made
 
 
-def _in_blocks(rows: DataFrame, keep: list[str], weight: str) -> DataFrame:
-    """Rows (family, id, ...) cut into blocks of bounded size, each row once for each pair of blocks that it belongs to."""
-    cuts = rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("cut"))
-    rows = rows.join(cuts, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+def _in_blocks(rows: DataFrame, keep: list[str], weight: str, num: int, den: int) -> DataFrame:
+    """Rows (sig, id, n, ...) cut into blocks of bounded size, each row once for each pair of blocks that it belongs to.
+
+    A class of sizes is as wide as similar sets can differ, so sets meet those of their own class (own) and the next.
+    """
+    cls = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.000001 + 1e-12)).cast("long")
+    rows = rows.withColumn("of", cls).withColumn("cls", F.explode(F.array("of", F.col("of") - 1))).withColumn("own", F.col("of") == F.col("cls"))
+    cuts = rows.groupBy("sig", "cls").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("cut"), F.count("*").alias("n_rows"), F.max("own").alias("any"))
+    cuts = staged(cuts.where("any and n_rows > 1").select("sig", "cls", "cut", "n_rows"), "cuts")
+    n_rows = cuts.agg(F.sum(F.col("cut") * F.col("n_rows"))).first()[0] or 0
+    rows = rows.join(cuts.select("sig", "cls", "cut"), ["sig", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    return rows.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *keep)
+    rows = rows.select("sig", "cls", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "own", *keep)
+    tasks = math.ceil(n_rows / TASK_ROWS) or 1
+    return rows.withColumn("task", F.pmod(F.xxhash64("sig", "cls", "low", "high"), F.lit(tasks)).cast("int")).repartition(tasks, "task").groupBy("task")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +333,8 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     nothing. Documents link when den * intersection >= num * union. component_id is the smallest doc_id reachable by
     links, itself included. Documents with equal words are one node, known by a 128-bit digest; all other counts are taken
     on words. Each member of a bucket is first compared with one centre; members that are then connected need no
-    comparison. What is still unconnected in a bucket is compared within families of such members, in blocks, so that no
-    link is lost and no group expands into rows of pairs. Rows with a null id get a null component and link with nothing;
+    comparison. What is still unconnected in a bucket is compared in blocks, so that no link is lost and no group expands
+    into rows of pairs. Rows with a null id get a null component and link with nothing;
     repeated rows each give a row; rows of one id with different texts are one document with the links of all of them.
     Extra columns are ignored. An empty table gives an empty result.
     """
@@ -309,9 +345,14 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     copies = staged(marked.where("n > 0").select("doc_id", "hi", "lo").join(nodes, ["hi", "lo"]).where("doc_id <> id").select("doc_id").distinct(), "copies")
     ones = marked.where("n > 0 and doc_id is not null").join(broadcast_within(copies, copies.count(), BROADCAST_IDS), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
     met = ones.select("id", F.explode("signatures").alias("sig"))
-    shared = staged(met.groupBy("sig").agg(F.min("id").alias("centre"), F.count("*").alias("times")).where("times > 1").select("sig", "centre"), "shared")
+    shared = staged(met.groupBy("sig").agg(F.count("*").alias("times")).where("times > 1").select("sig"), "shared")
     members = staged(met.join(shared, "sig"), "members")
     discard(shared)
+    # Buckets with the same members, told by 128 bits, are one; those of a set's copies with few changes mostly are.
+    prints = members.groupBy("sig").agg(F.min("id").alias("centre"), F.count("*").alias("times"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = prints.groupBy("centre", "times", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "centre", "weight")
+    buckets = staged(members.join(kept, "sig").distinct(), "buckets")
+    discard(members)
     sketches = ones.select("id", "n", "sketch")
 
     def fetched(ids: DataFrame) -> DataFrame:
@@ -333,45 +374,46 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
         discard(possible, texts)
         return out
 
-    def linked_in_families(open_members: DataFrame) -> DataFrame:
-        """All links that connect members of open buckets.
+    def linked_in_buckets(open_members: DataFrame) -> DataFrame:
+        """All links that connect members (sig, id, component) of open buckets.
 
-        Members that share buckets, directly or through others, are a family. Sketches tell which of its sets may be similar
-        to one of another component; the texts of only those are brought together, in blocks where there are many.
+        Sketches tell which sets may be similar to one of another component in their bucket; the texts of only those are
+        brought together, in blocks where there are many.
         """
-        least = open_members.groupBy("sig").agg(F.min("id").alias("b"))
-        families = staged(components(open_members.join(least, "sig").select(F.col("id").alias("a"), "b")), "families").withColumnRenamed("component", "family")
-        rows = open_members.select("id", "component").distinct().join(families, "id")
-        rows = staged(rows.join(sketches, "id").withColumn("weight", F.length("sketch").cast("long")), "open-sets")
-        alive = _in_blocks(rows, ["id", "component", "n", "sketch"], "weight").groupBy("family", "low", "high").applyInArrow(_alive_in_block(num, den), "id long")
+        rows = staged(open_members.join(sketches, "id").withColumn("weight", F.length("sketch").cast("long")), "open-sets")
+        alive = _in_blocks(rows, ["id", "component", "n", "sketch"], "weight", num, den).applyInArrow(_alive_in_blocks(num, den), "sig long, id long")
         alive = staged(alive.distinct(), "alive")
-        texts = fetched(alive)
-        few = rows.join(alive, "id").join(texts, "id").withColumn("weight", F.octet_length("text").cast("long"))
-        out = _in_blocks(few, ["id", "component", "n", "sketch", "text"], "weight").groupBy("family", "low", "high").applyInArrow(_linked_in_block(size, num, den), "a long, b long")
-        out = staged(out, "links")
-        discard(families, rows, alive, texts)
+        texts = fetched(alive.select("id"))
+        few = rows.join(alive, ["sig", "id"]).join(texts, "id").withColumn("weight", F.octet_length("text").cast("long"))
+        few = staged(few, "alive-sets")
+        out = staged(_in_blocks(few, ["id", "component", "n", "sketch", "text"], "weight", num, den).applyInArrow(_linked_in_blocks(size, num, den), "a long, b long"), "links")
+        discard(rows, alive, texts, few)
         return out
 
-    links, groups, open_members = None, None, None
+    links, groups, open_members = None, None, buckets
     for step in range(STAR_ROUNDS + 1):
         if step == 0:
-            votes = members.where("id <> centre").groupBy("id", "centre").count()
-            found = linked(votes.groupBy("id").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("b")).withColumnRenamed("id", "a"))
+            votes = buckets.where("id <> centre").groupBy("id", "centre").agg(F.sum("weight").alias("votes"))
+            found = linked(votes.groupBy("id").agg(F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("b")).withColumnRenamed("id", "a"))
+            rest = buckets.select("sig", "id")
         elif step < STAR_ROUNDS:
-            centre = open_members.groupBy("sig").agg(F.min_by(F.struct("id", "component"), F.xxhash64("component", F.lit(step))).alias("c"))
-            found = linked(open_members.join(centre, "sig").where("component <> c.component").select(F.col("id").alias("a"), F.col("c.id").alias("b")))
+            centre = open_members.groupBy("sig").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(step))).alias("c"))
+            compared = staged(open_members.join(centre, "sig").select("sig", "id", "component", F.col("c.id").alias("b"), F.col("c.component").alias("of")), "compared")
+            found = linked(compared.where("component <> of").select(F.col("id").alias("a"), "b"))
+            discard(open_members)
+            open_members = compared
+            rest = compared.where("id <> b").select("sig", "id")  # a centre has been compared with all of its bucket
         else:
-            found = linked_in_families(open_members)
+            found = linked_in_buckets(open_members)
         links = found if links is None else links.union(found)
         if groups is not None:
             discard(groups)
         groups = staged(components(links), "groups")
         if step < STAR_ROUNDS:
-            of = members if open_members is None else open_members
-            now = of.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+            now = rest.join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
             several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
             still = staged(now.join(several, "sig", "left_semi"), "open")
-            discard(of)
+            discard(open_members)
             open_members = still
             if open_members.isEmpty():
                 break

@@ -465,8 +465,8 @@ def test_words_of_equal_polynomial_hash_are_told_apart(spark):
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 1)}
 
 
-def test_families_in_blocks_lose_no_link(spark, monkeypatch):
-    """Many sets share a common line; without star rounds all links come from the families, cut into small blocks."""
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Many sets share a common line; after few star rounds most links come from small blocks."""
     monkeypatch.setattr(ngram_jaccard_join, "BLOCK_SETS", 16)
     g = np.random.default_rng(9)
     line = [f"c{i}" for i in range(12)]
