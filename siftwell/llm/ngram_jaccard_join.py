@@ -34,10 +34,10 @@ BROADCAST_IDS = 250_000
 STAR_ROUNDS = 3
 #: Sets of a block, and bytes of texts; larger buckets are cut and each pair of blocks is compared on its own.
 BLOCK_SETS, BLOCK_BYTES = 1024, 8_000_000
-#: Rows of blocks that are brought to a task together.
-TASK_ROWS = 20_000
-#: Signatures, and bytes of texts, that a task holds before it passes rows on.
-HELD_SIGNATURES, KEPT_SETS = 300_000, 64
+#: Rows of blocks, and their bytes of sketches or texts, that are brought to a task together, about.
+TASK_ROWS, TASK_BYTES = 20_000, 8_000_000
+#: Signatures that a task holds before it passes rows on, and sets that it keeps while it verifies.
+HELD_SIGNATURES, KEPT_SETS = 300_000, 200
 
 
 def band_of(size: int) -> int:
@@ -255,18 +255,34 @@ def _blocks_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, np.where(low[at] == high[at], -1, part[at])
 
 
+class Roots(dict):
+    """Least members of groups that are united pair by pair; a key alone is its own group."""
+
+    def top(self, x: int) -> int:
+        self.setdefault(x, x)
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        """False where they are in one group already."""
+        x, y = self.top(x), self.top(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _alive_in_blocks(num: int, den: int):
-    """Sets in blocks to (sig, id) of those that a set of another component in their bucket may be similar to."""
+    """Sets in blocks to rows (a, b) that connect each set to those that may be similar to it, though of another component."""
 
     def made(group: pa.Table) -> pa.Table:
-        n, done, own = (group[c].to_numpy() for c in ("n", "component", "own"))
+        n, done, own, ids = (group[c].to_numpy() for c in ("n", "component", "own", "id"))
         sketches = list(binary_values(group["sketch"].combine_chunks()))
-        alive = np.zeros(len(n), bool)
+        roots = Roots()
         for at, apart in _blocks_of(group):
             for i, found in _near(n[at], done[at], [sketches[k] for k in at], own[at], apart, num, den):
-                alive[at[i]] = True
-                alive[at[found]] = True
-        return group.select(["sig", "id"]).filter(pa.array(alive, pa.bool_()))
+                for j in found.tolist():
+                    roots.unite(int(ids[at[i]]), int(ids[at[j]]))
+        return pa.table({"a": pa.array(list(roots), pa.int64()), "b": pa.array([roots.top(x) for x in list(roots)], pa.int64())})
 
     return made
 
@@ -281,27 +297,21 @@ def _linked_in_blocks(size: int, num: int, den: int):
 
         def of(k: int) -> set:
             if texts[k] not in kept:
-                if len(kept) >= BLOCK_SETS:
+                if len(kept) >= KEPT_SETS:
                     kept.clear()
                 kept[texts[k]] = shingles_of(words_of(texts[k]), size)
             return kept[texts[k]]
 
         for at, apart in _blocks_of(group):
-            root = {c: c for c in done[at].tolist()}
-
-            def top(c: int) -> int:
-                while root[c] != c:  # noqa: B023
-                    root[c] = c = root[root[c]]  # noqa: B023
-                return c
-
+            roots = Roots()
             for i, found in _near(n[at], done[at], [sketches[k] for k in at], own[at], apart, num, den):
                 for j in found.tolist():
-                    x, y = top(int(done[at[i]])), top(int(done[at[j]]))
-                    if x != y:
+                    x, y = int(done[at[i]]), int(done[at[j]])
+                    if roots.top(x) != roots.top(y):
                         a, b = of(at[i]), of(at[j])
                         both = len(a & b)
                         if den * both >= num * (len(a) + len(b) - both):
-                            root[max(x, y)] = min(x, y)
+                            roots.unite(x, y)
                             links.append((ids[at[i]], ids[at[j]]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -315,13 +325,13 @@ def _in_blocks(rows: DataFrame, keep: list[str], weight: str, num: int, den: int
     """
     cls = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.000001 + 1e-12)).cast("long")
     rows = rows.withColumn("of", cls).withColumn("cls", F.explode(F.array("of", F.col("of") - 1))).withColumn("own", F.col("of") == F.col("cls"))
-    cuts = rows.groupBy("sig", "cls").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("cut"), F.count("*").alias("n_rows"), F.max("own").alias("any"))
-    cuts = staged(cuts.where("any and n_rows > 1").select("sig", "cls", "cut", "n_rows"), "cuts")
-    n_rows = cuts.agg(F.sum(F.col("cut") * F.col("n_rows"))).first()[0] or 0
+    cuts = rows.groupBy("sig", "cls").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("cut"), F.count("*").alias("n_rows"), F.sum(weight).alias("bytes"), F.max("own").alias("any"))
+    cuts = staged(cuts.where("any and n_rows > 1").select("sig", "cls", "cut", "n_rows", "bytes"), "cuts")
+    n_rows, n_bytes = cuts.agg(*[F.coalesce(F.sum(F.col("cut") * F.col(c)), F.lit(0)) for c in ("n_rows", "bytes")]).first()
     rows = rows.join(cuts.select("sig", "cls", "cut"), ["sig", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     rows = rows.select("sig", "cls", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "own", *keep)
-    tasks = math.ceil(n_rows / TASK_ROWS) or 1
+    tasks = max(1, math.ceil(n_rows / TASK_ROWS), math.ceil(n_bytes / TASK_BYTES))
     return rows.withColumn("task", F.pmod(F.xxhash64("sig", "cls", "low", "high"), F.lit(tasks)).cast("int")).repartition(tasks, "task").groupBy("task")
 
 
@@ -377,17 +387,17 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     def linked_in_buckets(open_members: DataFrame) -> DataFrame:
         """All links that connect members (sig, id, component) of open buckets.
 
-        Sketches tell which sets may be similar to one of another component in their bucket; the texts of only those are
-        brought together, in blocks where there are many.
+        Sketches tell which sets may be similar to one of another component in their bucket. What that connects is a family;
+        the texts of families are brought together once, in blocks where there are many.
         """
         rows = staged(open_members.join(sketches, "id").withColumn("weight", F.length("sketch").cast("long")), "open-sets")
-        alive = _in_blocks(rows, ["id", "component", "n", "sketch"], "weight", num, den).applyInArrow(_alive_in_blocks(num, den), "sig long, id long")
-        alive = staged(alive.distinct(), "alive")
-        texts = fetched(alive.select("id"))
-        few = rows.join(alive, ["sig", "id"]).join(texts, "id").withColumn("weight", F.octet_length("text").cast("long"))
+        alive = _in_blocks(rows, ["id", "component", "n", "sketch"], "weight", num, den).applyInArrow(_alive_in_blocks(num, den), "a long, b long")
+        families = staged(components(staged(alive.distinct(), "alive")), "families").withColumnRenamed("component", "sig")
+        texts = fetched(families.select("id"))
+        few = rows.drop("sig").join(families, "id").dropDuplicates(["id", "n", "sketch"]).join(texts, "id").withColumn("weight", F.octet_length("text").cast("long"))
         few = staged(few, "alive-sets")
         out = staged(_in_blocks(few, ["id", "component", "n", "sketch", "text"], "weight", num, den).applyInArrow(_linked_in_blocks(size, num, den), "a long, b long"), "links")
-        discard(rows, alive, texts, few)
+        discard(rows, families, texts, few)
         return out
 
     links, groups, open_members = None, None, buckets
