@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import WordHashes, binary_values, broadcast_within, columns, components, discard, mixed, shingle_hashes, shingles_of, signed, staged, words_of
+from siftwell.llm.common import WordHashes, batches_of, binary_values, broadcast_within, columns, components, discard, mixed, shingle_hashes, shingles_of, signed, staged, words_of
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND = 2.0
@@ -36,8 +36,10 @@ STAR_ROUNDS = 3
 BLOCK_SETS, BLOCK_BYTES = 1024, 8_000_000
 #: Rows of blocks, and their bytes of sketches or texts, that are brought to a task together, about.
 TASK_ROWS, TASK_BYTES = 20_000, 8_000_000
+#: Texts that are passed to Python together.
+BATCH_TEXTS = 500
 #: Signatures that a task holds before it passes rows on, and sets that it keeps while it verifies.
-HELD_SIGNATURES, KEPT_SETS = 300_000, 200
+HELD_SIGNATURES, KEPT_SETS = 100_000, 100
 
 
 def band_of(size: int) -> int:
@@ -349,7 +351,9 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     Extra columns are ignored. An empty table gives an empty result.
     """
     docs = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    marked = staged(docs.mapInArrow(_marked(size, num, den), MARKED), "signatures")
+    spark = docs.sparkSession
+    with batches_of(spark, BATCH_TEXTS):
+        marked = staged(docs.mapInArrow(_marked(size, num, den), MARKED), "signatures")
     nodes = marked.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     nodes = staged(nodes.where("id is not null"), "nodes")
     copies = staged(marked.where("n > 0").select("doc_id", "hi", "lo").join(nodes, ["hi", "lo"]).where("doc_id <> id").select("doc_id").distinct(), "copies")
@@ -380,7 +384,8 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
         possible = staged(with_sketches.select("a", "b", "na", "nb", "left", "right").mapInArrow(_possible(num, den), "a long, b long"), "possible")
         texts = fetched(possible.select(F.explode(F.array("a", "b")).alias("id")))
         with_texts = possible.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
-        out = staged(with_texts.select("a", "b", "left", "right").mapInArrow(_verified(size, num, den), "a long, b long"), "links")
+        with batches_of(spark, BATCH_TEXTS):
+            out = staged(with_texts.select("a", "b", "left", "right").mapInArrow(_verified(size, num, den), "a long, b long"), "links")
         discard(possible, texts)
         return out
 
