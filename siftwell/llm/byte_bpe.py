@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import columns, staged
+from siftwell.llm.common import batches_of, columns, staged
 
 #: Most words of the dictionary.
 DICTIONARY = 1 << 18
@@ -33,7 +33,9 @@ NEVER = 2**31 - 1
 #: Words of so many characters go to a heap of merges instead of a scan for each merge. The ids are the same.
 LONG = 256
 #: Words of texts that are looked up together, but for a text that has more.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
+#: Texts that are passed to Python together.
+BATCH_TEXTS = 500
 
 
 @lru_cache(maxsize=4)
@@ -309,4 +311,5 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             back.append(hashlib.sha256(decoded(ids, ranks_path)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(little, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _encode(docs, ranks_path, pattern, "doc_id", "text", digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with batches_of(docs.sparkSession, BATCH_TEXTS):
+        return staged(_encode(docs, ranks_path, pattern, "doc_id", "text", digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "bpe-digest")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_values, broadcast_within, columns, staged
+from siftwell.llm.common import batches_of, binary_values, broadcast_within, columns, staged
 
 #: Buckets of the trigram hash, and weight of an unseen trigram.
 BUCKETS, ALPHA = 1 << 14, 0.5
@@ -24,6 +24,10 @@ BUCKETS, ALPHA = 1 << 14, 0.5
 SAMPLE_ROWS, MOST_LANGUAGES = 4000, 64
 #: Trigrams of a text overlap; its log-likelihood counts by this factor, and by no more than so many trigrams.
 TEMPER, MOST_EVIDENCE = 0.25, 2000.0
+#: A text is rejected when its log-likelihood lies so many roots of its number of trigrams below that of chance.
+REJECT_WIDTH = 6.0
+#: Texts that are passed to Python together.
+BATCH_TEXTS = 1000
 #: Pseudo-rows with which a host's shares lean on its domain's, and a domain's on the shares of all rows.
 HOST_SMOOTHING, DOMAIN_SMOOTHING = 20.0, 100.0
 #: Hosts up to this number are broadcast; beyond, Spark shuffles the join.
@@ -81,7 +85,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["label", "bucket", "n"])
 
     counts = rows.join(F.broadcast(chosen), "key", "left_semi").select("label", "text").mapInArrow(counted, "label string, bucket int, n long")
-    got = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
+    with batches_of(labelled.sparkSession, BATCH_TEXTS):
+        got = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
     labels, buckets, ns = (got[c].to_numpy(zero_copy_only=False) for c in ("label", "bucket", "n"))
     names, place = np.unique(labels.astype(str), return_inverse=True)
     if len(names) > MOST_LANGUAGES:
@@ -106,8 +111,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     declared and suffix name a language or are null; host and domain may be null, then the shares of all rows serve.
     A row is rejected, its language `und`, when its text has no trigram of letters (null, empty, blank, marks only), or
-    when a text of 200 trigrams or more is less likely in every language than if all trigrams were alike likely. Repeated
-    rows each give a row.
+    when it is less likely in every language than if all trigrams were alike likely, by more than chance explains at its
+    length: REJECT_WIDTH roots of its number of trigrams. Repeated rows each give a row.
     """
     names, k = model.languages, len(model.languages)
     if not k:
@@ -123,7 +128,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     seen = inputs.mapInArrow(scored, "key long, declared string, suffix string, host string, domain string, text_hash long, trigrams long, logs array<double>")
     scale = F.when(F.col("trigrams") > 0, TEMPER * F.least(F.lit(1.0), F.lit(MOST_EVIDENCE) / F.col("trigrams"))).otherwise(0.0)
     seen = seen.withColumn("text_logs", F.transform("logs", lambda x: x * scale))
-    seen = staged(seen.withColumn("own", F.when(F.col("trigrams") > 0, _posterior(F.col("text_logs"))).otherwise(F.array(*[F.lit(0.0)] * k))), "language-evidence")
+    seen = seen.withColumn("own", F.when(F.col("trigrams") > 0, _posterior(F.col("text_logs"))).otherwise(F.array(*[F.lit(0.0)] * k)))
+    with batches_of(rows.sparkSession, BATCH_TEXTS):
+        seen = staged(seen, "language-evidence")
     everywhere = seen.agg(*_sums("own", k), *[F.avg(F.when(F.col(c).isNotNull() & (F.col("trigrams") > 0), F.coalesce(F.get("own", F.array_position(F.lit(list(names)), F.col(c)).cast("int") - 1), F.lit(0.0)))).alias(c) for c in ("declared", "suffix")]).first()
     shares = np.array([everywhere[f"s{i}"] or 0.0 for i in range(k)]) + 1.0
     shares = (shares / shares.sum()).tolist()
@@ -155,7 +162,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     logs = F.transform(F.arrays_zip("text_logs", F.col("prior"), labels.alias("name")), lambda x: x["text_logs"] + F.ln(F.greatest(x["prior"], F.lit(1e-9))) + told("declared", x["name"]) + told("suffix", x["name"]))
     out = joined.withColumn("posterior", _posterior(logs))
     chance = float(-np.log(BUCKETS))
-    rejected = (F.col("trigrams") == 0) | ((F.col("trigrams") >= 200) & (F.array_max("logs") < chance * F.col("trigrams")))
+    rejected = (F.col("trigrams") == 0) | (F.array_max("logs") < chance * F.col("trigrams") - REJECT_WIDTH * F.sqrt("trigrams"))
     best = F.get(labels, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
     return out.select("key", "text_hash", F.when(rejected, "und").otherwise(best).alias("language"), F.when(rejected, 0.0).otherwise(F.array_max("posterior")).alias("confidence"), "trigrams", rejected.alias("rejected"))
 
@@ -185,6 +192,11 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(of_documents(docs), fit(labelled_documents(docs))).withColumnRenamed("key", "doc_id").drop("text_hash")
 
 
+def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """page_id, language, confidence, trigrams, rejected for every page, from all its evidence; fitted on labelled documents."""
+    return identify(of_pages(pages), fit(labelled_documents(docs))).withColumnRenamed("key", "page_id").drop("text_hash")
+
+
 def in_known_languages(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns; the pipeline's stage."""
     found = identify(of_documents(docs), fit(labelled_documents(docs)))

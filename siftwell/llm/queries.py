@@ -14,7 +14,7 @@ from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
 from siftwell.llm.decontamination import benchmark_hits
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
-from siftwell.llm.language_id import identify_documents
+from siftwell.llm.language_id import identify_documents, identify_pages
 from siftwell.llm.license_scan import duckdb_sql, license_digest
 from siftwell.llm.ngram_jaccard_join import similar_groups
 from siftwell.llm.pii import pii_digest
@@ -30,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_language_id, language_id_of_pages, op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,7 +58,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         letters = byte_letters()
         self.model, self.letters = self.tokenizer.model, [letters[b] for b in range(256)]

@@ -97,6 +97,26 @@ def test_language_evidence(spark, docs):
     assert pages.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
 
 
+def test_unmodelled_languages_are_rejected_at_all_lengths(spark, docs):
+    model = language_id.fit(language_id.labelled_documents(docs))
+    odd = "съешь же ещё этих мягких французских булок да выпей чаю "
+    texts = [odd[:20], odd, odd * 2, odd * 40]
+    good = [r.text for r in docs.where("length(text) > 200 and lang is not null").limit(40).collect()]
+    rows = [(i, t, None, None, None, None) for i, t in enumerate(texts + [x[:n] for x in good for n in (12, 40, 120, 20_000)])]
+    got = {r.key: r.rejected for r in language_id.identify(spark.createDataFrame(rows, "key long, text string, declared string, suffix string, host string, domain string"), model).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * 4 + [False] * (4 * len(good))
+
+
+def test_pages_use_all_evidence(spark, docs):
+    """Each page's text says nothing; address and markup decide, and the host's other pages where both are missing."""
+    text = [r.text for r in docs.where("lang = 'de' and length(text) > 2000").limit(5).collect()]
+    rows = [(i, "https://h1.example.com/x", f"<html><body>{t}</body></html>") for i, t in enumerate(text)]
+    rows += [(50, "https://h1.example.com/y", "<html><p>x</p></html>"), (51, "https://o.example.org/fr/", "<html lang=fr><p>x</p></html>"), (52, None, None)]
+    rows += [(60 + i, f"https://o.example.org/{c}/", f"<html lang={c}>{t}</html>") for i, (c, t) in enumerate((r.lang, r.text) for r in docs.where("length(text) > 500").limit(30).collect())]
+    got = {r.page_id: r for r in language_id.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert got[50].language == "de" and got[51].language == "fr" and got[52].rejected and len(got) == len(rows)
+
+
 def test_language_odd(spark, odd):
     full = odd.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert language_id.identify_documents(full).count() == len(ODD)
@@ -494,7 +514,6 @@ def test_groups_odd(spark, odd):
 
 def test_token_files(spark, docs, odd, tmp_path):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     both = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") - 1000).dropDuplicates(["doc_id"]))
     rows = sorted((r.doc_id, r.text or "") for r in both.collect())
     want, start = {}, 0
@@ -514,8 +533,7 @@ def test_token_files(spark, docs, odd, tmp_path):
 
 def test_words_equal_the_library():
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    words = ["Hello,", "ÉTÉ!", "it's", "İx", "Å", "ẞ", "a1", "...", "x́y", "don't.", "<|endoftext|>", "日本", "µ", "naïve;", "'s", "K"]
+    words = ["<|startoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "Hello,", "ÉTÉ!", "it's", "İx", "Å", "ẞ", "a1", "...", "x́y", "don't.", "<|endoftext|>", "日本", "µ", "naïve;", "'s", "K"]
     got = token_output.WordTokens(WORDS)
     assert [list(got.ids(w)) for w in words] == [t.encode(w, add_special_tokens=False).ids for w in words]
 
