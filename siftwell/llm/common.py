@@ -39,7 +39,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 @contextlib.contextmanager
@@ -57,7 +59,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables. All that was made from them must have been written by then."""
     for df in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        for folder in {df.__dict__["staged_at"]} if "staged_at" in df.__dict__ else {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
             path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -143,6 +145,8 @@ HOT_SHARE = 1 / 500
 
 def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """Edges (a, b) with the column low of their a in `least` (a, low, n); the edges of hot nodes are not brought together."""
+    if n_edges <= 1000:
+        return edges.join(least.select("a", "low"), "a")
     hot = least.where(F.col("n") > max(1000, n_edges * HOT_SHARE)).select("a", F.col("low").alias("hot_low"))
     cut = edges.join(F.broadcast(hot), "a", "left")
     rest = cut.where("hot_low is null").select("a", "b").join(least.select("a", "low"), "a")
@@ -153,21 +157,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): rows (id, component), component being the smallest id reachable.
 
     Alternating large-star and small-star rounds; each round is two aggregations with map-side combine and two joins, from
-    which the edges of nodes with very many are kept out, and is written to the shared folder. Ids without an edge to
+    which the edges of nodes with very many are kept out; both halves are written to the shared folder. Ids without an edge to
     another id are not returned. Null ids are left out.
     """
     live = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")), "least")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
         large = _with_least(both.where("b > a"), low, 2 * mark[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         large = staged(large, "edges")
-        discard(live, low)
-        least = staged(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "least")
+        discard(live)
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = _with_least(large, least, mark[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         live = staged(small, "edges")
-        discard(large, least)
+        discard(large)
         before, mark = mark, live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if before == mark:
             roots = live.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -31,7 +31,7 @@ SIGNATURE_BITS = 48
 #: Ids of up to this many documents (2 MB) are broadcast when texts are fetched again; beyond, Spark shuffles.
 BROADCAST_IDS = 250_000
 #: Rounds in which members are compared with one centre before what is left of the buckets is compared in blocks.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Sets of a block, and bytes of texts; larger buckets are cut and each pair of blocks is compared on its own.
 BLOCK_SETS, BLOCK_BYTES = 1024, 8_000_000
 #: Rows of blocks, and their bytes of sketches or texts, that are brought to a task together, about.
