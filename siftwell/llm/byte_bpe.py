@@ -254,10 +254,10 @@ def _encoded(known: Broadcast, ranks_path: str, finish: Callable[[pa.RecordBatch
     return made
 
 
-def _encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def _encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> tuple[DataFrame, Broadcast]:
     rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     known = docs.sparkSession.sparkContext.broadcast(known_words(rows, Coder(ranks_path), ranks_path, pattern))
-    return rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_encoded(known, ranks_path, finish), schema)
+    return rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_encoded(known, ranks_path, finish), schema), known
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     A null or empty text has no ids. Null ids are kept; repeated rows each give a row. Extra columns are ignored; an empty
     table gives an empty result. Every text is encoded whole.
     """
-    return _encode(docs, ranks_path, pattern, id_col, text_col, lambda batch: batch, "doc_id long, ids array<int>")
+    return _encode(docs, ranks_path, pattern, id_col, text_col, lambda batch: batch, "doc_id long, ids array<int>")[0]
 
 
 @lru_cache(maxsize=2)
@@ -311,5 +311,8 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             back.append(hashlib.sha256(decoded(ids, ranks_path)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(little, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    rows, known = _encode(docs, ranks_path, pattern, "doc_id", "text", digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     with batches_of(docs.sparkSession, BATCH_TEXTS):
-        return staged(_encode(docs, ranks_path, pattern, "doc_id", "text", digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "bpe-digest")
+        out = staged(rows, "bpe-digest")
+    known.destroy()
+    return out
