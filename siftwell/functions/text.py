@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Query parameters that tell nothing about a page's identity.
 TRACKING = ("ref", "fbclid", "gclid", "si", "igshid")
-#: Character references decoded by `decode_entities`, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Character references decoded by `decode_entities`, the ampersand first.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
 BOILERPLATE = r"(?i)(all rights reserved|cookie|subscribe|privacy policy|terms of service)"
 
 

@@ -53,9 +53,9 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.collapse_space(text.strip_html(F.col("html"))).alias("text"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(text[1:200]), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents""")
 def title_norm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.normal_title(F.substring("text", 1, 200)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", text.normal_title(F.col("text")).alias("title"))
 
 
 @query("""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)
@@ -103,10 +103,10 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS n,
-  len(list_filter(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿß0-9]+'), lambda w: w = 'the')) AS c FROM documents WHERE lang = 'en')
+  len(list_filter(regexp_split_to_array(lower(text), '[^a-zà-öø-ÿß0-9]+'), lambda w: w = 'the')) AS c FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, n AS words, round(CASE WHEN c > 0 THEN least(1 + 0.6 * (c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 150.0))), 1.5) ELSE 1.0 END, 6) AS density FROM t""")
 def term_density(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents").where("text is not null")
     n = F.size(text.ascii_words(F.col("text")))
     return docs.select("doc_id", n.cast("long").alias("words"), F.round(text.density(text.count_word(F.col("text"), "the"), n), 6).alias("density"))
 
