@@ -71,7 +71,7 @@ def assign_shards(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf], *, id_
 
     doc_id and the tree alone decide the shard (law `key`). size is the number of UTF-8 bytes of the text (null: none) plus
     1; the crc is of the same bytes. slot numbers the rows of a shard from 0 without gaps: counts by shard and part of the
-    hash give each part its first slot, and rows are numbered within their part, so that no task sees a whole shard. Rows
+    row's hash give each part its first slot, and rows are numbered within their part, so that no task sees a whole shard. Rows
     with a null doc_id all share one key. Repeated rows share their shard and get slots of their own. Extra columns are
     ignored; an empty table gives an empty result.
     """
@@ -80,7 +80,7 @@ def assign_shards(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf], *, id_
     rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.concat_ws("", F.col("doc_id").cast("string"))
     rows = rows.withColumn("shard", shard_of(key, leaves)).withColumn("grown_shard", shard_of(key, grown))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(SLOT_PARTS)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(SLOT_PARTS)).cast("int"))
     parts = rows.groupBy("shard", "part").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = parts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("first"))  # at most SLOT_PARTS rows a shard
