@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import binary_values, broadcast_within, columns, components, signed, staged
+from siftwell.llm.common import HOT_SHARE, binary_values, broadcast_within, columns, components, signed, staged
 
 SEED = 20260101
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and each pair of blocks is a task.
@@ -98,7 +98,12 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.98, miss:
     kind = "<f4" if dict(vectors.dtypes).get(vector_col) == "array<float>" else "<f8"
     rows = columns(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), label=F.col(f"`{label_col}`").cast("string"), embedding=vector_col)
     rows = staged(rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*"), "vectors")
-    usable = rows.where("vec_id is not null and label is not null and embedding is not null")
+    # Copies of a vector under one label are one node, told by 128 bits of hash, with its least id and their number.
+    finite = F.forall("embedding", lambda v: F.abs(v) < float("inf")) & F.exists("embedding", lambda v: v != 0)
+    told = rows.where("vec_id is not null and label is not null and embedding is not null").where(finite)
+    told = told.select("*", F.xxhash64("label", "embedding").alias("h"), F.xxhash64(F.lit(1), "label", "embedding").alias("g"))
+    usable = told.groupBy("h", "g").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("v"), F.count("*").alias("copies"))
+    usable = staged(usable.select("h", "g", "copies", "v.*"), "nodes")
     largest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = layout(largest, threshold, miss)
     dims_least = 64 * math.ceil(max(256, bits * tables) / 64)
@@ -119,11 +124,11 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.98, miss:
                 taken = batch.take(pa.array(at))
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array([width] * n, pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors, pa.float64()), pa.array(keys(codes).tolist(), pa.list_(pa.int64()))],
-                    ["vec_id", "label", "width", "raw", "code", "factor", "keys"],
+                    [taken.column(0), taken.column(1), taken.column(2), pa.array([width] * n, pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors, pa.float64()), pa.array(keys(codes).tolist(), pa.list_(pa.int64()))],
+                    ["vec_id", "label", "copies", "width", "raw", "code", "factor", "keys"],
                 )
 
-    codes = usable.select("vec_id", "label", "embedding").mapInArrow(coded, "vec_id long, label string, width int, raw binary, code binary, factor double, keys array<long>")
+    codes = usable.select("vec_id", "label", "copies", "embedding").mapInArrow(coded, "vec_id long, label string, copies long, width int, raw binary, code binary, factor double, keys array<long>")
     codes = staged(codes, "codes")
     met = codes.select("*", F.posexplode("keys").alias("tab", "key")).drop("keys")
     cell = ["label", "width", "tab", "key"]
@@ -136,7 +141,7 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.98, miss:
 
     def compared(key: tuple, group: pa.Table) -> pa.Table:
         tab, width, low, high = key[2].as_py(), key[1].as_py(), key[4].as_py(), key[5].as_py()
-        ids = group["vec_id"].to_numpy()
+        ids, copies = group["vec_id"].to_numpy(), group["copies"].to_numpy()
         found_n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if len(ids) > 1:
             part = group["part"].to_numpy()
@@ -156,8 +161,8 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.98, miss:
                 exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
                 a, b = a[exact], b[exact]
                 first = ~(table_keys[a, :tab] == table_keys[b, :tab]).any(axis=1)
-                np.add.at(found_n, a[first], 1)
-                np.add.at(found_n, b[first], 1)
+                np.add.at(found_n, a[first], copies[b[first]])
+                np.add.at(found_n, b[first], copies[a[first]])
                 while True:  # least root over the links of this task
                     r = np.minimum(root[a], root[b])
                     new = root.copy()
@@ -176,6 +181,14 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.98, miss:
     parts = staged(parts, "links")
     counts = parts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     groups = components(parts.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    nodes = usable.select("vec_id", "h", "g", "copies").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
+    nodes = staged(nodes.select("h", "g", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("root")), "node-links")
+    # Nodes of very many copies, at most 1 / HOT_SHARE of them, are broadcast; the rows of the others are few each.
+    n_rows = rows.count()
+    hot = nodes.where(F.col("copies") > max(1000, n_rows * HOT_SHARE)).select(F.col("h").alias("hot_h"), F.col("g").alias("hot_g"), F.col("n").alias("hot_n"), F.col("root").alias("hot_root"))
+    cut = told.select("vec_id", "h", "g").join(F.broadcast(hot), (F.col("h") == F.col("hot_h")) & (F.col("g") == F.col("hot_g")), "left")
+    rest = cut.where("hot_h is null").select("vec_id", "h", "g").join(nodes, ["h", "g"]).select("vec_id", "n", "root")
+    linked = cut.where("hot_h is not null").select("vec_id", F.col("hot_n").alias("n"), F.col("hot_root").alias("root")).union(rest)
+    out = rows.select("vec_id").join(linked, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
