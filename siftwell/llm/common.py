@@ -69,6 +69,14 @@ def columns(df: DataFrame, **named: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in named.items()])
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to be no column of the table."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any(f"{lead}{name}".lower() in taken for name in names):
+        lead += "_"
+    return [f"{lead}{name}" for name in names]
+
+
 def broadcast_within(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side whose row count has been taken and lies within the limit; otherwise Spark shuffles the join."""
     return F.broadcast(df) if rows <= limit else df

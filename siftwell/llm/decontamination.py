@@ -15,12 +15,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import broadcast_within, columns, staged
+from siftwell.llm.common import apart, broadcast_within, columns, staged
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
 #: Rows of benchmark shingles or blocks, or ids of documents with hits, up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of all items, of some 30 bytes each, up to which they are broadcast for the verification.
+BROADCAST_SHINGLES = 2_000_000
 #: Largest distance of sampled positions; see `stride`.
 MOST_STRIDE = 4
 
@@ -121,12 +123,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int
     index = items.select("item_key", "size", "item_print", "shingles", F.explode(_blocks("item_print")).alias("b"))
     index = index.select("item_key", "size", "item_print", "shingles", "b.block", F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(m)) for m in _variants()])).alias("value"))
     asked = cut.select("doc_id", "text_hash", "size", "start", "print", F.explode(_blocks("print")).alias("b")).select("doc_id", "text_hash", "size", "start", "print", "b.*")
-    index_rows = items.count() * BLOCKS * len(_variants())
+    n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    index_rows = n_items * BLOCKS * len(_variants())
     near = asked.join(broadcast_within(index.drop("shingles"), index_rows, BROADCAST_ROWS), ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     near = near.select("doc_id", "text_hash", "size", "start", "item_key").distinct()
-    n_items = items.count()
     pairs = near.join(cut.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("x"), F.col("size").alias("z"), F.col("start").alias("s"), "own"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("x")) & (F.col("size") == F.col("z")) & (F.col("start") == F.col("s")))
-    pairs = pairs.join(broadcast_within(items.select("item_id", "item_key", F.col("size").alias("of"), "shingles"), n_items, 20_000), "item_key").where("size = of")
+    pairs = pairs.join(broadcast_within(items.select("item_id", "item_key", F.col("size").alias("of"), "shingles"), n_shingles, BROADCAST_SHINGLES), "item_key").where("size = of")
     both = F.size(F.array_intersect("own", "shingles"))
     union = F.size("own") + F.size("shingles") - both
     nameless = F.when(F.col("item_id").isNull(), F.col("item_key")).alias("nameless")
@@ -137,6 +139,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a window similar to a benchmark item, with their columns; the pipeline's stage."""
-    hits = staged(benchmark_hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_x")).distinct(), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_x"))
-    return docs.join(broadcast_within(hits, hits.count(), BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
+    d, x = apart(docs, "d", "x")
+    hits = staged(benchmark_hits(docs, benchmark).select(F.col("doc_id").alias(d), F.col("text_hash").alias(x)).distinct(), "contaminated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(x))
+    return docs.join(broadcast_within(hits, hits.count(), BROADCAST_ROWS), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

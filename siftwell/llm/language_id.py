@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import batches_of, binary_values, broadcast_within, columns, staged
+from siftwell.llm.common import apart, batches_of, binary_values, broadcast_within, columns, staged
 
 #: Buckets of the trigram hash, and weight of an unseen trigram.
 BUCKETS, ALPHA = 1 << 14, 0.5
@@ -200,6 +200,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 def in_known_languages(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their columns; the pipeline's stage."""
     found = identify(of_documents(docs), fit(labelled_documents(docs)))
-    odd = staged(found.where("rejected").select(F.col("key").alias("_k"), F.col("text_hash").alias("_x")).distinct(), "rejected")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_x"))
+    k, x = apart(docs, "k", "x")
+    odd = staged(found.where("rejected").select(F.col("key").alias(k), F.col("text_hash").alias(x)).distinct(), "rejected")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(x))
     return docs.join(broadcast_within(odd, odd.count(), BROADCAST_HOSTS), same, "left_anti").select(*docs.columns)

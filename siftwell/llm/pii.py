@@ -8,10 +8,12 @@ round. All of it is DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import broadcast_within, columns, staged
+from siftwell.llm.common import apart, broadcast_within, columns, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the kinds. Possessive repeats and the look-behinds change no match; they keep long runs linear.
@@ -28,6 +30,22 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SPAN = "array<struct<start:int,end:int,value:string,ctx:bigint>>"
 #: Contexts and documents with findings up to these counts are broadcast; beyond, Spark shuffles the join.
 BROADCAST_ROWS = 200_000
+#: Matches of a text are walked in blocks of this many: an array that grows by one is copied each time, so blocks keep the
+#: work close to the number of matches.
+WALK = 256
+
+
+def appended(n: Column, rest: dict[str, Column], kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold 0 to n - 1 (n > 0) by `step`, from whose state's array `out` grows; gives the last state, with all of `out`."""
+
+    def block(state: Column, first: Column) -> Column:
+        start = F.struct(F.array().cast(kind).alias("out"), *[state[name].alias(name) for name in rest])
+        walked = F.aggregate(F.sequence(first, F.least(first + WALK, n) - 1), start, step)
+        return F.get(F.transform(F.array(walked), lambda r: F.struct(F.concat(state["out"], F.array(r["out"])).alias("out"), *[r[name].alias(name) for name in rest])), F.lit(0))
+
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("out"), *[value.alias(name) for name, value in rest.items()])
+    firsts = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(WALK))
+    return F.aggregate(firsts, none, block, lambda s: F.struct(F.flatten(s["out"]).alias("out"), *[s[name].alias(name) for name in rest]))
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -45,12 +63,12 @@ def _located(text: Column, pattern: str) -> Column:
             def seen(w: Column) -> Column:
                 span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), context(w).alias("ctx"))
                 tail = F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), " ")
-                return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), (start + F.length(value)).alias("at"), tail.alias("tail"))
+                return F.struct(F.concat(state["out"], F.array(span)).alias("out"), (start + F.length(value)).alias("at"), tail.alias("tail"))
 
             return F.get(F.transform(F.array(words), seen), F.lit(0))
 
-        none = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"), F.lit("").alias("tail"))
-        return F.when(F.size(x["hits"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), none, step, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+        out = appended(F.size(x["hits"]), {"at": F.lit(0), "tail": F.lit("")}, SPAN, step)
+        return F.when(F.size(x["hits"]) > 0, out["out"]).otherwise(F.array().cast(SPAN))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     return F.get(F.transform(F.array(both), walk), F.lit(0))
@@ -142,9 +160,7 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
         each = instances.groupBy("kind", "ctx", "value").agg(F.sum("conf").alias("conf"))
         return each.groupBy("kind", "ctx").agg(F.sum("conf").alias("conf"), F.count("*").alias("n")).where(F.col("n") >= support)
 
-    maybe = found.select("doc_id", "hash", "spans", F.explode("others").alias("c"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
-    maybe = maybe.where(free).select("doc_id", "hash", "c.start", "c.end", "c.value", "c.ctx").where("ctx is not null")
+    maybe = found.select("doc_id", "hash", F.explode("others").alias("c")).select("doc_id", "hash", "c.start", "c.end", "c.value", "c.ctx").where("ctx is not null")
     maybe = staged(maybe, "candidates")
     held = staged(seeds.select(F.col("doc_id").alias("d"), F.col("hash").alias("h")).distinct(), "seeded")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
@@ -177,10 +193,23 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
     return accepted.select("doc_id", "hash", "kind", "start", "end").distinct()
 
 
+def _free(others: Column, spans: Column) -> Column:
+    """The candidates, which are in order, that overlap no span; by blocks, each against the spans in its reach."""
+
+    def of_block(part: Column) -> Column:
+        lo, hi = F.get(part, F.lit(0))["start"], F.get(part, F.size(part) - 1)["end"]
+        near = F.filter(spans, lambda s: (s["start"] < hi) & (lo < s["end"]))
+        return F.get(F.transform(F.array(near), lambda n: F.filter(part, lambda c: ~F.exists(n, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))), F.lit(0))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(others), F.lit(1)), F.lit(WALK))
+    return F.flatten(F.transform(F.transform(firsts, lambda i: F.slice(others, i, F.lit(WALK))), of_block))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """One staged row for each text: doc_id, hash of the text, base spans, other candidates."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), base_spans(F.col("text")).alias("spans"), candidates(F.col("text")).alias("others"))
-    return staged(rows, "pii")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.struct(base_spans(F.col("text")).alias("spans"), candidates(F.col("text")).alias("others")).alias("x"))
+    free = F.get(F.transform(F.array("x"), lambda x: _free(x["others"], x["spans"])), F.lit(0))
+    return staged(rows.select("doc_id", "hash", F.col("x.spans").alias("spans"), free.alias("others")), "pii")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -223,22 +252,24 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, under the kind that starts first. A null text stays null. The columns of the
     input stay; only text and n_chars change. The pipeline's stage.
     """
+    d, h, at_s, t = apart(docs, "d", "h", "s", "t")
     texts = scan(docs)
-    found = _found(texts).withColumnRenamed("doc_id", "_d").withColumnRenamed("hash", "_h")
-    more = staged(discover(texts, found.withColumnRenamed("_d", "doc_id").withColumnRenamed("_h", "hash")), "discovered")
-    spans = found.select("_d", "_h", F.explode("spans").alias("s")).select("_d", "_h", "s.start", "s.end", "s.kind")
+    found = _found(texts)
+    more = staged(discover(texts, found), "discovered")
+    spans = found.select("doc_id", "hash", F.explode("spans").alias("s")).select("doc_id", "hash", "s.start", "s.end", "s.kind")
     spans = spans.union(more.select("doc_id", "hash", "start", "end", "kind"))
-    spans = staged(spans.groupBy("_d", "_h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("_s")), "spans")
+    spans = staged(spans.groupBy(F.col("doc_id").alias(d), F.col("hash").alias(h)).agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias(at_s)), "spans")
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
+    def step(state: Column, i: Column) -> Column:
+        s = F.get(at_s, i)
         gap = F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"])
         new = s["start"] >= state["at"]
         return F.struct(F.when(new, F.concat(state["out"], F.array(gap, F.get(names, s["kind"])))).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
-    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    joined = docs.join(broadcast_within(spans, spans.count(), BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-    clean = F.aggregate("_s", none, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(clean)
-    shown = joined.withColumn("_t", text)
-    return shown.select(*[F.col("_t").alias("text") if c == "text" else F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("_t")).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes])
+    joined = docs.join(broadcast_within(spans, spans.count(), BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
+    cut = F.array(appended(F.size(at_s), {"at": F.lit(0)}, "array<string>", step))
+    clean = F.get(F.transform(cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text")))), F.lit(0))
+    text = F.when(F.col(at_s).isNull(), F.col("text")).otherwise(clean)
+    shown = joined.withColumn(t, text)
+    return shown.select(*[F.col(t).alias("text") if c == "text" else F.when(F.col(at_s).isNull(), F.col("n_chars")).otherwise(F.length(t)).cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes])

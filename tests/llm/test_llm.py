@@ -239,6 +239,15 @@ def test_embedding_links(spark, block):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906)) and got[None].n_links == 0
 
 
+def test_embedding_copies_are_one_node(spark):
+    g = np.random.default_rng(3)
+    one, far = g.standard_normal(8), g.standard_normal(8)
+    near = one + g.standard_normal(8) * 0.01
+    rows = [(i, one.tolist(), 1) for i in range(1500)] + [(2000 + i, near.tolist(), 1) for i in range(3)] + [(3000, far.tolist(), 1), (3001, one.tolist(), 2)] + [(4000 + i, [0.0] * 8, 1) for i in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup.near_duplicate_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (1502, 0) if lab == 1 and i < 3000 else (0, i) for i, _, lab in rows}
+
+
 def test_estimates_hold_their_bounds():
     g = np.random.default_rng(1)
     x = g.standard_normal((200, 64))
@@ -343,6 +352,11 @@ def test_shards(spark, docs, odd):
     assert sharding.assign_shards(odd.limit(0), sharding.tree(16), sharding.tree(17)).count() == 0
 
 
+def test_rows_of_one_key_are_numbered_in_many_parts(spark):
+    rows = sharding.assign_shards(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text")), sharding.tree(16), sharding.tree(17)).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(3000))
+
+
 def test_weights_move_only_their_subtrees(spark):
     leaves = sharding.tree(16)
     heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.rack == "rack3" else 1.0) for x in leaves]
@@ -401,6 +415,18 @@ def test_contexts_are_whole_words_of_the_text(spark):
     assert got[100] == "phone:20:27" and got[101] == "email:16:32"
 
 
+def test_very_many_hits_in_one_text(spark):
+    texts = [" ".join(f"u{i}@x.org 10.0.{i % 300}.1" for i in range(n)) for n in (255, 256, 257, 6000)]
+    got = {r.doc_id: r.base_sha256 for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: hashlib.sha256(base_by_hand(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_redact_keeps_clashing_columns(spark):
+    rows = [(1, "mail a@b.org now", "p", "q", 3, "r"), (2, None, None, None, None, None)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, _d string, __H string, _s int, _t string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "mail [email] now", "p", "q", 3, "r"), rows[1]]
+
+
 def test_pii_odd(odd):
     got = pii.pii_digest(odd).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got) and pii.pii_digest(odd.limit(0)).collect() == []
