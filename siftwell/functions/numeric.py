@@ -102,3 +102,16 @@ def cvss_base(vector: Column) -> Column:
     scaled = F.round(raw * 100000).cast("long")
     rounded = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
     return F.when(iss.isNull() | exploit.isNull(), F.lit(None).cast("double")).when(impact <= 0, 0.0).otherwise(rounded)
+
+
+def novelty(security: Column, known: Column, release: Column, intro: Column, confidence: Column) -> Column:
+    """A factor for what is new: security and releases of known technology up, introductions to known things down."""
+    out = F.when(security & known, 1.30).when(security, 1.10).when(release & known, 1.25).when(release, 1.05)
+    return out.when(intro & known, 1 - 0.5 * confidence).when(intro, 1 - 0.2 * confidence).otherwise(1.0)
+
+
+def advantage(acted: Column, expired: Column, lead_hours: Column, calibration: Column, gaps: Column, n: Column) -> Column:
+    """0 to 100 from the share of windows acted on, lead time, calibration, gaps closed and the number of items."""
+    response = F.when(acted + expired > 0, acted / (acted + expired)).otherwise(0.5)
+    volume = F.least(F.ln(n) / F.ln(F.lit(1000.0)), F.lit(1.0))
+    return 100 * (0.30 * response + 0.20 * F.least(lead_hours / 168, F.lit(1.0)) + 0.25 * calibration + 0.15 * F.least(gaps / 5, F.lit(1.0)) + 0.10 * volume)
