@@ -44,6 +44,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merges(ranks: dict[bytes, int]) -> Iterator[tuple[int, int]]:
+    """Each pair of ids that merges, as one number, with its rank, which also is the id of the merged piece."""
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                yield left * (len(ranks) + 1) + right, rank
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern with white space as Unicode has it."""
     return f"(?U){pattern}"
@@ -67,23 +76,22 @@ class Coder:
             raise ValueError("ranks have gaps")
         self.edge = len(ranks)  # stands before and after a word's pieces and merges with nothing
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
+        self.ranks_path = ranks_path
         pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
         merged: list[list[int]] = [[] for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-                if left is not None and right is not None:
-                    pair = left * (self.edge + 1) + right
-                    self.pairs[pair] = rank
-                    pairs[pair % BUCKETS].append(pair)
-                    merged[pair % BUCKETS].append(rank)
+        for pair, rank in merges(ranks):
+            pairs[pair % BUCKETS].append(pair)
+            merged[pair % BUCKETS].append(rank)
 
         def literal(value: list, kind: str) -> Column:
             return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
         self.literals = F.struct(literal(pairs, "array<array<bigint>>").alias("pairs"), literal(merged, "array<array<int>>").alias("merged"), literal(self.bytes, "array<int>").alias("bytes"))
 
+    @property
+    def pairs(self) -> dict[int, int]:
+        return dict(merges(read_ranks(self.ranks_path)))
+
     def fold(self, byte_arrays: Column) -> Column:
         """Ids of each byte array of an array: what is left of its bytes after all merges."""
 
@@ -159,14 +167,25 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> Dat
     return counts.where(F.col("level") >= least).select("word")
 
 
-def known_words(docs: DataFrame, coder: Coder, ranks_path: str, pattern: str) -> Known:
+def known_words(docs: DataFrame, coder: Coder, pattern: str) -> bytes:
+    """The most frequent words and their ids, folded, as an Arrow stream; the driver holds no more than that."""
     frequent = frequent_words(docs, pattern)
     got = frequent.select("word", F.get(coder.fold(F.array(byte_array(F.col("word")))), F.lit(0)).alias("ids")).toArrow()  # DICTIONARY rows at most
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got)
+    return sink.getvalue().to_pybytes()
+
+
+@lru_cache(maxsize=1)
+def known_of(stream: bytes, ranks_path: str) -> Known:
+    """What a task looks words up in; a Python worker makes it once."""
+    got = pa.ipc.open_stream(stream).read_all()
     lists = got["ids"].combine_chunks()
     ids, size = [lists.flatten().to_numpy()], [lists.value_lengths().to_numpy()]
     index = {w: i for i, w in enumerate(got["word"].to_pylist())}
-    whole = {}
-    for piece, rank in read_ranks(ranks_path).items():
+    ranks, whole = read_ranks(ranks_path), {}
+    for piece, rank in ranks.items():
         try:
             whole[piece.decode()] = rank
         except UnicodeDecodeError:
@@ -174,7 +193,7 @@ def known_words(docs: DataFrame, coder: Coder, ranks_path: str, pattern: str) ->
     index |= {w: len(lists) + i for i, w in enumerate(whole)}  # a word that is a piece has that piece's id, whatever merges give
     size = np.concatenate([*size, np.ones(len(whole), np.int32)]).astype(np.int64)
     ids = np.concatenate([*ids, np.array(list(whole.values()))]).astype(np.int32)
-    return Known(index, np.cumsum(size) - size, size, ids, coder.pairs, coder.bytes, coder.edge)
+    return Known(index, np.cumsum(size) - size, size, ids, dict(merges(ranks)), [ranks[bytes([b])] for b in range(256)], len(ranks))
 
 
 def merge(word: bytes, known: Known) -> list[int]:
@@ -224,7 +243,7 @@ def _encoded(known: Broadcast, ranks_path: str, finish: Callable[[pa.RecordBatch
     """Rows (doc_id, words) to rows (doc_id, ids), in chunks, and `finish` of those."""
 
     def ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = known.value
+        k = known_of(known.value, ranks_path)
         ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
         coded = batch.column(1).flatten().dictionary_encode()
         new: list[list[int]] = []
@@ -256,7 +275,7 @@ def _encoded(known: Broadcast, ranks_path: str, finish: Callable[[pa.RecordBatch
 
 def _encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> tuple[DataFrame, Broadcast]:
     rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    known = docs.sparkSession.sparkContext.broadcast(known_words(rows, Coder(ranks_path), ranks_path, pattern))
+    known = docs.sparkSession.sparkContext.broadcast(known_words(rows, Coder(ranks_path), pattern))
     return rows.select("doc_id", words(F.col("text"), pattern).alias("words")).mapInArrow(_encoded(known, ranks_path, finish), schema), known
 
 
