@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import feeds, selections, texts
+from siftwell.plans import content, feeds, selections, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (feeds, selections, texts)
+MODULES = (content, feeds, selections, texts)
 
 
 def queries() -> dict[str, Query]:
