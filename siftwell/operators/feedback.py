@@ -80,7 +80,7 @@ def strength(action: Column, seconds: Column, pattern: Column, scrolled: Column)
 
 def time_to_resolve(events: DataFrame, key: str, ts: str, tie: str, failed: Column) -> DataFrame:
     """By key: failures after which something else came, and the mean hours until then."""
-    after = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)
     rows = events.select(key, ts, tie, failed.alias("_failed")).withColumn("_done", F.min(F.when(~F.col("_failed"), F.col(ts))).over(after))
     return rows.where("_failed and _done is not null").groupBy(key).agg(F.count("*").alias("resolved"), F.round(F.avg(hours(F.col("_done"), F.col(ts))), 6).alias("hours"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.numeric import in_range, version
+from siftwell.functions.numeric import in_range, micros, version
 
 
 def matched_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -38,7 +38,12 @@ def named_in(names: DataFrame, name: str, texts: DataFrame, text_words: str) ->
 
 
 def paired_within(first: DataFrame, second: DataFrame, key: str, ts: str, hours: int) -> DataFrame:
-    """Interval join: each row of `first` with the rows of `second` of its key within the hours after it."""
-    right = second.select(F.col(key).alias("_k"), F.col(ts).alias("later_ts"), F.col("event_id").alias("later_id"))
+    """Interval join: each row of `first` with the rows of `second` of its key within the hours after it.
+
+    Rows meet by key and stretch of time as long as the interval, so that a frequent key is spread over its stretches.
+    """
+    stretch = F.floor(micros(F.col(ts)) / (hours * 3_600_000_000))
+    right = second.select(F.col(key).alias("_k"), F.col(ts).alias("later_ts"), F.col("event_id").alias("later_id"), stretch.alias("_s"))
+    left = first.withColumn("_of", F.explode(F.array(stretch, stretch + 1)))
     limit = F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")
-    return first.join(right, (F.col(key) == F.col("_k")) & F.col("later_ts").between(F.col(ts), limit)).drop("_k")
+    return left.join(right, (F.col(key) == F.col("_k")) & (F.col("_of") == F.col("_s")) & F.col("later_ts").between(F.col(ts), limit)).drop("_k", "_s", "_of")

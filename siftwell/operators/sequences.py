@@ -46,10 +46,16 @@ def chain_shape(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
 
 
 def first_after(windows: DataFrame, incidents: DataFrame, key: str, opened: str, ts: str, id_col: str) -> DataFrame:
-    """Forward as-of join: each window with the earliest later incident of its key, or null."""
-    met = windows.join(incidents.select(F.col(key).alias("_k"), F.col(ts).alias("incident_ts"), F.col(id_col).alias("incident_id")), (F.col(key) == F.col("_k")) & (F.col("incident_ts") > F.col(opened)), "left")
-    names = windows.columns
-    return met.groupBy(*names).agg(F.min(F.struct("incident_ts", "incident_id")).alias("_first")).select(*names, "_first.incident_id", "_first.incident_ts")
+    """Forward as-of join: each window with the earliest later incident of its key, or null; no pair of rows is made.
+
+    Both sides go through one ordered pass from the newest row back. Null keys and times meet nothing.
+    """
+    names, incident = windows.columns, F.struct(F.col(ts).alias("incident_ts"), F.col(id_col).alias("incident_id"))
+    left = windows.withColumn("_at", micros(F.col(opened))).withColumn("_window", F.lit(True))
+    right = incidents.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, micros(F.col(ts)).alias("_at"), F.lit(False).alias("_window"), incident.alias("_incident"))
+    later = Window.partitionBy(key).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_first", F.when(F.col("_at").isNotNull(), F.min("_incident").over(later)))
+    return both.where("_window").select(*names, "_first.incident_id", "_first.incident_ts")
 
 
 def breaker_states(events: DataFrame, key: str, ts: str, order: str, failed: str, opens_at: int = 5, reset_minutes: int = 10) -> DataFrame:

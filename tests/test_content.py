@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftwell.functions import content
-from siftwell.operators import feedback
+from siftwell.operators import feedback, matching, sequences
 
 
 def test_classes(spark):
@@ -36,3 +36,13 @@ def test_feedback(spark):
     assert [(r.shared, r.own) for r in feedback.convergence(df, "k", "v").where("k = 'a'").collect()] == [(0, 1)]
     acts = spark.createDataFrame([("click", 30.0, None, 0.0), ("click", 600.0, "bounced", 0.0), ("nothing", 1.0, None, 0.0), ("complete", 600.0, None, 2.0)], "a string, s double, p string, d double")
     assert [round(r[0], 6) for r in acts.select(feedback.strength(F.col("a"), F.col("s"), F.col("p"), F.col("d"))).collect()] == [1.0, -0.4, 0.0, 1.0]
+
+
+def test_pairs_in_time(spark):
+    e = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00"), (2, "a", "2024-01-01 00:00:00"), (3, None, "2024-01-01 00:00:00"), (4, "b", None), (5, "b", "2024-01-01 10:00:00")], "event_id long, k string, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    later = spark.createDataFrame([(7, "a", "2024-01-01 00:00:00"), (8, "a", "2024-01-02 00:00:00"), (9, "a", "2024-01-02 00:00:01"), (6, "b", "2024-01-01 09:00:00"), (10, None, "2024-01-03 00:00:00")], "event_id long, k string, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    got = sequences.first_after(e, later, "k", "ts", "ts", "event_id").collect()
+    assert {r.event_id: r.incident_id for r in got} == {1: 8, 2: 8, 3: None, 4: None, 5: None} and len(got) == 5
+    assert sequences.first_after(e.limit(0), later, "k", "ts", "ts", "event_id").collect() == []
+    pairs = matching.paired_within(e, later, "k", "ts", 24).collect()
+    assert sorted((r.event_id, r.later_id) for r in pairs) == [(1, 7), (1, 8), (2, 7), (2, 8)]
