@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwell.llm import oracles
@@ -14,8 +15,11 @@ from siftwell.llm.chat_formatting import chat_digest
 from siftwell.llm.common import table
 from siftwell.llm.decontamination import benchmark_hits
 from siftwell.llm.embedding_near_dedup import near_duplicate_embeddings
+from siftwell.llm.hard_negatives import hard_negatives
+from siftwell.llm.importance_resampling import resample
 from siftwell.llm.language_id import identify_documents, identify_pages
 from siftwell.llm.license_scan import duckdb_sql, license_digest
+from siftwell.llm.line_dedup import line_digest
 from siftwell.llm.ngram_jaccard_join import similar_groups
 from siftwell.llm.pii import pii_digest
 from siftwell.llm.sharding import assign_shards, tree
@@ -69,9 +73,22 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"), least_chars=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_language_id, language_id_of_pages, op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_byte_bpe, op2_language_id, language_id_of_pages, op3_license_scan, op4_embedding_near_dedup, op5_chat_formatting, op6_decontamination, op7_sharding, op8_pii, op9_ngram_jaccard_join, op10_token_output, op11_importance_resampling, op12_line_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": duckdb_sql(), "op4_embedding_near_dedup": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op9_ngram_jaccard_join": oracles.OP9}
+    return {"op3_license_scan": duckdb_sql(), "op4_embedding_near_dedup": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op9_ngram_jaccard_join": oracles.OP9, "op12_line_dedup": oracles.OP12, "op13_hard_negatives": oracles.OP13}
