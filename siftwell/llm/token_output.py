@@ -28,8 +28,8 @@ from siftwell.llm.common import columns, shared_dir
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
-#: Rounds of pair replacement, most rules of a round, and uses that a rule needs.
-ROUNDS, RULES, USES = 4, 4096, 4
+#: Uses that a rule needs. Pairs are replaced until none is used so often.
+USES = 4
 #: Words whose ids a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 500_000
 #: Bytes of texts that are looked up together, but for a text that has more.
@@ -111,47 +111,74 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, rules: int = RULES, uses: int = USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules, expansion lengths and the documents' ends in symbols. ends: the documents' ends in ids."""
+def _frequent(pairs: np.ndarray, uses: int) -> np.ndarray:
+    """The different pairs that occur `uses` times or more, the most frequent first. Only pairs in slots with so many pairs
+    are sorted."""
+    slots = _slot(pairs)
+    pairs = pairs[np.bincount(slots, minlength=1 << PAIR_BITS)[slots] >= uses]
+    values, counts = np.unique(pairs, return_counts=True)
+    often = np.flatnonzero(counts >= uses)
+    return values[often[np.lexsort((values[often], -counts[often]))]]
+
+
+def _hits(pairs: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places with their pairs those at which chosen pairs are replaced, none overlapping another, and which of them
+    each is. Of pairs that share a slot of the table the first is taken; the others come in a later round."""
+    table = np.full(1 << PAIR_BITS, -1, np.int32)
+    table[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
+    rule = table[_slot(pairs)]
+    hit = np.flatnonzero(rule >= 0)
+    hit = hit[chosen[rule[hit]] == pairs[hit]]
+    at = places[hit]
+    run = np.concatenate([[True], np.diff(at) != 1])  # in a run of overlapping hits every second one is replaced
+    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+    even = (np.arange(len(at)) - first) % 2 == 0
+    return at[even], rule[hit[even]]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules, expansion lengths and the documents' ends in symbols. ends: the documents' ends in ids.
+
+    Rounds go on until no pair can be replaced `uses` times. A round counts the pairs with a symbol of the round before, as
+    others were counted before; when those give no rule, all pairs are counted once more. When the pairs of a round stand in
+    each other's way, the better half of them goes first.
+    """
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     made, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
-    for _ in range(rounds):
-        if len(symbols) < 2 * uses:
-            break
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = ~last[:-1]
-        values, counts = np.unique(pairs[inside], return_counts=True)
-        often = np.flatnonzero(counts >= uses)
-        if not len(often):
-            break
-        order = often[np.lexsort((values[often], -counts[often]))][:rules]
-        slots, one = np.unique(_slot(values[order]), return_index=True)
-        chosen = values[order[np.sort(one)]]  # of pairs that share a slot the most frequent one
-        table = np.full(1 << PAIR_BITS, -1, np.int32)
-        table[_slot(chosen)] = np.arange(len(chosen))
-        rule = table[_slot(pairs)]
-        hit = (rule >= 0) & inside
-        hit &= chosen[rule] == pairs
-        at = np.flatnonzero(hit)
-        run = np.concatenate([[True], np.diff(at) != 1])  # in a run of overlapping hits every second one is replaced
-        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
-        used = np.bincount(rule[at], minlength=len(chosen))
-        number = np.cumsum(used >= uses) - 1 + base + sum(map(len, made))
-        at = at[used[rule[at]] >= uses]
+    known, fresh = np.ones(base, np.uint32), None
+    while len(symbols) >= 2 * uses:
+        places = ~last[:-1]
+        if fresh is not None:
+            newest = symbols >= fresh
+            places &= newest[:-1] | newest[1:]
+        places = np.flatnonzero(places)
+        pairs = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+        chosen = _frequent(pairs, uses)
+        at = np.zeros(0, np.int64)
+        while len(chosen):
+            at, rule = _hits(pairs, places, chosen)
+            used = np.bincount(rule, minlength=len(chosen))
+            at, rule = at[used[rule] >= uses], rule[used[rule] >= uses]
+            if len(at):
+                break
+            chosen = chosen[: len(chosen) // 2]
         if not len(at):
-            break
+            if fresh is None:
+                break
+            fresh = None
+            continue
         taken = chosen[used >= uses]
-        new = np.stack([taken >> np.uint64(32), taken & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        known = np.concatenate([np.ones(base, np.uint32), *lengths])
-        symbols[at] = number[rule[at]]
+        fresh = len(known)
+        number = np.cumsum(used >= uses) - 1 + fresh
+        made.append(np.stack([taken >> np.uint64(32), taken & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        lengths.append(known[made[-1]].sum(axis=1, dtype=np.uint32))
+        known = np.concatenate([known, lengths[-1]])
+        symbols[at] = number[rule]
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, last = symbols[keep], last[keep]
-        made.append(new)
-        lengths.append(known[new].sum(axis=1, dtype=np.uint32))
     out = np.zeros(len(ends), np.int64)
     out[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
     return symbols, np.concatenate(made), np.concatenate(lengths), np.maximum.accumulate(out) if len(out) else out
