@@ -146,12 +146,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
-def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int = 5, pattern_least: float = 0.6, value_least: float = 0.8) -> DataFrame:
+def discover(docs: DataFrame, found: DataFrame, support: int = 5, pattern_least: float = 0.6, value_least: float = 0.8) -> DataFrame:
     """Spans that contexts add to the base ones: rows (doc_id, hash, kind, start, end).
 
     A pattern is a kind and a context; it needs `support` different values and a confidence of `pattern_least`: the sum of
     its mentions' confidences by all its occurrences in the corpus, whatever follows there. A value's confidence is
-    1 - product of (1 - confidence) over the patterns of its mentions. Rounds end early when nothing new is found.
+    1 - product of (1 - confidence) over the patterns of its mentions. Rounds go on until the values that they accept are
+    those of an earlier round.
     """
     seeds = found.select("doc_id", "hash", F.explode("spans").alias("s")).select("doc_id", "hash", "s.kind", "s.value", "s.ctx", F.lit(1.0).alias("conf"))
     seeds = staged(seeds.where("ctx is not null"), "seeds")
@@ -166,7 +167,8 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
     seeded = docs.join(broadcast_within(held, held.count(), BROADCAST_ROWS), same, "left_semi")
     instances, accepted, known = seeds, None, None
-    for _ in range(rounds):
+    marks: set[tuple] = set()
+    while True:
         patterns = staged(supported(instances), "patterns")
         asked = patterns.select("ctx").distinct() if known is None else patterns.select("ctx").distinct().join(known, "ctx", "left_anti")
         asked = staged(asked, "contexts")
@@ -183,10 +185,11 @@ def discover(docs: DataFrame, found: DataFrame, rounds: int = 3, support: int =
         scored = patterns.join(known, "ctx").select("kind", "ctx", F.least(F.lit(0.999), F.col("conf") / F.col("total")).alias("p")).where(F.col("p") >= pattern_least)
         values = maybe.join(scored, "ctx").groupBy("kind", "value", "ctx").agg(F.first("p").alias("p")).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("conf"))
         best = values.groupBy("value").agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"), F.max("conf").alias("conf")).where(F.col("conf") >= value_least)
-        now = staged(maybe.join(best, "value"), "accepted")
-        before, accepted = accepted, now
-        if now.isEmpty() or (before is not None and before.count() == now.count()):
+        accepted = now = staged(maybe.join(best, "value"), "accepted")
+        mark = tuple(now.select("kind", "value").distinct().agg(F.count("*"), F.bit_xor(F.xxhash64("kind", "value"))).first())
+        if not mark[0] or mark in marks:
             break
+        marks.add(mark)
         instances = seeds.unionByName(now.select("doc_id", "hash", "kind", "value", "ctx", "conf"))
     if accepted is None:
         return maybe.limit(0).select("doc_id", "hash", F.lit(0).alias("kind"), "start", "end")
