@@ -20,8 +20,8 @@ from siftwell.llm.common import apart, batches_of, binary_values, broadcast_with
 
 #: Buckets of the trigram hash, and weight of an unseen trigram.
 BUCKETS, ALPHA = 1 << 14, 0.5
-#: Labelled rows that the trigram model is fitted on, those of least hash of their id; and most languages.
-SAMPLE_ROWS, MOST_LANGUAGES = 4000, 64
+#: Labelled rows that the trigram model is fitted on, those of least hash of their id; they bound the languages as well.
+SAMPLE_ROWS = 4000
 #: Trigrams of a text overlap; its log-likelihood counts by this factor, and by no more than so many trigrams.
 TEMPER, MOST_EVIDENCE = 0.25, 2000.0
 #: A text is rejected when its log-likelihood lies so many roots of its number of trigrams below that of chance.
@@ -89,8 +89,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
         got = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
     labels, buckets, ns = (got[c].to_numpy(zero_copy_only=False) for c in ("label", "bucket", "n"))
     names, place = np.unique(labels.astype(str), return_inverse=True)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages are labelled; at most {MOST_LANGUAGES} are modelled")
     table = np.full((len(names), BUCKETS), ALPHA)
     np.add.at(table, (place, buckets.astype(int)), ns)
     return TextModel(tuple(names), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))

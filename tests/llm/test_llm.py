@@ -123,6 +123,12 @@ def test_language_odd(spark, odd):
     assert language_id.identify_documents(full.limit(0)).collect() == []
 
 
+def test_any_number_of_languages(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 5} " * 20, f"l{i}", "h", 0) for i in range(70)]
+    got = language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, k int")).collect()
+    assert len(got) == 70 and sum(r.language == f"l{r.doc_id}" for r in got) >= 65
+
+
 # 3: licences
 
 
@@ -576,6 +582,23 @@ def test_grammar_round_trip():
             assert (token_output.ids_between(symbols, rules, lengths, 10, 7, 31) == ids[7:31]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    g = np.random.default_rng(7)
+    words = [g.integers(0, 40, int(g.integers(2, 9))).astype(np.uint32) for _ in range(60)]
+    docs = [np.concatenate([words[int(k)] for k in g.zipf(1.4, 200) % 60]) for _ in range(20)] + [g.integers(0, 40, 200).astype(np.uint32)] * 6
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    symbols, rules, lengths, cut = token_output.compress(ids, ends, 40)
+    assert (token_output.expand(symbols, rules, 40) == ids).all() and lengths.max() > 64
+    used, before = collections.Counter(), {}
+    for start, stop in zip([0, *cut[:-1]], cut, strict=True):
+        for at in range(start, stop - 1):
+            pair = (int(symbols[at]), int(symbols[at + 1]))
+            if before.get(pair) != at - 1 or pair[0] != pair[1]:  # what overlaps is used once
+                used[pair] += 1
+                before[pair] = at
+    assert max(used.values()) < token_output.USES
+
+
 def test_token_files_odd(spark, odd):
     assert token_output.token_digest(odd, WORDS).count() == len(ODD) and token_output.token_digest(odd.limit(0), WORDS).collect() == []
 
