@@ -82,7 +82,8 @@ def cooccurrence(items: DataFrame, key: str, topic: str, quality: str, least: in
     each = items.select(key, topic, quality).distinct()
     common = each.groupBy(topic).count().where(F.col("count") >= least).select(topic)
     lists = each.join(common, topic).groupBy(key).agg(F.array_sort(F.collect_set(topic)).alias("t"), F.max(quality).alias("q"))
-    pairs = lists.select(F.posexplode("t").alias("i", "a"), "t", "q").select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"), "q")
+    couples = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = lists.select(F.explode(couples).alias("p"), "q").select("p.a", "p.b", "q")
     out = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("q").alias("quality"))
     return out.select("a", "b", "n", F.round("quality", 6).alias("quality"), F.round(F.col("n") * F.col("quality"), 6).alias("weight")).orderBy(F.desc("weight"), "a", "b").limit(limit)
 
@@ -98,3 +99,20 @@ def class_terms(docs: DataFrame, group: str, key: str, terms: str, coverage: flo
     score = F.round(F.col("tf") * F.ln(1 + F.col("groups") / F.col("df")), 6)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "term"))
     return out.join(F.broadcast(groups)).withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= top).select(group, "term", "tf", "df", "score", "rank")
+
+
+def sigmoid_fit(values: DataFrame, value: str, key: str, sample: int = 500, least: int = 50, floor: float = 0.01, narrow: float = 0.01) -> DataFrame:
+    """Centre and scale of a sigmoid from observed similarities: one row (n, mean, deviation, center, scale).
+
+    The sample is the `sample` rows above `floor` with the least hash of their key: every task keeps so many and the least
+    of those stay, so the sample is the same for any partitioning and two samples merge into that of both. Mean and
+    population deviation of the sample give the centre, within 0.2 and 0.7, and 2.5 by the deviation gives the scale, within
+    5 and 30; both are null with fewer than `least` rows or a deviation below `narrow`. Null values and keys have no part.
+    """
+    usable = values.where((F.col(value) > floor) & F.col(key).isNotNull()).select(F.col(value).cast("double").alias("v"), F.md5(F.col(key).cast("string").cast("binary")).alias("h"), F.col(key).alias("k"))
+    picked = usable.orderBy("h", "k").limit(sample)
+    out = picked.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    told = (F.col("n") >= least) & (F.col("deviation") >= narrow)
+    center = F.when(told, F.greatest(F.lit(0.20), F.least(F.col("mean"), F.lit(0.70))))
+    scale = F.when(told, F.greatest(F.lit(5.0), F.least(2.5 / F.col("deviation"), F.lit(30.0))))
+    return out.select("n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round(center, 6).alias("center"), F.round(scale, 6).alias("scale"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.graph import components
+from siftwell.operators.greedy import greedy, pairs_as_groups
+from siftwell.operators.staging import staged
 
 
 def exact(items: DataFrame, identity: Column, score: str, key: str) -> DataFrame:
@@ -16,57 +18,108 @@ def exact(items: DataFrame, identity: Column, score: str, key: str) -> DataFrame
     return named.withColumn("_r", rank).where("_r = 1 or _i is null or _i = ''").drop("_i", "_r")
 
 
-def similar_pairs(items: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
-    """Pairs a < b of word sets with Jaccard similarity of at least the threshold.
+#: The most frequent words, which come last in the order of words, so that rows hardly meet on them.
+FREQUENT = 4096
+
 
-    Sets that similar share one of the rarest n - ceil(t n) + 1 words of each, so rows meet only on those; the rarest
-    words' lists are short.
+def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Word sets with Jaccard similarity of at least the threshold: pairs (a, b, similarity) of sets, a < b, and the
+    members (set, id) of each set, which is named by its least id.
+
+    Equal sets are one set, so that copies do not multiply. Sets that are similar share one of the first
+    n - ceil(t n) + 1 words of each in any order of words; frequent ones come last. Rows meet on such a word and a band of
+    sizes, which splits the rows of a frequent word, and only where the words that follow can still suffice. Words are told
+    apart by 64 bits of hash. Rows without words have no part in it.
     """
-    sets = items.select(F.col(key).alias("id"), F.array_distinct(words).alias("w")).where(F.size("w") > 0)
-    each = sets.select("id", F.explode("w").alias("word"))
-    rare = each.groupBy("word").agg(F.count("*").alias("df"))
-    ordered = each.join(rare, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    n = F.size("o")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("p")).select("id", "n", "p.word")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    met = prefix.withColumnRenamed("id", "a").join(other, "word").where((F.col("a") < F.col("b")) & (F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-9)).select("a", "b").distinct()
-    both = met.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    hashed = items.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") > 0)
+    same = staged(hashed.groupBy(F.xxhash64("w").alias("h"), F.size("w").alias("n"), F.hash("w").alias("g")).agg(F.min(F.struct("id", "w")).alias("s"), F.collect_list("id").alias("ids")), "word-sets")
+    members = same.select(F.col("s.id").alias("set"), F.explode("ids").alias("id"))
+    sets = same.select(F.col("s.id").alias("id"), "n", F.col("s.w").alias("w"))
+    often = [r.word for r in sets.select(F.explode("w").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(FREQUENT).collect()]
+    frequent = lambda w: w.isin(often) if often else F.lit(False)
+    ordered = F.concat(F.filter("w", lambda w: ~frequent(w)), F.filter("w", frequent))
+    prefix = F.slice(ordered, F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    band = lambda n: F.floor(F.ln(n) / -float(np.log(threshold)) + 1e-9).cast("int")
+    each = sets.select("id", "n", band("n").alias("band"), F.posexplode(prefix).alias("pos", "word"))
+    left = each.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).toDF("a", "na", "band", "pa", "word")
+    right = each.toDF("b", "nb", "band", "pb", "word")
+    # of two sets of one band the smaller id is on the left; of two bands, the smaller band
+    both = left.join(right, ["word", "band"]).where((band("na") < F.col("band")) | (F.col("a") < F.col("b")))
+    overlap = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap)
+    met = both.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = met.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     value = common / (F.size("wa") + F.size("wb") - common)
-    return both.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold)
+    return found.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold), members
+
+
+def similar_pairs(items: DataFrame, key: str, words: str, threshold: float) -> DataFrame:
+    """All pairs a < b of rows whose word sets have Jaccard similarity of at least the threshold, copies among them."""
+    pairs, members = similar_sets(items, key, words, threshold)
+    same = pairs.select("a", "b", "similarity").union(members.select("set").distinct().select(F.col("set").alias("a"), F.col("set").alias("b"), F.lit(1.0).alias("similarity")))
+    left, right = members.toDF("a", "ia"), members.toDF("b", "ib")
+    every = same.join(left, "a").join(right, "b").where((F.col("a") < F.col("b")) | (F.col("ia") < F.col("ib")))
+    return every.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
 
 
 def fuzzy(items: DataFrame, key: str, words: str, score: str, threshold: float = 0.65) -> DataFrame:
     """Greedy removal, best score first: an item similar to a kept one goes to it. Returns id, kept_id, similar_count.
 
-    Decisions never cross connected components of the pair graph, so each component is one greedy pass.
+    Items of equal words have the same neighbours, so the best of them decides for all. Null scores come last, ties go to
+    the smaller id.
+    """
+    pairs, members = similar_sets(items, key, words, threshold)
+    scored = members.join(items.select(F.col(key).alias("id"), F.col(score).cast("double").alias("score")), "id")
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.coalesce("score", F.lit(0.0))).alias("low"), F.col("id"))
+    best = staged(scored.groupBy("set").agg(F.min(place).alias("best")), "set-places")
+    ends = pairs.join(best.toDF("a", "pa"), "a").join(best.toDF("b", "pb"), "b")
+    taken = greedy(pairs_as_groups(ends, "a", "b", "pa", "pb"))
+    heads = best.join(taken.withColumnRenamed("id", "set"), "set", "left").select("set", F.coalesce("kept_id", "set").alias("head"))
+    heads = heads.join(best.select(F.col("set").alias("head"), F.col("best.id").alias("kept_id")), "head").select("set", "kept_id")
+    found = staged(members.join(heads, "set").select("id", "kept_id"), "fuzzy")
+    counts = found.where("id <> kept_id").groupBy(F.col("kept_id").alias("id")).agg(F.count("*").alias("similar_count"))
+    out = items.select(F.col(key).alias("id")).join(found, "id", "left").join(counts, "id", "left")
+    return out.select("id", F.coalesce("kept_id", "id").alias("kept_id"), F.coalesce("similar_count", F.lit(0)).alias("similar_count"))
+
+
+def normal_heading(title: Column) -> Column:
+    """Lower case, letters and digits, blanks for white space, dashes and underscores; all else goes."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}\s_-]+", ""), r"[\s_-]+", " "))
+
+
+def briefing(items: DataFrame, key: str, title: str, score: str, threshold: float = 0.55, least: int = 10, longer: int = 200) -> DataFrame:
+    """Near-duplicate headings fall to the best scored one, in one greedy order: id, kept_id.
+
+    Two headings are duplicates when one begins with the other (at least `least` bytes, at most `longer` more), when they
+    have at least two words and differ in numbers alone, or when their sets of word pairs have Jaccard similarity of at
+    least the threshold. Beginnings meet by hash at the lengths that occur behind the same first `least` bytes, series by
+    their words; a series is one group, whatever its size. Headings without letters and digits stay; null scores come last.
     """
-    pairs = similar_pairs(items, key, words, threshold)
-    parts = components(pairs)
-    scores = items.select(F.col(key).alias("id"), F.col(score).alias("score"))
-    nodes = parts.join(scores, "id").select("component", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("score").cast("double").alias("score"))
-    links = pairs.join(parts, pairs.a == parts.id).select("component", "a", "b", F.lit(None).cast("double").alias("score"))
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in part[part.b.notna()][["a", "b"]].astype("int64").itertuples(index=False):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        kept: dict[int, int] = {}
-        order = part[part.b.isna()].sort_values(["score", "a"], ascending=[False, True])
-        place: dict[int, int] = {}
-        for i, x in enumerate(order.a.astype("int64")):
-            to = min((place[y], y) for y in near.get(x, []) if y in place)[1] if any(y in place for y in near.get(x, [])) else None
-            kept[x] = x if to is None else to
-            if to is None:
-                place[x] = i
-        counts: dict[int, int] = {}
-        for x, to in kept.items():
-            counts[to] = counts.get(to, 0) + (x != to)
-        return pd.DataFrame({"id": list(kept), "kept_id": list(kept.values()), "similar_count": [counts.get(x, 0) if kept[x] == x else 0 for x in kept]})
-
-    found = nodes.unionByName(links).groupBy("component").applyInPandas(greedy, "id long, kept_id long, similar_count long")
-    return items.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"), F.coalesce("similar_count", F.lit(0)).alias("similar_count"))
+    head = normal_heading(F.col(title)).alias("t")
+    place = F.struct(F.col(score).isNull().alias("none"), (-F.coalesce(F.col(score).cast("double"), F.lit(0.0))).alias("low"))
+    rows = items.select(F.col(key).alias("id"), head, place.alias("place")).where("t <> ''")
+    # equal headings have the same neighbours; the best decides
+    named = staged(rows.groupBy("t").agg(F.min(F.struct("place", "id")).alias("at")).select("t", "at.id", "at.place"), "headings")
+    raw = named.select("id", "place", F.col("t").cast("binary").alias("b")).where(F.octet_length("b") >= least)
+    raw = raw.select("id", "place", "b", F.octet_length("b").alias("n"), F.substring("b", 1, least).alias("start"))
+    lengths = raw.groupBy("start").agg(F.collect_set("n").alias("lengths"))
+    shorter = raw.join(lengths, "start").select("id", "place", "b", F.explode(F.filter("lengths", lambda x: (x < F.col("n")) & (x >= F.col("n") - longer))).alias("cut"))
+    shorter = shorter.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.expr("substring(b, 1, cut)").alias("text"))
+    begins = shorter.join(raw.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("b").alias("text")), "text")
+    words = F.filter(F.split("t", " "), lambda w: ~F.rlike(w, F.lit("^[0-9]+$")))
+    series = named.select(F.concat(F.lit("series "), F.array_join(words, " ")).alias("group"), "id", "place", F.size(words).alias("n")).where("n >= 2").drop("n")
+    split = F.split("t", " ")
+    couples = F.when(F.size(split) < 2, split).otherwise(F.transform(F.slice(split, F.lit(1), F.size(split) - 1), lambda w, i: F.concat_ws(" ", w, F.get(split, i + 1))))
+    pairs, members = similar_sets(named.select("id", couples.alias("couples")), "id", "couples", threshold)
+    copies = members.select(F.concat(F.lit("set "), F.col("set").cast("string")).alias("group"), "id")
+    near = pairs.select(F.concat(F.lit("pair "), F.col("a").cast("string"), F.lit("/"), F.col("b").cast("string")).alias("group"), F.explode(F.array("a", "b")).alias("set")).join(members, "set").select("group", "id")
+    near = near.union(copies).join(named.select("id", "place"), "id").select("group", "id", "place")
+    groups = pairs_as_groups(begins, "a", "b", "pa", "pb").unionByName(series).unionByName(near)
+    taken = greedy(groups)
+    heads = named.select("t", F.col("id").alias("best")).join(taken.select(F.col("id").alias("best"), "kept_id"), "best", "left").select("t", F.coalesce("kept_id", "best").alias("kept_id"))
+    out = items.select(F.col(key).alias("id"), head).join(heads, "t", "left")
+    return out.select("id", F.coalesce("kept_id", "id").alias("kept_id"))
 
 
 def topic_dedup(items: DataFrame, topic: str, score: str, key: str, gap: float = 0.10) -> DataFrame:
@@ -77,6 +130,8 @@ def topic_dedup(items: DataFrame, topic: str, score: str, key: str, gap: float =
 
 def clusters(items: DataFrame, key: str, words: str, threshold: float = 0.35) -> DataFrame:
     """Items joined by word similarity, directly or through others: id, cluster (least id), size."""
-    parts = components(similar_pairs(items, key, words, threshold))
+    pairs, members = similar_sets(items, key, words, threshold)
+    sets = components(pairs).withColumnRenamed("id", "set")
+    parts = members.join(sets, "set", "left").select("id", F.coalesce("component", "set").alias("component"))
     out = items.select(F.col(key).alias("id")).join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    return out.withColumn("size", F.count("*").over(Window.partitionBy("cluster")))
+    return out.join(out.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("id", "cluster", "size")

@@ -7,20 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.numeric import l2
 from siftwell.functions.text import ascii_words
+from siftwell.operators.staging import staged
 
 STOP_WORDS = frozenset("a an and are about all any by did do does find for from had has have how i in is it list many me my of on or search show that the these this those to was were what when where which with".split())
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for a query by BM25: id, score, rank. One pass counts the query's terms in each text."""
+    """The k best documents for a query by BM25: id, score, rank.
+
+    Texts are read once: numbers of words and of each term are counted by patterns and written, and both the means and the
+    scores come from those few columns. For many queries over one corpus see `postings`.
+    """
     terms = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
-    counted = docs.select(F.col(id_col), ascii_words(F.col(text_col)).alias("w"))
-    counted = counted.select(id_col, F.size("w").alias("len"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    counted = docs.select(F.col(id_col), low.alias("t")).select(id_col, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("len"), *[F.regexp_count("t", F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = staged(counted, "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -31,10 +37,6 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int, k1: fl
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def _equals(term: str):
-    return lambda w: w == term
-
-
 def knn(rows: DataFrame, query: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """The k nearest rows of a single query vector (a frame of one row) by L2 distance."""
     one = query.select(F.col(vector_col).alias("_q")).limit(1)
@@ -74,6 +76,49 @@ def knn_of_set(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def knn_of_class(rows: DataFrame, query: DataFrame, id_col: str, vector_col: str, eligible: Column, k: int) -> DataFrame:
+    """The k nearest of the rows that are eligible. The class is asked before the distance, so that the result is never
+    short of rows, however many nearer ones are not eligible; a null class is not."""
+    return knn(rows.where(F.coalesce(eligible, F.lit(False))), query, id_col, vector_col, k)
+
+
+#: Words that a recall leaves out, and other names of words.
+RECALL_STOP_WORDS = frozenset("about after again against before between from into should that their there this with would".split())
+ALIASES = {
+    "auth": ("authentication", "authorization", "jwt", "oauth"), "authentication": ("auth",), "authorization": ("auth", "authz"), "authz": ("authorization",), "js": ("javascript",), "javascript": ("js",),
+    "postgres": ("postgresql",), "postgresql": ("postgres",), "py": ("python",), "python": ("py",), "sqlite": ("sqlite3",), "sqlite3": ("sqlite",), "ts": ("typescript",), "typescript": ("ts",),
+}
+
+
+def recall_words(text: Column) -> Column:
+    """Lower case, with blanks for all but letters, digits, plus and number signs."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9+#]+", " "))
+
+
+def recall(rows: DataFrame, id_col: str, weights: dict[str, float], query: str, limit: int, vector_score: Column | None = None, vector_weight: float = 0.0) -> DataFrame:
+    """The best rows for a question over weighted fields: id, score, matched (the fields that match, as weighted).
+
+    In each field the whole question counts 4, each of its words of three characters or more and each of their other names
+    counts 2 as a word and 1 within one. `vector_score`, a column of cosines, adds its part times `vector_weight` to rows
+    that match. Ties go to the smaller id; nulls are empty.
+    """
+    phrase = " ".join(re.findall("[a-z0-9+#]+", query.lower()))
+    found = [w for w in phrase.split(" ") if len(w) >= 3 and w not in RECALL_STOP_WORDS]
+    terms = list(dict.fromkeys(t for w in found for t in (w, *ALIASES.get(w, ()))))
+    scored = rows
+    for at, name in enumerate(weights):
+        text = recall_words(F.col(name))
+        value = F.when(F.contains(text, F.lit(phrase)), 4).otherwise(0) if len(phrase) >= 3 else F.lit(0)
+        for t in terms:
+            value = value + F.when(F.array_contains(F.split(text, " "), t), 2).when(F.contains(text, F.lit(t)), 1).otherwise(0)
+        scored = scored.withColumn(f"_field{at}", value)
+    total = sum((F.col(f"_field{at}") * w for at, w in enumerate(weights.values())), F.lit(0.0))
+    matched = F.array_compact(F.array(*[F.when(F.col(f"_field{at}") > 0, name) for at, name in enumerate(weights)]))
+    extra = F.coalesce(vector_score, F.lit(0.0)) * vector_weight if vector_score is not None else F.lit(0.0)
+    out = scored.select(F.col(id_col), F.round(total, 6).alias("_lexical"), extra.alias("_vector"), matched.alias("matched")).where("_lexical > 0")
+    return out.select(id_col, F.round(F.col("_lexical") + F.col("_vector"), 6).alias("score"), "matched").orderBy(F.desc("score"), id_col).limit(limit)
+
+
 def fused(text_leg: DataFrame, vector_leg: DataFrame, id_col: str, limit: int, text_weight: float = 1.0, vector_weight: float = 1.0, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked legs (id, rank)."""
     t = text_leg.select(id_col, F.col("rank").alias("text_rank"))

@@ -73,12 +73,6 @@ def word_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return dedup.similar_pairs(docs, "doc_id", "w", 0.65).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
-def fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", text.ascii_words(F.col("text"), 3).alias("w"))
-    return dedup.fuzzy(docs, "doc_id", "w", "n_chars")
-
-
 @query(rf"""WITH RECURSIVE w AS (SELECT page_id, list_distinct({_WORDS.format("regexp_extract(html, '<title>(.*?)</title>', 1)", 4)}) AS w FROM pages), e AS (SELECT page_id, unnest(w) AS x, len(w) AS n FROM w), p AS (
   SELECT a.page_id AS a, b.page_id AS b FROM e a JOIN e b ON a.x = b.x AND a.page_id <> b.page_id GROUP BY 1, 2 HAVING count(*) >= 0.35 * (any_value(a.n) + any_value(b.n) - count(*))
 ), r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a), c AS (
@@ -188,20 +182,6 @@ def mutual_knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.mutual_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 3, 0.3).withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def louvain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(graph.mutual_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 3, 0.3))
-
-
-@query(rf"""WITH e AS (SELECT DISTINCT d.doc_id, w, CAST(quality AS DOUBLE) AS q FROM (SELECT doc_id, unnest({_WORDS.format('text', 6)}) AS w FROM documents) d JOIN labels USING (doc_id)), k AS (SELECT w FROM e GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT e.* FROM e JOIN k USING (w)), p AS (
-  SELECT x.w AS a, y.w AS b, count(*) AS n, avg(x.q) AS m FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w < y.w GROUP BY 1, 2)
-SELECT a, b, n, round(m, 6) AS quality, round(n * m, 6) AS weight FROM p ORDER BY round(n * m, 6) DESC, a, b LIMIT 500""")
-def topic_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.explode(text.ascii_words(F.col("text"), 6)).alias("topic"))
-    rated = docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("q")), "doc_id")
-    return analytics.cooccurrence(rated, "doc_id", "topic", "q", 5, 500)
-
-
 @query(rf"""WITH e AS (SELECT lang, doc_id, unnest(list_distinct({_WORDS.format('text', 3)})) AS term FROM documents), tf AS (SELECT lang, term, count(*) AS tf FROM e GROUP BY 1, 2), z AS (SELECT lang, count(*) AS size FROM documents GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (
   SELECT lang, term, tf, df, round(tf * ln(1 + (SELECT count(*) FROM z) / df), 6) AS score FROM tf JOIN z USING (lang) JOIN df USING (term) WHERE tf >= 2 AND tf >= 0.3 * size)
 SELECT lang, term, tf, df, score, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
