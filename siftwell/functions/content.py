@@ -116,6 +116,67 @@ def depth(body: Column) -> Column:
     return F.when(F.coalesce(body, F.lit("")) == "", 0.3).otherwise(_clamp(0.3 + length + _if(any_of(body, CODE), 0.15) + _if(any_of(body, STRUCTURE), 0.1), 0.0, 1.0))
 
 
+#: Addresses of much and of little weight.
+TRUSTED = ("github.com", "blog.rust-lang.org", "doc.rust-lang.org", "docs.rs", "arxiv.org", "research.google", "engineering.fb.com", "netflixtechblog.com", "blog.cloudflare.com", "webkit.org", "v8.dev", "chromium.org", "developer.mozilla.org", "web.dev")
+GATHERED = ("medium.com", "dev.to", "hackernoon.com", "freecodecamp.org", "towardsdatascience.com", "geeksforgeeks.org", "w3schools.com")
+#: Words that say nothing of a title.
+EMPTY_WORDS = tuple(
+    """the and for with how that this your from about into will have when what does more than just like also been were them they some each
+    which their then there would could should being over most very only other using used here after before between where while because
+    through during without again further once still can not but its are was has had all any who why our out off own too now new way""".split()
+)
+
+
+def weight_of_address(url: Column) -> Column:
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return F.when(any_of(low, TRUSTED), 1.15).when(any_of(low, GATHERED), 0.85).otherwise(1.0)
+
+
+def _telling(text: Column) -> Column:
+    """The words of four bytes or more that say something."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) >= 4) & ~w.isin(*EMPTY_WORDS))
+
+
+def repeated_words(title: Column) -> Column:
+    """0, or what a title loses that says a word three times, or more often."""
+    most = F.array_max(F.transform(_telling(title), lambda w: F.regexp_count(F.concat(F.lit(" "), F.array_join(_telling(title), "  "), F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" ")))))
+    return F.when(most >= 4, -0.20).when(most == 3, -0.10).otherwise(0.0)
+
+
+def unlike_body(title: Column, body: Column) -> Column:
+    """0, or what an item loses whose body has few of its title's words; short titles and empty bodies lose nothing."""
+    t, b = F.array_distinct(_telling(title)), F.array_distinct(_telling(body))
+    share = F.size(F.array_intersect(t, b)) / F.size(t)
+    return F.when((F.size(t) < 3) | (F.size(b) == 0), 0.0).when(share < 0.30, -0.20).when(share < 0.50, -0.10).otherwise(0.0)
+
+
+def few_words(title: Column) -> Column:
+    """0, or what a title loses of which more than half the words repeat others."""
+    w = F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.when(F.size(w) == 0, 0.0).when(F.size(F.array_distinct(w)) / F.size(w) < 0.50, -0.15).otherwise(0.0)
+
+
+def part_of_series(title: Column) -> Column:
+    """0, or what a title loses that counts parts of a series (1/12, Day 3:, a thread)."""
+    start = F.ltrim(title)
+    low = F.lower(start)
+    counted = F.rlike(start, F.lit("^[0-9]{1,3}/")) | F.rlike(low, F.lit(r"^(day|week|part|episode|chapter|lesson)\s*[0-9]+\s*[·:\-—–|/]"))
+    thread = F.contains(start, F.lit("\U0001f9f5")) | F.contains(low, F.lit("a thread")) | F.contains(low, F.lit("(thread)"))
+    return F.when(counted | thread, -0.25).otherwise(0.0)
+
+
+def quality_factor(title: Column, body: Column, url: Column) -> Column:
+    """0.5 to 1.2: what an item's form does to its score.
+
+    Title, depth of the body and address make up the whole; facts in the title shift it a little; repeated words, a body that
+    does not keep what the title says, few different words and parts of a series take from it. Nulls are empty.
+    """
+    title, body = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    raw = title_quality(title) * 0.5 + depth(body) * 0.3 + weight_of_address(url) * 0.2
+    losses = repeated_words(title) + unlike_body(title, body) + few_words(title) + part_of_series(title)
+    return _clamp(raw * 0.7 + 0.5 + (density_of_facts(title) - 0.5) * 0.10 + losses, 0.5, 1.2)
+
+
 def intro_confidence(title: Column, body: Column) -> Column:
     """0 to 1: how sure an item is an introduction, by the strongest kind of phrase in its title and by two in its body."""
     low, out = F.lower(title), F.lit(0.0)

@@ -214,14 +214,13 @@ def agent_usefulness(spark: SparkSession, d: str) -> DataFrame:
     return feedback.usefulness(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase", F.col("event_type") == "click")
 
 
-@query("""WITH e AS (SELECT user_id, event_type, ts > (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS missed, CASE WHEN event_type = 'click' THEN ts END AS clicked FROM events WHERE event_id % 5 <> 0),
+@query("""WITH e AS (SELECT user_id, event_type, ts > (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS missed, CASE WHEN event_type = 'click' THEN ts END AS clicked FROM events),
 g AS (SELECT user_id, coalesce(floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(clicked))) / 86400000000.0), 999) AS days, coalesce(bool_or(missed AND event_type = 'error'), false) AS sec, coalesce(bool_or(missed AND event_type = 'purchase'), false) AS brk,
   sum(CASE WHEN missed THEN CASE event_type WHEN 'error' THEN 3.0 WHEN 'purchase' THEN 2.5 WHEN 'signup' THEN 1.5 ELSE 0.5 END ELSE 0e0 END) AS w FROM e GROUP BY 1), f AS (SELECT *, w * CASE WHEN days >= 999 THEN 1.5 WHEN days > 30 THEN 1.2 ELSE 1.0 END AS score FROM g)
 SELECT user_id, round(score, 6) AS score, CASE WHEN sec THEN 'critical' WHEN brk OR score >= 5 THEN 'high' WHEN score >= 2 OR days > 14 THEN 'medium' ELSE 'low' END AS severity FROM f""")
 def gap_severity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 5 <> 0")
     kind, now = F.col("event_type"), newest(spark, d)
-    return feedback.gaps(e, "user_id", F.col("ts") > now - F.expr("INTERVAL 3 DAYS"), F.when(kind == "error", "security").when(kind == "purchase", "breaking").when(kind == "signup", "version").otherwise("other"), F.when(kind == "click", F.col("ts")), now)
+    return feedback.gaps(table(spark, d, "events"), "user_id", F.col("ts") > now - F.expr("INTERVAL 3 DAYS"), F.when(kind == "error", "security").when(kind == "purchase", "breaking").when(kind == "signup", "version").otherwise("other"), F.when(kind == "click", F.col("ts")), now)
 
 
 @query("""SELECT bin, round(bin * 0.2 + 0.1, 6) AS center, count(*) AS n, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT CAST(least(floor(least(greatest(value / 100, 0), 1) / 0.2), 4) AS INT) AS bin, event_type = 'purchase' AS y FROM events WHERE value IS NOT NULL) GROUP BY 1""")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import content, feeds, links, search, selections, streams, texts
+from siftwell.plans import content, feeds, links, quality, search, selections, streams, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (content, feeds, links, search, selections, streams, texts)
+MODULES = (content, feeds, links, quality, search, selections, streams, texts)
 
 
 def queries() -> dict[str, Query]:

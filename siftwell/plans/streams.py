@@ -46,7 +46,7 @@ def run(spark: SparkSession, d: str, job, mode: str = "append") -> DataFrame:
         return jobs.run_available(job(source), f"{work}/out", f"{work}/state", mode)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t, event_type = 'purchase' AS acts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error', event_id) AS i FROM events WHERE event_type IN ('error', 'purchase')),
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type = 'purchase' AS acts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'error', event_id) AS i FROM events WHERE event_type IN ('error', 'purchase')),
 w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS opened, 0::BIGINT AS merged, NULL::VARCHAR AS status, NULL::BIGINT AS opened_ms, NULL::BIGINT AS ended_ms, NULL::BIGINT AS n FROM e
   UNION ALL SELECT user_id, e.i, CASE WHEN acts THEN NULL WHEN opened IS NULL OR t >= opened + 172800000 THEN t ELSE opened END, CASE WHEN acts OR opened IS NULL OR t >= opened + 172800000 THEN 0 ELSE merged + 1 END,
     CASE WHEN t >= opened + 172800000 THEN 'expired' WHEN acts AND opened IS NOT NULL THEN 'acted' END, opened, CASE WHEN t >= opened + 172800000 THEN opened + 172800000 ELSE t END, merged FROM w JOIN e USING (user_id) WHERE e.i = w.i + 1),
