@@ -18,7 +18,7 @@ def exact(items: DataFrame, identity: Column, score: str, key: str) -> DataFrame
     return named.withColumn("_r", rank).where("_r = 1 or _i is null or _i = ''").drop("_i", "_r")
 
 
-#: The most frequent words, which come last in the order of words, so that rows hardly meet on them.
+#: The most frequent words, whose numbers are broadcast so that no task gets all rows of one.
 FREQUENT = 4096
 
 
@@ -27,7 +27,7 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
     members (set, id) of each set, which is named by its least id.
 
     Equal sets are one set, so that copies do not multiply. Sets that are similar share one of the first
-    n - ceil(t n) + 1 words of each in any order of words; frequent ones come last. Rows meet on such a word and a band of
+    n - ceil(t n) + 1 words of each in any order of words; here the rarest come first. Rows meet on such a word and a band of
     sizes, which splits the rows of a frequent word, and only where the words that follow can still suffice. Words are told
     apart by 64 bits of hash. Rows without words have no part in it.
     """
@@ -35,12 +35,16 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
     same = staged(hashed.groupBy(F.xxhash64("w").alias("h"), F.size("w").alias("n"), F.hash("w").alias("g")).agg(F.min(F.struct("id", "w")).alias("s"), F.collect_list("id").alias("ids")), "word-sets")
     members = same.select(F.col("s.id").alias("set"), F.explode("ids").alias("id"))
     sets = same.select(F.col("s.id").alias("id"), "n", F.col("s.w").alias("w"))
-    often = [r.word for r in sets.select(F.explode("w").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(FREQUENT).collect()]
-    frequent = lambda w: w.isin(often) if often else F.lit(False)
-    ordered = F.concat(F.filter("w", lambda w: ~frequent(w)), F.filter("w", frequent))
-    prefix = F.slice(ordered, F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    counts = staged(sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "word-counts")
+    often = counts.orderBy(F.desc("df"), "word").limit(FREQUENT).withColumnRenamed("df", "many")
+    marked = sets.select("id", "n", F.explode("w").alias("word")).join(F.broadcast(often), "word", "left")
+    numbered = marked.where("many is not null").select("id", "n", F.col("many").alias("df"), "word")
+    numbered = numbered.union(marked.where("many is null").select("id", "n", "word").join(counts, "word").select("id", "n", "df", "word"))
+    ordered = numbered.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
     band = lambda n: F.floor(F.ln(n) / -float(np.log(threshold)) + 1e-9).cast("int")
-    each = sets.select("id", "n", band("n").alias("band"), F.posexplode(prefix).alias("pos", "word"))
+    each = ordered.select("id", "n", band("n").alias("band"), F.posexplode(prefix).alias("pos", "word")).where("word.df > 1")
+    each = staged(each.select("id", "n", "band", "pos", "word.word"), "word-prefixes")
     left = each.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).toDF("a", "na", "band", "pa", "word")
     right = each.toDF("b", "nb", "band", "pb", "word")
     # of two sets of one band the smaller id is on the left; of two bands, the smaller band
