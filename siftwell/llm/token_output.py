@@ -36,6 +36,8 @@ KEPT_WORDS = 500_000
 CHUNK_BYTES = 1 << 22
 #: Bits of the table by which selected pairs are found.
 PAIR_BITS = 18
+#: Pairs up to which they are sorted and searched instead.
+FEW = 20_000
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_ids long, docs array<struct<doc_id:long,n_ids:long,n_symbols:long>>, base int, rules binary, lengths binary, symbols binary"
 
 
@@ -114,23 +116,29 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
 def _frequent(pairs: np.ndarray, uses: int) -> np.ndarray:
     """The different pairs that occur `uses` times or more, the most frequent first. Only pairs in slots with so many pairs
     are sorted."""
-    slots = _slot(pairs)
-    pairs = pairs[np.bincount(slots, minlength=1 << PAIR_BITS)[slots] >= uses]
+    if len(pairs) > FEW:
+        slots = _slot(pairs)
+        pairs = pairs[np.bincount(slots, minlength=1 << PAIR_BITS)[slots] >= uses]
     values, counts = np.unique(pairs, return_counts=True)
     often = np.flatnonzero(counts >= uses)
     return values[often[np.lexsort((values[often], -counts[often]))]]
 
 
-def _hits(pairs: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hits(pairs: np.ndarray, places: np.ndarray, after: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the places with their pairs those at which chosen pairs are replaced, none overlapping another, and which of them
     each is. Of pairs that share a slot of the table the first is taken; the others come in a later round."""
-    table = np.full(1 << PAIR_BITS, -1, np.int32)
-    table[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
-    rule = table[_slot(pairs)]
-    hit = np.flatnonzero(rule >= 0)
-    hit = hit[chosen[rule[hit]] == pairs[hit]]
+    if len(pairs) > FEW:
+        table = np.full(1 << PAIR_BITS, -1, np.int32)
+        table[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
+        rule = table[_slot(pairs)]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[chosen[rule[hit]] == pairs[hit]]
+    else:
+        order = np.argsort(chosen)
+        rule = order[np.searchsorted(chosen[order], pairs).clip(max=len(chosen) - 1)]
+        hit = np.flatnonzero(chosen[rule] == pairs)
     at = places[hit]
-    run = np.concatenate([[True], np.diff(at) != 1])  # in a run of overlapping hits every second one is replaced
+    run = np.concatenate([[True], after[at[:-1]] != at[1:]])  # in a run of overlapping hits every second one is replaced
     first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
     even = (np.arange(len(at)) - first) % 2 == 0
     return at[even], rule[hit[even]]
@@ -139,25 +147,29 @@ def _hits(pairs: np.ndarray, places: np.ndarray, chosen: np.ndarray) -> tuple[np
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules, expansion lengths and the documents' ends in symbols. ends: the documents' ends in ids.
 
-    Rounds go on until no pair can be replaced `uses` times. A round counts the pairs with a symbol of the round before, as
-    others were counted before; when those give no rule, all pairs are counted once more. When the pairs of a round stand in
-    each other's way, the better half of them goes first.
+    Rounds go on until no pair can be replaced `uses` times. Symbols stay where they are, linked to the next and the one
+    before, so that a round looks only at the pairs around the symbols of the round before; others were counted before. When
+    those give no rule, all pairs are counted once more. When the pairs of a round stand in each other's way, the better
+    half of them goes first.
     """
-    symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
+    n = len(ids)
+    symbols, last, there = ids.astype(np.uint32), np.zeros(n, bool), np.ones(n, bool)
     last[ends[ends > 0] - 1] = True
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
     made, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
     known, fresh = np.ones(base, np.uint32), None
-    while len(symbols) >= 2 * uses:
-        places = ~last[:-1]
-        if fresh is not None:
-            newest = symbols >= fresh
-            places &= newest[:-1] | newest[1:]
-        places = np.flatnonzero(places)
-        pairs = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+    while True:
+        if fresh is None:
+            places = np.flatnonzero(there & ~last)
+        else:
+            places = np.concatenate([fresh, before[fresh]])
+            places = np.sort(places[places >= 0], kind="stable")
+            places = places[np.concatenate([[True], places[1:] != places[:-1]]) & ~last[places]] if len(places) else places
+        pairs = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[after[places]]
         chosen = _frequent(pairs, uses)
         at = np.zeros(0, np.int64)
         while len(chosen):
-            at, rule = _hits(pairs, places, chosen)
+            at, rule = _hits(pairs, places, after, chosen)
             used = np.bincount(rule, minlength=len(chosen))
             at, rule = at[used[rule] >= uses], rule[used[rule] >= uses]
             if len(at):
@@ -169,32 +181,56 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) ->
             fresh = None
             continue
         taken = chosen[used >= uses]
-        fresh = len(known)
-        number = np.cumsum(used >= uses) - 1 + fresh
+        number = np.cumsum(used >= uses) - 1 + len(known)
         made.append(np.stack([taken >> np.uint64(32), taken & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         lengths.append(known[made[-1]].sum(axis=1, dtype=np.uint32))
         known = np.concatenate([known, lengths[-1]])
-        symbols[at] = number[rule]
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        gone = after[at]
+        symbols[at], last[at], there[gone] = number[rule], last[gone], False
+        after[at] = after[gone]
+        before[after[at]] = at
+        fresh = at
+    symbols, last = symbols[there], last[there]
     out = np.zeros(len(ends), np.int64)
     out[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
     return symbols, np.concatenate(made), np.concatenate(lengths), np.maximum.accumulate(out) if len(out) else out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for. The rules are written out once, those of lesser depth first, and then copied."""
+    depth = np.zeros(base + len(rules), np.int32)
     while True:
-        rule = symbols >= base
-        if not rule.any():
-            return symbols
-        at = np.cumsum(1 + rule) - (1 + rule)
-        out = np.empty(len(symbols) + int(rule.sum()), np.uint32)
-        left, right = rules[symbols[rule] - base].T
-        out[at[~rule]], out[at[rule]], out[at[rule] + 1] = symbols[~rule], left, right
-        symbols = out
+        new = 1 + depth[rules].max(axis=1, initial=0)
+        if (new == depth[base:]).all():
+            break
+        depth[base:] = new
+    size = np.ones(base + len(rules), np.int64)
+    start = np.zeros(base + len(rules), np.int64)
+    by_depth = np.argsort(depth[base:], kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[base:][by_depth])) + 1) if len(rules) else []
+    for level in levels:
+        size[base + level] = size[rules[level]].sum(axis=1)
+    start[base + by_depth] = np.cumsum(size[base + by_depth]) - size[base + by_depth]
+    text = np.empty(int(size[base:].sum()), np.uint32)
+
+    def copied(of: np.ndarray, out: np.ndarray, to: np.ndarray) -> None:
+        """Write the symbols `of` to `out`, each from its place in `to` on."""
+        plain = of < base
+        out[to[plain]] = of[plain]
+        of, to = of[~plain], to[~plain]
+        n = size[of]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = text[np.repeat(start[of], n) + step]
+
+    for level in levels:
+        left, right = rules[level].T
+        to = start[base + level]
+        copied(left, text, to)
+        copied(right, text, to + size[left])
+    sizes = size[symbols]
+    out = np.empty(int(sizes.sum()), np.uint32)
+    copied(symbols, out, np.cumsum(sizes) - sizes)
+    return out
 
 
 def ids_between(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
