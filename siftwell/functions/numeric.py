@@ -63,15 +63,18 @@ def hotness(mentions: Column, sources: Column, age_hours: Column, hits: Column)
 
 
 def version(text: Column) -> Column:
-    """(major, minor, patch, release) of a version text; release sorts a pre-release before its release."""
+    """(major, minor, patch, release) of a version text; release sorts a pre-release before its release. Null for what does
+    not begin as a version."""
     pattern = r"^[vV=]?([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(-[0-9A-Za-z.-]+)?"
     part = lambda n: F.coalesce(F.regexp_extract(text, pattern, n).try_cast("long"), F.lit(0).cast("long"))
     tag = F.regexp_extract(text, pattern, 4)
-    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.when(tag == "", F.lit("~")).otherwise(tag).alias("release"))
+    parts = F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), F.when(tag == "", F.lit("~")).otherwise(tag).alias("release"))
+    return F.when(F.rlike(text, F.lit(pattern)), parts)
 
 
 def in_range(v: Column, introduced: Column, fixed: Column, last: Column) -> Column:
-    """introduced <= v < fixed, or v <= last where nothing is fixed; unknown bounds do not exclude."""
+    """introduced <= v < fixed, or v <= last where nothing is fixed; unknown bounds do not exclude. Null where a text that is
+    there cannot be read as a version and nothing else excludes it."""
     return (introduced.isNull() | (version(introduced) <= version(v))) & F.when(fixed.isNotNull(), version(v) < version(fixed)).when(last.isNotNull(), version(v) <= version(last)).otherwise(True)
 
 

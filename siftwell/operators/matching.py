@@ -11,15 +11,16 @@ from siftwell.functions.numeric import in_range, micros, version
 def matched_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies (name, ecosystem, version) affected by advisories (advisory_id, package, ecosystem, introduced, fixed, last).
 
-    Names meet by equality of their lower-case forms with dashes as underscores; a dependency without a version counts as
-    affected, but not as confirmed.
+    Names meet by equality of their lower-case forms with dashes as underscores; a dependency without a version, or with one
+    that cannot be read, counts as affected, but not as confirmed.
     """
     norm = lambda c: F.lower(F.translate(c, "-", "_"))
     left = dependencies.withColumn("_n", norm(F.col("name")))
     right = advisories.withColumn("_n", norm(F.col("package"))).withColumnRenamed("ecosystem", "_e")
     met = left.join(right, (left["_n"] == right["_n"]) & (F.col("ecosystem") == F.col("_e")))
-    hit = F.col("version").isNull() | in_range(F.col("version"), F.col("introduced"), F.col("fixed"), F.col("last"))
-    return met.where(hit).select("name", "ecosystem", "version", "advisory_id", "fixed", F.col("version").isNotNull().alias("confirmed"))
+    hit = in_range(F.col("version"), F.col("introduced"), F.col("fixed"), F.col("last"))
+    told = version(F.col("version")).isNotNull() & hit.isNotNull()
+    return met.where(F.coalesce(hit, F.lit(True))).select("name", "ecosystem", "version", "advisory_id", "fixed", told.alias("confirmed"))
 
 
 def upgrade_plan(matches: DataFrame) -> DataFrame:
@@ -37,13 +38,13 @@ def named_in(names: DataFrame, name: str, texts: DataFrame, text_words: str) ->
     return texts.withColumn("_w", F.explode(F.array_distinct(text_words))).join(names.withColumn("_w", F.lower(name)), "_w").drop("_w")
 
 
-def paired_within(first: DataFrame, second: DataFrame, key: str, ts: str, hours: int) -> DataFrame:
+def paired_within(first: DataFrame, second: DataFrame, key: str, ts: str, hours: int, id_col: str = "event_id") -> DataFrame:
     """Interval join: each row of `first` with the rows of `second` of its key within the hours after it.
 
     Rows meet by key and stretch of time as long as the interval, so that a frequent key is spread over its stretches.
     """
     stretch = F.floor(micros(F.col(ts)) / (hours * 3_600_000_000))
-    right = second.select(F.col(key).alias("_k"), F.col(ts).alias("later_ts"), F.col("event_id").alias("later_id"), stretch.alias("_s"))
+    right = second.select(F.col(key).alias("_k"), F.col(ts).alias("later_ts"), F.col(id_col).alias("later_id"), stretch.alias("_s"))
     left = first.withColumn("_of", F.explode(F.array(stretch, stretch + 1)))
     limit = F.col(ts) + F.expr(f"INTERVAL {hours} HOURS")
     return left.join(right, (F.col(key) == F.col("_k")) & (F.col("_of") == F.col("_s")) & F.col("later_ts").between(F.col(ts), limit)).drop("_k", "_s", "_of")

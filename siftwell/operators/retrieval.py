@@ -153,14 +153,35 @@ def parse(text: str) -> Query:
     return Query(intent, tuple(w for w in re.findall(r"[a-z0-9]+", low) if w not in drop), days)
 
 
-def answer(query: Query, docs: DataFrame, id_col: str, text_col: str, limit: int, ts_col: str | None = None) -> DataFrame:
-    """The plan of a parsed question over documents."""
-    hits = docs.where(" or ".join(f"contains(lower({text_col}), '{w}')" for w in query.keywords) or "true")
+def answer(query: Query, docs: DataFrame, id_col: str, text_col: str, limit: int, ts_col: str | None = None, now: Column | None = None) -> DataFrame:
+    """The plan of a parsed question over documents.
+
+    count: the number of documents with one of the keywords. timeline: the newest of them. compare: for each keyword its
+    documents, their mean relevance and, with times, the newest. summarize: the documents by day, newest first (by keyword
+    without times). find, and else: the most relevant. The question's days count back from `now`, both ends included, where
+    the documents have times. A question without keywords finds nothing but can be counted and put on a timeline. Ties go to
+    the smaller id.
+    """
+    rows = docs
+    if query.days and ts_col and now is not None:
+        rows = rows.where(F.col(ts_col).between(now - F.make_interval(days=F.lit(query.days)), now))
+    has = [F.contains(F.lower(F.col(text_col)), F.lit(w)) for w in query.keywords]
+    any_word = has[0] if has else F.lit(query.intent in ("count", "timeline"))
+    for h in has[1:]:
+        any_word = any_word | h
+    hits = rows.where(any_word)
     if query.intent == "count":
         return hits.agg(F.count("*").alias("n"))
     scored = hits.withColumn("relevance", F.round(keyword_relevance(F.col(text_col), list(query.keywords)), 9))
     if query.intent == "timeline" and ts_col:
         return scored.orderBy(F.desc(ts_col), id_col).limit(limit).select(id_col, ts_col, "relevance")
+    if query.intent == "compare" or (query.intent == "summarize" and not ts_col):
+        each = scored.withColumn("keyword", F.explode(F.array_compact(F.array(*[F.when(h, w) for h, w in zip(has, query.keywords, strict=True)]))) if has else F.lit(None).cast("string"))
+        newest = [F.max(ts_col).alias("newest")] if ts_col else []
+        return each.groupBy("keyword").agg(F.count("*").alias("n"), F.round(F.avg("relevance"), 6).alias("relevance"), *newest)
+    if query.intent == "summarize":
+        daily = scored.groupBy(F.to_date(ts_col).alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("relevance"), 6).alias("relevance"), F.min_by(id_col, F.struct((-F.col("relevance")).alias("r"), id_col)).alias("best"))
+        return daily.orderBy(F.desc("day")).limit(limit)
     return scored.orderBy(F.desc("relevance"), id_col).limit(limit).select(id_col, "relevance")
 
 

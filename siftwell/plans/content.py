@@ -97,10 +97,11 @@ _SOURCES, _ALIASES = ("cve", "arxiv", "github", "rss", "devto", "elsewhere"), ("
 
 
 @query(f"""SELECT doc_id, CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 ELSE 5e-1 END AS authority,
-  ['npm', 'crates.io', 'PyPI', 'Go', 'Maven', 'NuGet', 'Packagist', 'RubyGems', 'Pub', 'swift'][doc_id % {len(_ALIASES)} + 1] AS ecosystem FROM (SELECT doc_id, doc_id % {len(_SOURCES)} AS i FROM documents)""")
+  ['npm', 'crates.io', 'PyPI', 'Go', 'Maven', 'NuGet', 'Packagist', 'RubyGems', 'Pub', 'swift'][n_chars % {len(_ALIASES)} + 1] AS ecosystem FROM (SELECT doc_id, n_chars, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % {len(_SOURCES)} AS i FROM documents)""")
 def authority_and_ecosystem(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", content.authority(pick(_SOURCES)).alias("authority"), content.ecosystem(pick(_ALIASES)).alias("ecosystem"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    source = pick(_SOURCES, F.regexp_extract("source", "[0-9]+", 0).cast("int"))
+    return table(spark, d, "documents").select("doc_id", content.authority(source).alias("authority"), content.ecosystem(pick(_ALIASES, F.col("n_chars"))).alias("ecosystem"))
 
 
 #: Requirements, and the versions from and below which they hold, as major * 10^6 + minor * 10^3 + patch.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import numeric, text
 from siftwell.operators import analytics, dedup, graph, matching, ranking, retrieval, scoring
-from siftwell.plans.common import stamp, table
+from siftwell.plans.common import newest, stamp, table
 from siftwell.streaming import jobs
 
 QUERIES: dict = {}
@@ -105,12 +105,24 @@ def term_density(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", n.cast("long").alias("words"), F.round(text.density(text.count_word(F.col("text"), "the"), n), 6).alias("density"))
 
 
-_VECTORS = ["CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", "CVSS:3.1/AV:L/AC:H/PR:L/UI:N/S:U/C:H/I:N/A:N", "CVSS:3.1/AV:N/AC:L/PR:L/UI:N/S:C/C:H/I:H/A:H", "CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N"]
+#: Metrics of a vector by numbers of a part, and their weights in the twin, which works the score out by itself.
+_METRICS = {"AV": ("NALP", "p_size % 4", (0.85, 0.62, 0.55, 0.2)), "AC": ("LH", "length(p_name) % 2", (0.77, 0.44)), "UI": ("NR", "length(p_brand) % 2", (0.85, 0.62)), "C": ("HLN", "p_size % 3", (0.56, 0.22, 0.0)), "I": ("HLN", "length(p_type) % 3", (0.56, 0.22, 0.0)), "A": ("HLN", "(p_size // 7) % 3", (0.56, 0.22, 0.0))}
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({v!r}, CAST({s} AS DOUBLE))' for v, s in zip(_VECTORS, (9.8, 6.1, 4.7, 9.9, 0.0), strict=True))}) AS t(vector, score)")
+def _weight_sql(name: str) -> str:
+    letters, number, weights = _METRICS[name]
+    return f"([{', '.join(map(str, weights))}]::DOUBLE[])[{number} + 1] AS {name.lower()}"
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {", ".join(map(_weight_sql, _METRICS))}, length(p_name) % 3 = 0 AS changed, CASE p_size % 5 % 3 WHEN 0 THEN 0.85 WHEN 1 THEN CASE WHEN length(p_name) % 3 = 0 THEN 0.68 ELSE 0.62 END ELSE CASE WHEN length(p_name) % 3 = 0 THEN 0.5 ELSE 0.27 END END AS pr FROM part),
+i AS (SELECT *, 1 - (1 - c) * (1 - i) * (1 - a) AS iss FROM m), s AS (SELECT p_partkey, changed, CASE WHEN changed THEN 7.52 * (iss - 0.029) - 3.25 * pow(greatest(iss - 0.02, 0), 15) ELSE 6.42 * iss END AS impact, 8.22 * av * ac * pr * ui AS exploit FROM i),
+r AS (SELECT p_partkey, impact, CAST(round(least(CASE WHEN changed THEN 1.08 ELSE 1 END * (impact + exploit), 10) * 100000) AS BIGINT) AS n FROM s)
+SELECT p_partkey, round(CASE WHEN impact <= 0 THEN 0 WHEN n % 10000 = 0 THEN n / 100000 ELSE (n // 10000 + 1) / 10 END, 6)::DOUBLE AS score FROM r""")
 def cvss_score(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in _VECTORS], "vector string").select("vector", numeric.cvss_base(F.col("vector")).alias("score"))
+    pick = lambda letters, number: F.substr(F.lit(letters), F.expr(number.replace("//", "div")).cast("int") + 1, F.lit(1))
+    told = {name: pick(letters, number) for name, (letters, number, _) in _METRICS.items()} | {"S": F.when(F.length("p_name") % 3 == 0, "C").otherwise("U"), "PR": pick("NLH", "p_size % 5 % 3")}
+    vector = F.concat(F.lit("CVSS:3.1"), *[F.concat(F.lit(f"/{name}:"), letter) for name, letter in told.items()])
+    return table(spark, d, "part").select("p_partkey", F.round(numeric.cvss_base(vector), 6).alias("score"))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, {_WORDS.format('text', 1)} AS w FROM documents), t AS (SELECT unnest(['the', 'with', 'tion']) AS t), s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM w), c AS (
@@ -166,6 +178,18 @@ def nl_query_find(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.answer(retrieval.parse("find documents about than and shth"), table(spark, d, "documents"), "doc_id", "text", 15).withColumn("relevance", F.round("relevance", 6))
 
 
+@query("""WITH d AS (SELECT lower(text) AS t FROM documents), k AS (SELECT t, unnest(list_filter(['than', 'shth'], lambda w: contains(t, w))) AS keyword FROM d), s AS (SELECT keyword, round(0.6 * (contains(t, 'than')::INT + contains(t, 'shth')::INT) / 2 + 0.4 * least((contains(t, 'than')::INT * 2 + contains(t, 'shth')::INT * 2) / 6, 1.0), 9) AS r FROM k)
+SELECT keyword, count(*) AS n, round(avg(r), 6) AS relevance FROM s GROUP BY 1""")
+def nl_query_compare(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.answer(retrieval.parse("compare than versus shth"), table(spark, d, "documents"), "doc_id", "text", 10)
+
+
+@query("""WITH e AS (SELECT event_id, ts, 0.6 + 0.4 * least(sqrt(8) / 3, 1.0) AS r FROM events WHERE contains(lower(event_type), 'purchase') AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY)
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(r), 6) AS relevance, min(event_id) AS best FROM e GROUP BY 1""")
+def nl_query_summarize(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.answer(retrieval.parse("summarize purchase of last week"), table(spark, d, "events"), "event_id", "event_type", 50, "ts", newest(spark, d))
+
+
 @query("SELECT event_id, epoch_us(ts) AS ts_us FROM events WHERE contains(lower(event_type), 'purchase') ORDER BY ts DESC, event_id LIMIT 15")
 def nl_query_timeline(spark: SparkSession, d: str) -> DataFrame:
     got = retrieval.answer(retrieval.parse("timeline of purchase"), table(spark, d, "events"), "event_id", "event_type", 15, "ts")
