@@ -202,13 +202,16 @@ def _scanned(k: int, same_label: bool):
                     limits.setdefault(s["which"], np.full((len(anchors), 2), np.nan))[at[s["anchor_id"]]] = s["least"], s["cap"]
                 for which, limit in limits.items():
                     asked = np.flatnonzero(~np.isnan(limit[:, 0]))
-                    score = np.where(may[asked] & (scores[asked] >= limit[asked, :1]) & (scores[asked] <= limit[asked, 1:]), scores[asked], -np.inf)
                     top_score, top_id = met.get((row["block"], which), (np.full((len(anchors), k), -np.inf), np.full((len(anchors), k), FAR)))
-                    last_score, last_id = top_score[asked, -1:], top_id[asked, -1:]
-                    keep = best(np.where((score > last_score) | ((score == last_score) & (ids[None, :] < last_id)), score, -np.inf), k)
-                    a, b = np.nonzero(keep)
-                    if not len(a):
+                    score, last_score = scores[asked], top_score[asked, -1:]
+                    better = may[asked] & (score >= np.maximum(limit[asked, :1], last_score)) & (score <= limit[asked, 1:])
+                    better &= (score > last_score) | (ids[None, :] < top_id[asked, -1:])
+                    some = np.flatnonzero(better.any(axis=1))
+                    if not len(some):
                         continue
+                    asked, score = asked[some], score[some]
+                    keep = best(np.where(better[some], score, -np.inf), k)
+                    a, b = np.nonzero(keep)
                     found.append((anchors[asked[a]], np.full(len(a), which), score[a, b], ids[b]))
                     for n in np.unique(a):  # the k best of this anchor so far
                         both = np.r_[top_score[asked[n]], score[n, keep[n]]], np.r_[top_id[asked[n]], ids[keep[n]]]
