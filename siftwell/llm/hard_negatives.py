@@ -202,21 +202,26 @@ def _scanned(k: int, same_label: bool):
                     limits.setdefault(s["which"], np.full((len(anchors), 2), np.nan))[at[s["anchor_id"]]] = s["least"], s["cap"]
                 for which, limit in limits.items():
                     asked = np.flatnonzero(~np.isnan(limit[:, 0]))
+                    of = slice(None) if len(asked) == len(anchors) else asked  # no copies where all ask
                     top_score, top_id = met.get((row["block"], which), (np.full((len(anchors), k), -np.inf), np.full((len(anchors), k), FAR)))
-                    score, last_score = scores[asked], top_score[asked, -1:]
-                    better = may[asked] & (score >= np.maximum(limit[asked, :1], last_score)) & (score <= limit[asked, 1:])
-                    better &= (score > last_score) | (ids[None, :] < top_id[asked, -1:])
+                    score, last_score = scores[of], top_score[of, -1:]
+                    better = (score >= np.maximum(limit[of, :1], last_score)) & may[of]
+                    better &= score <= limit[of, 1:]
                     some = np.flatnonzero(better.any(axis=1))
                     if not len(some):
                         continue
-                    asked, score = asked[some], score[some]
-                    keep = best(np.where(better[some], score, -np.inf), k)
+                    asked, score, better = asked[some], score[some], better[some]
+                    better &= (score > top_score[asked, -1:]) | (ids[None, :] < top_id[asked, -1:])
+                    keep = best(np.where(better, score, -np.inf), k)
                     a, b = np.nonzero(keep)
                     found.append((anchors[asked[a]], np.full(len(a), which), score[a, b], ids[b]))
-                    for n in np.unique(a):  # the k best of this anchor so far
-                        both = np.r_[top_score[asked[n]], score[n, keep[n]]], np.r_[top_id[asked[n]], ids[keep[n]]]
-                        order = np.lexsort((both[1], -both[0]))[:k]
-                        top_score[asked[n]], top_id[asked[n]] = both[0][order], both[1][order]
+                    # the k best of each anchor so far: those before and the new ones, side by side
+                    new_score, new_id = np.full((len(asked), k), -np.inf), np.full((len(asked), k), FAR)
+                    place = keep.cumsum(axis=1)[a, b] - 1
+                    new_score[a, place], new_id[a, place] = score[a, b], ids[b]
+                    both_score, both_id = np.hstack([top_score[asked], new_score]), np.hstack([top_id[asked], new_id])
+                    order = np.lexsort((both_id, -both_score), axis=-1)[:, :k]
+                    top_score[asked], top_id[asked] = np.take_along_axis(both_score, order, 1), np.take_along_axis(both_id, order, 1)
                     met[row["block"], which] = top_score, top_id
             parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays([pa.array(p.astype(t)) for p, t in zip(parts, (np.int64, np.int32, np.int64, np.int64), strict=True)], ["anchor_id", "which", "score", "vec_id"])
