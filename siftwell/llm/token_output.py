@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import columns, shared_dir
+from siftwell.llm.common import batches_of, columns, shared_dir
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 19
 #: Uses that a rule needs. Pairs are replaced until none is used so often.
 USES = 4
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
+#: Whole texts that a task is handed at once.
+BATCH_TEXTS = 512
 #: Bytes of texts that are looked up together, but for a text that has more.
 CHUNK_BYTES = 1 << 22
 #: Bits of the table by which selected pairs are found.
@@ -282,7 +284,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     rows = columns(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.parquet(path)
+    with batches_of(docs.sparkSession, BATCH_TEXTS):
+        ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
