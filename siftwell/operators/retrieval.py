@@ -82,6 +82,37 @@ def knn_of_class(rows: DataFrame, query: DataFrame, id_col: str, vector_col: str
     return knn(rows.where(F.coalesce(eligible, F.lit(False))), query, id_col, vector_col, k)
 
 
+def leaned(query: DataFrame, vector_col: str, interests: DataFrame, interest_col: str, weight: float, most: float = 0.5) -> DataFrame:
+    """A query vector (a frame of one row) leaned towards the mean of a person's vectors and made a unit vector: (vector).
+
+    The weight counts from 0 to `most`. Null and zero vectors and those of another width have no part; without any, or
+    without weight, the query stays as it is. The mean is taken by component, so vectors meet as sums.
+    """
+    w = min(max(weight, 0.0), most)
+    one = query.select(F.col(vector_col).cast("array<double>").alias("vector")).limit(1)
+    usable = interests.select(F.col(interest_col).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
+    same = usable.join(F.broadcast(one.select(F.size("vector").alias("width"))), F.size("v") == F.col("width")).select("v")  # one row
+    sums = same.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"))  # a row a component
+    mean = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("mean"))
+    mixed = F.zip_with("vector", "mean", lambda q, c: (1 - w) * q + w * c)
+    norm = F.sqrt(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.when(norm > 0, F.transform(mixed, lambda x: x / norm)).otherwise(mixed)
+    return one.join(F.broadcast(mean)).select(F.when((F.size("mean") > 0) & F.lit(w > 0), unit).otherwise(F.col("vector")).alias("vector"))
+
+
+def find(vector_hits: DataFrame, keyword_hits: DataFrame, path_col: str, id_col: str, limit: int) -> DataFrame:
+    """Hits of both kinds (id, path, relevance), the most relevant of each path: id, path, relevance, by.
+
+    Higher relevance comes first, then hits by vector before those by keyword, then the smaller id. Null paths are paths of
+    their own.
+    """
+    both = vector_hits.select(id_col, path_col, "relevance", F.lit("vector").alias("by")).union(keyword_hits.select(id_col, path_col, "relevance", F.lit("keyword").alias("by")))
+    order = [F.desc("relevance"), F.desc("by"), F.asc(id_col)]
+    own = F.coalesce(F.concat(F.lit("p"), F.col(path_col)), F.concat(F.lit("i"), F.col(id_col).cast("string")))
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy(own).orderBy(*order))).where("_r = 1").drop("_r")
+    return first.orderBy(*order).limit(limit)
+
+
 #: Words that a recall leaves out, and other names of words.
 RECALL_STOP_WORDS = frozenset("about after again against before between from into should that their there this with would".split())
 ALIASES = {

@@ -66,6 +66,27 @@ def knn_of_class(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.knn_of_class(v, v.where("vec_id = 7"), "vec_id", "embedding", F.col("label").isin(2, 5), 12).withColumn("distance", F.round("distance", 6))
 
 
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7), x AS (SELECT unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label = 3), c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v) AS m FROM x GROUP BY 1)),
+m AS (SELECT list_transform(list_zip(q, c), lambda z: 0.7 * z[1] + 0.3 * z[2]) AS m FROM q, c), l AS (SELECT list_transform(m, lambda y: y / sqrt(list_sum(list_transform(m, lambda z: z * z)))) AS l FROM m), k AS (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), l), 9) AS distance FROM embeddings, l)
+SELECT vec_id, round(distance, 6) AS distance, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM k QUALIFY rank <= 15""")
+def knn_leaned(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    towards = retrieval.leaned(v.where("vec_id = 7"), "embedding", v.where("label = 3"), "embedding", 0.3)
+    return retrieval.knn(v, towards.withColumnRenamed("vector", "embedding"), "vec_id", "embedding", 15).withColumn("distance", F.round("distance", 6))
+
+
+@query(r"""WITH p AS (SELECT doc_id AS id, source || '/' || lang AS path, lower(text) AS t FROM documents), v AS (SELECT vec_id AS id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 7) AS DOUBLE[])), 9) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 20),
+b AS (SELECT id, path, round(1 - least(distance / 2, 1), 6) AS relevance, 'vector' AS "by" FROM v JOIN p USING (id) UNION ALL SELECT id, path, round(0.6 * (contains(t, 'than')::INT + contains(t, 'shth')::INT) / 2 + 0.4 * least((contains(t, 'than')::INT * 2 + contains(t, 'shth')::INT * 2) / 6, 1.0), 6), 'keyword' FROM p WHERE contains(t, 'than') OR contains(t, 'shth'))
+SELECT id, path, relevance::DOUBLE AS relevance, "by" FROM b QUALIFY row_number() OVER (PARTITION BY path ORDER BY relevance DESC, "by" DESC, id) = 1 ORDER BY relevance DESC, "by" DESC, id LIMIT 30""")
+def find_by_path(spark: SparkSession, d: str) -> DataFrame:
+    docs, v = table(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", "lang")), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    near = retrieval.knn(v, v.where("doc_id = 7"), "doc_id", "embedding", 20).join(docs, "doc_id").select(F.col("doc_id").alias("id"), "path", F.round(1 - F.least(F.col("distance") / 2, F.lit(1.0)), 6).alias("relevance"))
+    words = ["than", "shth"]
+    held = docs.where(F.contains(F.lower("text"), F.lit(words[0])) | F.contains(F.lower("text"), F.lit(words[1])))
+    told = held.select(F.col("doc_id").alias("id"), "path", F.round(retrieval.keyword_relevance(F.col("text"), words), 6).alias("relevance"))
+    return retrieval.find(near, told, "path", "id", 30)
+
+
 @query("""WITH s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 7) AS DOUBLE[])) AS v FROM embeddings), k AS (SELECT v FROM s WHERE v > 0.01 ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 500),
 a AS (SELECT count(*) AS n, avg(v) AS mean, stddev_pop(v) AS deviation FROM k)
 SELECT n, round(mean, 6) AS mean, round(deviation, 6) AS deviation, round(CASE WHEN n >= 50 AND deviation >= 0.01 THEN greatest(0.2, least(mean, 0.7)) END, 6) AS center, round(CASE WHEN n >= 50 AND deviation >= 0.01 THEN greatest(5.0, least(2.5 / deviation, 30.0)) END, 6) AS scale FROM a""")

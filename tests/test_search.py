@@ -105,3 +105,22 @@ def test_retention(spark, tmp_path):
     again = retention.retained({name: spark.read.parquet(f) for name, f in folders.items()}, rules)
     assert {name: df.count() for name, df in again.items()} == {name: len(rows) for name, rows in kept.items()}
     assert retention.current(spark, root) == folders
+
+
+def test_leaned_query(spark):
+    q = spark.createDataFrame([([1.0, 0.0],)], "v array<double>")
+    mine = spark.createDataFrame([([0.0, 1.0],), ([0.0, 3.0],), ([0.0, 0.0],), ([1.0, 2.0, 3.0],), (None,)], "m array<double>")
+    got = retrieval.leaned(q, "v", mine, "m", 0.25).first().vector
+    norm = math.hypot(0.75, 0.5)
+    assert got == pytest.approx([0.75 / norm, 0.5 / norm])
+    assert retrieval.leaned(q, "v", mine, "m", 9.0).first().vector == pytest.approx([0.5 / math.hypot(0.5, 1.0), 1.0 / math.hypot(0.5, 1.0)])
+    assert retrieval.leaned(q, "v", mine, "m", 0.0).first().vector == [1.0, 0.0]
+    assert retrieval.leaned(q, "v", mine.where("false"), "m", 0.3).first().vector == [1.0, 0.0]
+
+
+def test_find_keeps_the_best_of_a_path(spark):
+    schema = "id long, path string, relevance double"
+    near = spark.createDataFrame([(1, "a", 0.9), (2, "b", 0.5), (3, None, 0.4)], schema)
+    told = spark.createDataFrame([(4, "a", 0.95), (5, "b", 0.5), (6, None, 0.4), (7, "c", 0.1)], schema)
+    got = [(r.id, r.by) for r in retrieval.find(near, told, "path", "id", 4).collect()]
+    assert got == [(4, "keyword"), (2, "vector"), (3, "vector"), (6, "keyword")]
