@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.numeric import hours
+from siftwell.functions.numeric import hours, micros
+from siftwell.operators.sequences import carried_back
 
 # What an action counts, by how it was done for a click.
 ACTIONS = {"save": 1.0, "share": 1.0, "dismiss": -0.8, "irrelevant": -1.0, "briefing_click": 0.7, "briefing_dismiss": -0.2}
@@ -78,11 +79,17 @@ def strength(action: Column, seconds: Column, pattern: Column, scrolled: Column)
     return F.when(action == "click", click).when(action == "complete", complete).otherwise(_chosen(action, ACTIONS, 0.0))
 
 
-def time_to_resolve(events: DataFrame, key: str, ts: str, tie: str, failed: Column) -> DataFrame:
-    """By key: failures after which something else came, and the mean hours until then."""
-    after = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.select(key, ts, tie, failed.alias("_failed")).withColumn("_done", F.min(F.when(~F.col("_failed"), F.col(ts))).over(after))
-    return rows.where("_failed and _done is not null").groupBy(key).agg(F.count("*").alias("resolved"), F.round(F.avg(hours(F.col("_done"), F.col(ts))), 6).alias("hours"))
+def time_to_resolve(events: DataFrame, key: str, ts: str, tie: str, failed: Column, stretch_hours: int = 24) -> DataFrame:
+    """By key: failures after which something else came, and the mean hours until then.
+
+    A key is cut into stretches of time; a failure with nothing else left in its stretch takes the first of those after it.
+    """
+    rows = events.select(key, ts, tie, failed.alias("_failed"), F.floor(micros(F.col(ts)) / (stretch_hours * 3_600_000_000)).alias("_stretch"))
+    rows = rows.withColumn("_other", F.when(~F.col("_failed"), F.col(ts)))
+    after = Window.partitionBy(key, "_stretch").orderBy(F.desc(ts), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1)
+    later = carried_back(rows.groupBy(key, "_stretch").agg(F.min("_other").alias("_least")), key, "_stretch", "_least", "_after")
+    done = rows.withColumn("_first", F.min("_other").over(after)).where("_failed").join(later, [key, "_stretch"], "left").withColumn("_done", F.coalesce("_first", "_after"))
+    return done.where("_done is not null").groupBy(key).agg(F.count("*").alias("resolved"), F.round(F.avg(hours(F.col("_done"), F.col(ts))), 6).alias("hours"))
 
 
 def usefulness(rows: DataFrame, key: str, used: Column, partly: Column) -> DataFrame:

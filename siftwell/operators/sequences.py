@@ -45,17 +45,28 @@ def chain_shape(events: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     return out.withColumn("confidence", regular).withColumn("phase", phase).drop("sd")
 
 
-def first_after(windows: DataFrame, incidents: DataFrame, key: str, opened: str, ts: str, id_col: str) -> DataFrame:
+def carried_back(firsts: DataFrame, key: str, stretch: str, value: str, name: str) -> DataFrame:
+    """For each key and stretch the least value of the stretches after it; firsts has one row a key and stretch."""
+    later = Window.partitionBy(key).orderBy(F.desc(stretch)).rowsBetween(Window.unboundedPreceding, -1)
+    return firsts.select(key, stretch, F.min(value).over(later).alias(name))
+
+
+def first_after(windows: DataFrame, incidents: DataFrame, key: str, opened: str, ts: str, id_col: str, stretch_hours: int = 24) -> DataFrame:
     """Forward as-of join: each window with the earliest later incident of its key, or null; no pair of rows is made.
 
-    Both sides go through one ordered pass from the newest row back. Null keys and times meet nothing.
+    A key is cut into stretches of time. Within a stretch both sides go through one ordered pass from the newest row back;
+    a window with no incident left in its stretch takes the first of the stretches after it, of which a key has as many as it
+    has stretches. So a key with very many rows is many tasks. Null keys and times meet nothing.
     """
     names, incident = windows.columns, F.struct(F.col(ts).alias("incident_ts"), F.col(id_col).alias("incident_id"))
     left = windows.withColumn("_at", micros(F.col(opened))).withColumn("_window", F.lit(True))
     right = incidents.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, micros(F.col(ts)).alias("_at"), F.lit(False).alias("_window"), incident.alias("_incident"))
-    later = Window.partitionBy(key).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_first", F.when(F.col("_at").isNotNull(), F.min("_incident").over(later)))
-    return both.where("_window").select(*names, "_first.incident_id", "_first.incident_ts")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_stretch", F.floor(F.col("_at") / (stretch_hours * 3_600_000_000)))
+    later = Window.partitionBy(key, "_stretch").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("_first", F.when(F.col("_at").isNotNull(), F.min("_incident").over(later))).where("_window")
+    after = carried_back(both.groupBy(key, "_stretch").agg(F.min("_incident").alias("_least")), key, "_stretch", "_least", "_after").where("_after is not null and _stretch is not null")
+    out = within.join(after, [key, "_stretch"], "left").withColumn("_first", F.coalesce("_first", "_after"))
+    return out.select(*names, "_first.incident_id", "_first.incident_ts")
 
 
 def breaker_states(events: DataFrame, key: str, ts: str, order: str, failed: str, opens_at: int = 5, reset_minutes: int = 10) -> DataFrame:
