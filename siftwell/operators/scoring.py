@@ -43,10 +43,17 @@ def gate(axes: Column, config: Config, what: int) -> Column:
 
 
 def semantic_boost(items: DataFrame, topics: DataFrame, id_col: str, vector_col: str, topic_vector: str, weight: str) -> DataFrame:
-    """(Weighted mean cosine with the topics - 0.5), within -0.3 and 0.5. Topics are a person's: a small table."""
-    met = items.select(id_col, vector_col).join(F.broadcast(topics.select(topic_vector, weight)))
-    mean = met.groupBy(id_col).agg((F.sum(cosine(F.col(vector_col), F.col(topic_vector)) * F.col(weight)) / F.sum(weight)).alias("m"))
-    return mean.select(id_col, F.round(F.greatest(F.lit(-0.3), F.least(F.col("m") - 0.5, F.lit(0.5))), 6).alias("boost"))
+    """(Weighted mean cosine with the topics - 0.5), within -0.3 and 0.5; one row an item.
+
+    Topics are a person's. They become one row, which is folded within each item's row, so that items are neither multiplied
+    nor shuffled. Without topics there is no boost (null).
+    """
+    book = topics.agg(F.collect_list(F.struct(F.col(topic_vector).alias("v"), F.col(weight).cast("double").alias("w"))).alias("_book"))
+    met = items.select(id_col, vector_col).join(F.broadcast(book))  # one row
+    total = F.aggregate("_book", F.lit(0.0), lambda a, t: a + cosine(F.col(vector_col), t["v"]) * t["w"])
+    weights = F.aggregate("_book", F.lit(0.0), lambda a, t: a + t["w"])
+    mean = F.when(weights > 0, total / weights)
+    return met.select(id_col, F.when(mean.isNotNull(), F.round(F.greatest(F.lit(-0.3), F.least(mean - 0.5, F.lit(0.5))), 6)).alias("boost"))
 
 
 def score_items(items: DataFrame, config: Config = Config()) -> DataFrame:
