@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 19
 #: Uses that a rule needs. Pairs are replaced until none is used so often.
 USES = 4
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Whole texts that a task is handed at once.
 BATCH_TEXTS = 512
 #: Bytes of texts that are looked up together, but for a text that has more.
@@ -126,9 +126,10 @@ def _frequent(pairs: np.ndarray, uses: int) -> np.ndarray:
     return values[often[np.lexsort((values[often], -counts[often]))]]
 
 
-def _hits(pairs: np.ndarray, places: np.ndarray, after: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the places with their pairs those at which chosen pairs are replaced, none overlapping another, and which of them
-    each is. Of pairs that share a slot of the table the first is taken; the others come in a later round."""
+def _hits(pairs: np.ndarray, places: np.ndarray, after: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places with their pairs those at which chosen pairs are replaced, none overlapping another, which of them each
+    is, and all places of chosen pairs. Of pairs that share a slot of the table the first is taken; the others come in a
+    later round."""
     if len(pairs) > FEW:
         table = np.full(1 << PAIR_BITS, -1, np.int32)
         table[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
@@ -143,16 +144,16 @@ def _hits(pairs: np.ndarray, places: np.ndarray, after: np.ndarray, chosen: np.n
     run = np.concatenate([[True], after[at[:-1]] != at[1:]])  # in a run of overlapping hits every second one is replaced
     first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
     even = (np.arange(len(at)) - first) % 2 == 0
-    return at[even], rule[hit[even]]
+    return at[even], rule[hit[even]], at
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules, expansion lengths and the documents' ends in symbols. ends: the documents' ends in ids.
 
     Rounds go on until no pair can be replaced `uses` times. Symbols stay where they are, linked to the next and the one
-    before, so that a round looks only at the pairs around the symbols of the round before; others were counted before. When
-    those give no rule, all pairs are counted once more. When the pairs of a round stand in each other's way, the better
-    half of them goes first.
+    before, so that a round looks only at the pairs around the symbols of the round before, and at the frequent pairs that
+    it left. When those give no rule, all pairs are counted once more. When the pairs of a round stand in each other's way,
+    the better half of them goes first.
     """
     n = len(ids)
     symbols, last, there = ids.astype(np.uint32), np.zeros(n, bool), np.ones(n, bool)
@@ -164,14 +165,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) ->
         if fresh is None:
             places = np.flatnonzero(there & ~last)
         else:
-            places = np.concatenate([fresh, before[fresh]])
+            places = np.concatenate([fresh, before[fresh], left[there[left]]])
             places = np.sort(places[places >= 0], kind="stable")
             places = places[np.concatenate([[True], places[1:] != places[:-1]]) & ~last[places]] if len(places) else places
         pairs = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[after[places]]
         chosen = _frequent(pairs, uses)
-        at = np.zeros(0, np.int64)
+        at, often = np.zeros(0, np.int64), None
         while len(chosen):
-            at, rule = _hits(pairs, places, after, chosen)
+            at, rule, held = _hits(pairs, places, after, chosen)
+            often = held if often is None else often
             used = np.bincount(rule, minlength=len(chosen))
             at, rule = at[used[rule] >= uses], rule[used[rule] >= uses]
             if len(at):
@@ -191,7 +193,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, uses: int = USES) ->
         symbols[at], last[at], there[gone] = number[rule], last[gone], False
         after[at] = after[gone]
         before[after[at]] = at
-        fresh = at
+        fresh, left = at, often
     symbols, last = symbols[there], last[there]
     out = np.zeros(len(ends), np.int64)
     out[np.diff(ends, prepend=0) > 0] = np.flatnonzero(last) + 1
