@@ -14,7 +14,9 @@ from siftwell.operators.staging import staged
 def exact(items: DataFrame, identity: Column, score: str, key: str) -> DataFrame:
     """The best row of each identity; rows of null or empty identity all stay."""
     named = items.withColumn("_i", identity)
-    rank = F.row_number().over(Window.partitionBy("_i").orderBy(F.desc(score), key))
+    # rows that all stay are no group, however many they are
+    alone = F.when(F.coalesce(F.col("_i"), F.lit("")) == "", F.col(key))
+    rank = F.row_number().over(Window.partitionBy("_i", alone).orderBy(F.desc(score), key))
     return named.withColumn("_r", rank).where("_r = 1 or _i is null or _i = ''").drop("_i", "_r")
 
 

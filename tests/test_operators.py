@@ -131,3 +131,11 @@ def test_streams(spark, tmp_path):
     assert first.count() == e.count()
     closed = jobs.run_available(jobs.sessions(stream(), "user_id", "ts", "30 minutes", "40 days"), str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert closed.count() <= sequences.merge_windows(e, ["user_id"], "ts", 30).count()
+
+
+def test_exact_dedup_keeps_the_least_of_equal_titles(spark, tmp_path):
+    from siftwell.plans import texts
+
+    rows = [(1, "A title", 7), (2, "...A title!!!", 13), (3, "", 0), (4, "!?", 2), (5, None, 0), (6, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in texts.exact_dedup(spark, str(tmp_path)).collect()) == [1, 3, 4, 5]
