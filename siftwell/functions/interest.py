@@ -59,20 +59,21 @@ def _term_score(term: str, title: Column, content: Column, text: Column, others:
     """What one word of an interest counts: in the title, in the text, by another name, in the plural, or by its root."""
     start = F.left(content, F.lit(early))
 
-    def found(name: str, value: float, effective: str) -> Column:
+    def found(value: float, effective: str) -> Column:
         raised = F.when(F.lit(value < 0.80) & (F.length(content) >= 3) & contains_word(start, effective), min(value + 0.10, 0.80)).otherwise(value)
-        weight = raised * frequency_factor(text, effective) if name else raised
-        return weight * F.when(negated(text, effective), 0.5).otherwise(1.0) if name and len(effective) >= 3 else weight
+        weight = raised * frequency_factor(text, effective)
+        return weight * F.when(negated(text, effective), 0.5).otherwise(1.0) if len(effective) >= 3 else weight
 
-    out = F.when(contains_word(title, term), found(term, 0.80, term)).when(contains_word(text, term), found(term, 0.55, term))
+    out = F.when(contains_word(title, term), found(0.80, term)).when(contains_word(text, term), found(0.55, term))
     for other in others:
-        out = out.when(contains_word(title, other), found(other, 0.80, other)).when(contains_word(text, other), found(other, 0.55, other))
+        out = out.when(contains_word(title, other), found(0.80, other)).when(contains_word(text, other), found(0.55, other))
     if others:
         many = lambda t: contains_word(t, f"{term}s") | contains_word(t, f"{term}es")
-        return out.when(many(title), found(term, 0.80, term)).when(many(text), found(term, 0.55, term)).otherwise(0.0)
+        return out.when(many(title), found(0.80, term)).when(many(text), found(0.55, term)).otherwise(0.0)
     root = _root(term)
     if len(root) >= 3:
-        out = out.when(_in_words(title, root), found("", 0.65, term)).when(_in_words(text, root), found("", 0.45, term))
+        # the beginning can hold the term only as part of a word that its end cuts
+        out = out.when(_in_words(title, root), 0.65).when(_in_words(text, root), 0.45)
     return out.otherwise(0.0)
 
 
@@ -81,7 +82,7 @@ def keyword_interest(title: Column, content: Column, interests: dict[str, float]
 
     A phrase of several words counts 0.95 in the title and 0.80 in the text, more if it comes often, half if the text turns
     away from it. Otherwise its words count each for itself, on average: whole words, other names, plurals of known names,
-    roots; with a little more at the beginning of the text. Nulls are empty.
+    roots; whole words with a little more at the beginning of the text. Nulls are empty.
     """
     title, content = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
     text = F.concat(title, F.lit(" "), content)

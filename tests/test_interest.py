@@ -54,3 +54,8 @@ def test_quality_factor(spark):
     # two words and a list: title 0.5
     assert got[3] == pytest.approx((0.5 * 0.5 + 0.09 + 0.2) * 0.7 + 0.5)
     assert got[4] == pytest.approx((0.65 * 0.5 + 0.09 + 0.2) * 0.7 + 0.5)
+
+
+def test_a_word_that_the_beginning_cuts_is_not_the_term(spark):
+    body = "x" * 196 + " rust" + "ed hulls"  # the first 200 characters end within the word
+    assert score(spark, {"rust": 1.0}, [("News", "x" * 195 + " rusted hulls"), ("News", body)]) == pytest.approx([0.45, 0.45])
