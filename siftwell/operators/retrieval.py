@@ -121,32 +121,37 @@ ALIASES = {
 }
 
 
-def recall_words(text: Column) -> Column:
-    """Lower case, with blanks for all but letters, digits, plus and number signs."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9+#]+", " "))
+#: The characters of a recall's words, as in a pattern's brackets.
+RECALL_LETTERS = "a-z0-9+#"
 
 
 def recall(rows: DataFrame, id_col: str, weights: dict[str, float], query: str, limit: int, vector_score: Column | None = None, vector_weight: float = 0.0) -> DataFrame:
     """The best rows for a question over weighted fields: id, score, matched (the fields that match, as weighted).
 
-    In each field the whole question counts 4, each of its words of three characters or more and each of their other names
+    Words are runs of a-z, 0-9, plus and number signs in lower case. In each field the whole question counts 4, each of its words of three characters or more and each of their other names
     counts 2 as a word and 1 within one. `vector_score`, a column of cosines, adds its part times `vector_weight` to rows
-    that match. Ties go to the smaller id; nulls are empty.
+    that match. Ties go to the smaller id; nulls are empty. Texts are read once: their counts are written.
     """
     phrase = " ".join(re.findall("[a-z0-9+#]+", query.lower()))
     found = [w for w in phrase.split(" ") if len(w) >= 3 and w not in RECALL_STOP_WORDS]
     terms = list(dict.fromkeys(t for w in found for t in (w, *ALIASES.get(w, ()))))
-    scored = rows
-    for at, name in enumerate(weights):
-        text = recall_words(F.col(name))
-        value = F.when(F.contains(text, F.lit(phrase)), 4).otherwise(0) if len(phrase) >= 3 else F.lit(0)
+    extra = F.coalesce(vector_score, F.lit(0.0)) * vector_weight if vector_score is not None else F.lit(0.0)
+    texts = [F.lower(F.coalesce(F.col(name).cast("string"), F.lit(""))).alias(f"_text{at}") for at, name in enumerate(weights)]
+    low, values = rows.select(F.col(id_col), extra.alias("_vector"), *texts), []
+    for at in range(len(weights)):
+        text = F.col(f"_text{at}")
+        has = lambda s, text=text: F.contains(text, F.lit(s))
+        whole = F.rlike(text, F.lit(f"[^{RECALL_LETTERS}]+".join(map(re.escape, phrase.split(" ")))))
+        value = F.when(has(phrase) | (has(phrase.split(" ")[0]) & whole), 4).otherwise(0) if len(phrase) >= 3 else F.lit(0)
         for t in terms:
-            value = value + F.when(F.array_contains(F.split(text, " "), t), 2).when(F.contains(text, F.lit(t)), 1).otherwise(0)
-        scored = scored.withColumn(f"_field{at}", value)
+            # a search for the term comes first and a pattern last, as patterns take longest
+            word = has(f" {t} ") | F.rlike(text, F.lit(f"(?<![{RECALL_LETTERS}]){re.escape(t)}(?![{RECALL_LETTERS}])"))
+            value = value + F.when(~has(t), 0).when(word, 2).otherwise(1)
+        values.append(value.alias(f"_field{at}"))
+    scored = staged(low.select(id_col, "_vector", *values), "recall-counts")
     total = sum((F.col(f"_field{at}") * w for at, w in enumerate(weights.values())), F.lit(0.0))
     matched = F.array_compact(F.array(*[F.when(F.col(f"_field{at}") > 0, name) for at, name in enumerate(weights)]))
-    extra = F.coalesce(vector_score, F.lit(0.0)) * vector_weight if vector_score is not None else F.lit(0.0)
-    out = scored.select(F.col(id_col), F.round(total, 6).alias("_lexical"), extra.alias("_vector"), matched.alias("matched")).where("_lexical > 0")
+    out = scored.select(F.col(id_col), F.round(total, 6).alias("_lexical"), "_vector", matched.alias("matched")).where("_lexical > 0")
     return out.select(id_col, F.round(F.col("_lexical") + F.col("_vector"), 6).alias("score"), "matched").orderBy(F.desc("score"), id_col).limit(limit)
 
 

@@ -124,3 +124,11 @@ def test_find_keeps_the_best_of_a_path(spark):
     told = spark.createDataFrame([(4, "a", 0.95), (5, "b", 0.5), (6, None, 0.4), (7, "c", 0.1)], schema)
     got = [(r.id, r.by) for r in retrieval.find(near, told, "path", "id", 4).collect()]
     assert got == [(4, "keyword"), (2, "vector"), (3, "vector"), (6, "keyword")]
+
+
+def test_recall_reads_texts_once(spark):
+    docs = spark.createDataFrame([(1, "C++, for\n\nall"), (2, "c++ forall"), (3, "(C++)"), (4, "c+++ for all"), (5, "for -- all, c++")], "id long, what string")
+    got = retrieval.recall(docs, "id", {"what": 1.0}, "C++ for all", 10)
+    assert [(r.id, r.score) for r in got.collect()] == [(1, 10.0), (5, 6.0), (4, 5.0), (2, 4.0), (3, 2.0)]
+    plan = got._jdf.queryExecution().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
