@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.staging import discard, staged
-from siftwell.operators.vectors import near_pairs
+from siftwell.operators.vectors import nearest
 
 
 def mutual_edges(rows: DataFrame, id_col: str, vector_col: str, k: int = 3, floor: float = 0.55) -> DataFrame:
     """Edges a < b between rows that are among each other's k nearest by cosine, at least `floor`; ties to the smaller id."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    near = staged(near_pairs(rows, id_col, vector_col, floor, most=k).withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "cosine"), "nearest")
+    near = staged(nearest(rows, id_col, vector_col, k, floor).withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "cosine"), "nearest")
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return near.join(back, ["a", "b"], "left_semi").where("a < b").select("a", "b", F.col("cosine").alias("weight"))
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import jaccard
-from siftwell.operators.greedy import greedy, pairs_as_groups
-from siftwell.operators.vectors import near_pairs
+from siftwell.operators.vectors import leaders
 
 #: Words without weight in headings, and words that speak for and against.
 LIGHT = ("a", "an", "the", "in", "of", "for", "to", "and", "is", "new")
@@ -34,10 +32,7 @@ def topic_clusters(items: DataFrame, alike: float = ALIKE, close: float = CLOSE,
     bonus; mixed clusters have words for and against in their headings. Null sources count as one source.
     """
     usable = items.where((F.col("score") >= floor) & F.col("id").isNotNull() & F.exists("vector", lambda x: x != 0))
-    words = usable.select("id", heading_words(F.col("title")).alias("w"), (-F.col("score")).alias("place"))
-    pairs = near_pairs(usable, "id", "vector", min(alike, close)).join(words.toDF("a", "wa", "pa"), "a").join(words.toDF("b", "wb", "pb"), "b")
-    pairs = pairs.where((F.col("cosine") > alike) | ((F.col("cosine") > close) & (jaccard(F.col("wa"), F.col("wb")) > shared)))
-    taken = greedy(pairs_as_groups(pairs, "a", "b", "pa", "pb"))
+    taken = leaders(usable.withColumn("w", heading_words(F.col("title"))), "id", "vector", "w", -F.col("score").cast("double"), alike, close, shared)
     low = F.lower(F.coalesce("title", F.lit("")))
     says = lambda phrases: F.lit(False) if not phrases else F.contains(low, F.lit(phrases[0])) | says(phrases[1:])
     each = usable.select("id", F.coalesce("source", F.lit("")).alias("source"), says(GOOD).alias("good"), says(BAD).alias("bad")).join(taken, "id", "left")

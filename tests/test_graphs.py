@@ -169,3 +169,46 @@ def test_communities(spark):
     assert sorted(map(tuple, graph.communities(df.repartition(3)).collect())) == sorted(map(tuple, got))
     assert all(min(r.id for r in got if r.community == c) == c for c in {r.community for r in got})
     assert graph.communities(df.where("false")).collect() == []
+
+
+def test_nearest_writes_no_vector_for_each_comparison(spark, monkeypatch):
+    import numpy as np
+
+    from siftwell.operators import vectors
+
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 8)
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    rng = np.random.RandomState(1)
+    x = rng.randn(300, 6)
+    x[100:130] = x[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 6), (901, None), (902, [1.0, 2.0]), (903, [2.0, 4.0]), (None, [1.0] * 6), (904, [float("nan")] * 6)]
+    got = vectors.nearest(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 3, 0.3)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString() and "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    best: dict = {}
+    for r in got.collect():
+        best.setdefault(r.a, []).append((-r.cosine, r.b))
+    for i in range(300):
+        assert sorted(best[i])[:3] == sorted((-c[i, j], j) for j in range(300) if j != i and c[i, j] >= 0.3)[:3]
+    assert [best[902], best[903]] == [[(-1.0, 903)], [(-1.0, 902)]] and set(best) == set(range(300)) | {902, 903}
+
+
+def test_leaders_in_rounds(spark, monkeypatch):
+    import numpy as np
+
+    from siftwell.operators import vectors
+
+    monkeypatch.setattr(vectors, "LEADERS", 9)
+    rng = np.random.RandomState(2)
+    x, w, p = rng.randn(120, 4), [[f"w{n}" for n in rng.randint(0, 12, 3)] for _ in range(120)], rng.randint(0, 20, 120).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c, share = np.round(u @ u.T, 9), lambda i, j: len(set(w[i]) & set(w[j])) / len(set(w[i]) | set(w[j]))
+    want: dict = {}
+    for i in sorted(range(120), key=lambda i: (p[i], i)):
+        if i not in want:
+            want |= {j: i for j in range(120) if j not in want and (j == i or c[i, j] > 0.8 or (c[i, j] > 0.5 and share(i, j) > 0.4))}
+    df = spark.createDataFrame([(i, x[i].tolist(), w[i], float(p[i])) for i in range(120)], "id long, v array<double>, w array<string>, p double")
+    got = vectors.leaders(df, "id", "v", "w", F.col("p"), 0.8, 0.5, 0.4)
+    assert {r.id: r.kept_id for r in got.collect()} == want
+    assert vectors.leaders(df.where("false"), "id", "v", "w", F.col("p"), 0.8, 0.5, 0.4).collect() == []
