@@ -54,3 +54,31 @@ def test_breakers_reset(spark, tmp_path, opens_at):
     states = [(key, n, is_open, minutes(at)) for _, key, n, is_open, at in rows]
     assert [s for s in states if s[0] == "a"] == [("a", 2, False, 1), ("a", 3, True, 2), ("a", 0, False, 12), ("a", 1, False, 32)]
     assert [s for s in states if s[0] == "b"] == [("b", 0, False, 2), ("b", 1, False, 3), ("b", 0, False, 30), ("b", 0, False, 31)]
+
+
+def test_pending_changes_ask_the_store_once_a_batch():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                return {"exists": lambda: None in self.value, "get": lambda: self.value[None], "update": lambda v: self.value.update({None: v}), "clear": self.value.clear, "iterator": lambda: iter(list(self.value.items())), "updateValue": lambda k, v: self.value.update({k: v}), "containsKey": lambda k: k in self.value, "getValue": lambda k: self.value[k]}[name](*a)
+
+            return call
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: State()
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")
+
+    part = pd.DataFrame({"path": [f"p{n % 3}" for n in range(500)], "at": [pd.Timestamp(START) + pd.Timedelta(minutes=n // 2) for n in range(500)], "kind": "changed"})
+    job = windows._Pending(0, 10)
+    job.init(Handle())
+    got = pd.concat([out for half in (part[:250], part[250:]) for out in job.handleInputRows((0,), iter([half]), None)])
+    assert len(calls) < 25
+    assert len(got) == 499 and set(got.changes) == {1} and got.dropped.sum() == 0
