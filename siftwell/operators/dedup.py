@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,28 @@ def exact(items: DataFrame, identity: Column, score: str, key: str) -> DataFrame
 FREQUENT = 4096
 
 
+#: Longs of a sketch: a set's words toggle its bits.
+SKETCH = 16
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """Parity sketches of the sets (id, n, w) of hashes: (id, n, s0, s1, ...)."""
+
+    def toggled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("w")
+            row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+            bits = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
+            np.bitwise_xor.at(bits, (row, words.flatten().to_numpy(zero_copy_only=False) % (64 * SKETCH)), 1)
+            longs = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *[pa.array(longs[:, at]) for at in range(SKETCH)]], ["id", "n", *[f"s{at}" for at in range(SKETCH)]])
+
+    schema = sets.select("id", "n").schema
+    for at in range(SKETCH):
+        schema = schema.add(f"s{at}", "long")
+    return sets.select("id", "n", "w").mapInArrow(toggled, schema)
+
+
 def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Word sets with Jaccard similarity of at least the threshold: pairs (a, b, similarity) of sets, a < b, and the
     members (set, id) of each set, which is named by its least id.
@@ -31,7 +56,8 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
     Equal sets are one set, so that copies do not multiply. Sets that are similar share one of the first
     n - ceil(t n) + 1 words of each in any order of words; here the rarest come first. Rows meet on such a word and a band of
     sizes, which splits the rows of a frequent word, and only where the words that follow can still suffice. Words are told
-    apart by 64 bits of hash. Rows without words have no part in it.
+    apart by 64 bits of hash. Sketches drop pairs that cannot be similar before their words meet. Rows without words have no
+    part in it.
     """
     hashed = items.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") > 0)
     same = staged(hashed.groupBy(F.xxhash64("w").alias("h"), F.size("w").alias("n"), F.hash("w").alias("g")).agg(F.min(F.struct("id", "w")).alias("s"), F.collect_list("id").alias("ids")), "word-sets")
@@ -54,7 +80,12 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
     overlap = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap)
     met = both.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = met.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    # a bit in which two sketches differ is a word that one of the sets has alone; few pairs get as far as whole sets
+    marks = staged(sketches(sets), "word-sketches")
+    one, two = (marks.toDF(end, f"n{end}", *[f"{end}{at}" for at in range(SKETCH)]) for end in "ab")
+    differ = sum((F.bit_count(F.col(f"a{at}").bitwiseXOR(F.col(f"b{at}"))) for at in range(SKETCH)), F.lit(0))
+    met = met.join(one, "a").join(two, "b").where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b")
+    found = staged(met, "word-candidates").join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     value = common / (F.size("wa") + F.size("wb") - common)
     return found.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= threshold), members

@@ -139,3 +139,19 @@ def test_exact_dedup_keeps_the_least_of_equal_titles(spark, tmp_path):
     rows = [(1, "A title", 7), (2, "...A title!!!", 13), (3, "", 0), (4, "!?", 2), (5, None, 0), (6, None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in texts.exact_dedup(spark, str(tmp_path)).collect()) == [1, 3, 4, 5]
+
+
+def test_few_pairs_of_word_sets_reach_the_comparison_of_words(spark, monkeypatch):
+    rows = [(n, [f"w{n}-{i}" for i in range(60)] + [f"common{n // 2}-{i}" for i in range(40)]) for n in range(40)] + [(90, [f"w0-{i}" for i in range(60)] + [f"common0-{i}" for i in range(38)])]
+    written = {}
+
+    def staged(df, label, real=dedup.staged):
+        out = written[label] = real(df, label)
+        return out
+
+    monkeypatch.setattr(dedup, "staged", staged)
+    pairs, _ = dedup.similar_sets(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w", 0.5)
+    assert [(r.a, r.b, round(r.similarity, 6)) for r in pairs.collect()] == [(0, 90, 0.98)]
+    assert written["word-candidates"].count() == 1
+    for r in dedup.sketches(written["word-sets"].select("s.id", "n", F.col("s.w").alias("w"))).collect():
+        assert sum((v & (2**64 - 1)).bit_count() for v in r[2:]) % 2 == r.n % 2 and r.n - 20 <= sum((v & (2**64 - 1)).bit_count() for v in r[2:]) <= r.n
