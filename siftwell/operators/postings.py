@@ -15,6 +15,8 @@ from siftwell.operators.staging import broadcast_within
 BUCKETS = 64
 POSTINGS = "id long, batch long, term string, field string, tf long, length long, bucket int"
 ITEMS = "id long, batch long, lengths map<string,long>"
+#: Bytes of text for each task of a batch: tasks grow in number and not in size.
+TASK_BYTES = 16 << 20
 #: Items replaced up to which they are broadcast to a search.
 BROADCAST_REPLACED = 500_000
 
@@ -40,14 +42,18 @@ def add_batch(items: DataFrame, path: str, batch: int, id_col: str, fields: dict
     """
     spark = items.sparkSession
     texts = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(f) for f, c in fields.items()])
-    one = items.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(texts).alias("t"))
+    each_id = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), texts.alias("t"))
+    size = each_id.agg(F.sum(sum((F.octet_length(f"t.{f}") for f in fields), F.lit(0).cast("long")))).first()[0] or 0
+    tasks = 1 + size // TASK_BYTES
+    one = each_id.repartition(tasks, "id").groupBy("id").agg(F.min("t").alias("t"))
     split = one.select("id", *[ascii_words(F.col(f"t.{f}")).alias(f) for f in fields])
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("w")) for f in fields])
+    files = max(8, tasks // 32)
     rows = split.select("id", F.explode(each).alias("e")).select("id", "e.field", F.size("e.w").cast("long").alias("length"), F.explode("e.w").alias("term"))
     counted = rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    parts = counted.select("id", "term", "field", "tf", "length", _bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(8)).alias("part"))
+    parts = counted.select("id", "term", "field", "tf", "length", _bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(files)).alias("part"))
     # a bucket's rows are dealt to several files, sorted by term, so that a frequent term is no single task
-    parts = parts.repartition("bucket", "part").sortWithinPartitions("bucket", "term").drop("part")
+    parts = parts.repartition(min(BUCKETS * files, 2 * tasks), "bucket", "part").sortWithinPartitions("bucket", "term").drop("part")
     parts.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     lengths = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.size(f).cast("long") for f in fields]))
     split.select("id", lengths.alias("lengths")).write.mode("overwrite").parquet(f"{path}/items/batch={batch}")

@@ -132,3 +132,13 @@ def test_recall_reads_texts_once(spark):
     assert [(r.id, r.score) for r in got.collect()] == [(1, 10.0), (5, 6.0), (4, 5.0), (2, 4.0), (3, 2.0)]
     plan = got._jdf.queryExecution().toString()
     assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_tasks_of_a_batch_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "TASK_BYTES", 2000)
+    rows = [(n, f"word{n} common " * 20) for n in range(600)]
+    postings.add_batch(spark.createDataFrame(rows, "id long, body string"), f"file://{tmp_path}/index", 1, "id", {"body": "body"})
+    found = postings._read(spark, f"file://{tmp_path}/index", "postings", postings.POSTINGS)
+    common = found.where("term = 'common'").groupBy(F.input_file_name()).count().collect()
+    assert len(common) > 1 and max(r["count"] for r in common) < 600 / 4
+    assert found.count() == 1200 and postings.search(spark, f"file://{tmp_path}/index", "word17", 5, {"body": 1.0}).first().id == 17
