@@ -149,12 +149,15 @@ def least_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: A node with more than this share of all edges is hot, so that at most 2 / HOT_SHARE nodes are; those are broadcast.
 HOT_SHARE = 1 / 500
+#: Edges that one task takes (1.6 MB of ids); a graph of no more needs no shuffle. Larger ones are dealt out by node.
+TASK_EDGES = 100_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """Edges (a, b) with the column low of their a in `least` (a, low, n); the edges of hot nodes are not brought together."""
-    if n_edges <= 1000:
-        return edges.join(least.select("a", "low"), "a")
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int, few: bool) -> DataFrame:
+    """Edges (a, b) with the column low of their a in `least` (a, low, n); the edges of hot nodes are not brought together,
+    unless so few edges are in one task anyway."""
+    if few:
+        return edges.join(least.select("a", "low").hint("merge"), "a")
     hot = least.where(F.col("n") > max(1000, n_edges * HOT_SHARE)).select("a", F.col("low").alias("hot_low"))
     cut = edges.join(F.broadcast(hot), "a", "left")
     rest = cut.where("hot_low is null").select("a", "b").join(least.select("a", "low"), "a")
@@ -165,19 +168,23 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): rows (id, component), component being the smallest id reachable.
 
     Alternating large-star and small-star rounds; each round is two aggregations with map-side combine and two joins, from
-    which the edges of nodes with very many are kept out; both halves are written to the shared folder. Ids without an edge to
-    another id are not returned. Null ids are left out.
+    which the edges of nodes with very many are kept out; both halves are written to the shared folder. While there are few
+    edges, a half is one task without a shuffle: else a handful of rows costs the driver some thousand tasks. Ids without an
+    edge to another id are not returned. Null ids are left out.
     """
     live = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     while True:
+        few = mark[0] <= TASK_EDGES
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if few else both
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
-        large = _with_least(both.where("b > a"), low, 2 * mark[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = _with_least(both.where("b > a"), low, 2 * mark[0], few).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         large = staged(large, "edges")
         discard(live)
-        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
-        small = _with_least(large, least, mark[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        held = large.coalesce(1) if few else large
+        least = held.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = _with_least(held, least, mark[0], few).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         live = staged(small, "edges")
         discard(large)
         before, mark = mark, live.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

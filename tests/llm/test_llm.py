@@ -39,6 +39,29 @@ def test_components(spark):
     assert {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8}
 
 
+@pytest.mark.parametrize("task_edges", [100_000, 0])
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch, task_edges):
+    """Rounds over a handful of edges gave the driver a task for each shuffle partition, half after half."""
+    monkeypatch.setattr("siftwell.llm.common.TASK_EDGES", task_edges)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10] + [(100, i) for i in range(101, 140)], "a long, b long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group := f"components-{task_edges}", "")
+    try:
+        got = {r.id: r.component for r in components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert task_edges == 0 or tasks < 150
+
+
+
 # 1: byte-level BPE
 
 
