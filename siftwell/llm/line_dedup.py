@@ -191,7 +191,8 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = 10, *, id_col: st
 def line_digest(docs: DataFrame, least_chars: int = 10) -> DataFrame:
     """One row per document: doc_id, n_lines (before dropping), n_dropped, kept_sha256 of the lines left, joined by \\n.
 
-    Nulls, ties and repeats are as in `keep_bitmaps`; a null text counts as an empty one, of one line.
+    Nulls, ties and repeats are as in `keep_bitmaps`; a null text counts as an empty one, of one line. The digests are
+    written and read again, so that a task holds few texts at once whoever uses them.
     """
     rows = _rows(docs, "doc_id", "text")
     bitmaps = keep_bitmaps(docs, least_chars)
@@ -206,4 +207,8 @@ def line_digest(docs: DataFrame, least_chars: int = 10) -> DataFrame:
                 digests.append(hashlib.sha256(text if keep is None else b"\n".join(kept_lines(text, keep))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2), pa.array(digests)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.mapInArrow(made, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    # Written here, since the size of Arrow batches is read when a job starts; up to 10,000 texts would be one batch else.
+    with batches_of(docs.sparkSession, BATCH_TEXTS):
+        digests = staged(joined.mapInArrow(made, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"), "line-digests")
+    discard(bitmaps)
+    return digests

@@ -131,6 +131,15 @@ def test_lines_equal_sql(spark, duck):
     same_as_twin(spark, duck, "op12_line_dedup", oracles.OP12)
 
 
+def test_lines_digest_takes_few_texts_at_once(spark, odd, monkeypatch):
+    held = {}
+    real = line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, label: held.update({label: int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))}) or real(df, label))
+    got = line_dedup.line_digest(odd)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert {held[label] for label in ("lines", "line-digests")} == {line_dedup.BATCH_TEXTS}
+
+
 @pytest.mark.parametrize("rows", [7, 1_000_000])
 def test_lines_odd(spark, odd, rows, monkeypatch):
     monkeypatch.setattr(line_dedup.keep_bitmaps, "__defaults__", (10, rows if rows > 1000 else 4_000))
