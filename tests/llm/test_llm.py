@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -622,6 +624,36 @@ def test_grammar_leaves_no_frequent_pair():
     assert max(used.values()) < token_output.USES
 
 
+def test_token_words_with_digits_and_marks_ask_the_model_many_at_once(monkeypatch):
+    t, got = Tokenizer.from_file(WORDS), token_output.WordTokens(WORDS)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abzABZ\xe9\xc9\xdf\xff\xc0\xde09.-_\"\\<>!", k=rnd.randint(1, 12))) for _ in range(3000)]
+    other = ["a\xd7b", "\xf7", "don't", "x<|endoftext|>y", "a|b", "\u0130x", "e\u0301", "\u212a", "\xb2\xaa", "a\tb\x00", "\u65e5\u672c", "z" * 300, ""]
+    asked = []
+
+    class Watched:
+        def encode_batch(self, some, **how):
+            asked.extend(some)
+            return t.encode_batch(some, **how)
+
+    got.tokenizer = Watched()
+    texts = [" ".join(words[k : k + 7]) for k in range(0, 3000, 7)] + other
+    ids, counts = got.ids_of(pa.array([*texts, None]))
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert list(ids) == sum(want, []) and list(counts) == [*map(len, want), 0]
+    assert not set(words) & set(asked) and set(asked) == set(other)
+    monkeypatch.setattr(token_output, "KEPT_WORDS", 100)
+    assert all(list(x) == list(y) for x, y in zip(got.ids_of(pa.array([*texts, None])), (ids, counts), strict=True))
+
+
+def test_token_chunks():
+    schema = pa.schema({"doc_id": pa.int64(), "text": pa.string()})
+    batches = [pa.record_batch({"doc_id": [k], "text": [x]}, schema) for k, x in enumerate(["a" * 3_000_000, None, "", "b" * 3_000_000, "c" * 9_000_000])]
+    large = pa.record_batch({"doc_id": [9, 10, 11], "text": ["d" * 5_000_000, "e" * 5_000_000, "f"]}, schema)
+    got = list(token_output._chunks(iter([*batches, large, large.slice(0, 0)])))
+    assert [x.column(0).to_pylist() for x in got] == [[0, 1, 2, 3], [4], [9], [10, 11]]
+
+
 def test_token_files_odd(spark, odd):
     assert token_output.token_digest(odd, WORDS).count() == len(ODD) and token_output.token_digest(odd.limit(0), WORDS).collect() == []
 
