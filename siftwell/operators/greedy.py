@@ -13,7 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.staging import discard, staged
+from siftwell.operators.staging import broadcast_within, discard, staged
+
+#: Rows of a side of a join that is broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def greedy(groups: DataFrame) -> DataFrame:
@@ -48,6 +51,29 @@ def greedy(groups: DataFrame) -> DataFrame:
     return best
 
 
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """What `greedy` does for groups of two: rows (second, first) of displaced rows with the best kept one.
+
+    pairs: (first, second), each once, longs that tell the rows and their order; the smaller is better. A row of a pair is
+    two numbers here, so that many pairs take little disk.
+    """
+    rows = staged(pairs.select("first", "second"), "greedy-pairs")
+    left, displaced = staged(rows, "greedy-open"), []
+    while not left.isEmpty():
+        # kept now: second in no pair
+        kept = staged(left.select("first").distinct().join(left.select(F.col("second").alias("first")).distinct(), "first", "left_anti"), "greedy-kept")
+        displaced.append(staged(left.join(broadcast_within(kept, BROADCAST_ROWS), "first", "left_semi").select("second").distinct(), "greedy-displaced"))
+        gone = displaced[-1]
+        rest = left.join(broadcast_within(kept.union(gone), BROADCAST_ROWS), "first", "left_anti").join(broadcast_within(gone, BROADCAST_ROWS), "second", "left_anti")
+        before, left = left, staged(rest.select("first", "second"), "greedy-open")
+        discard(before, kept)
+    out = broadcast_within(reduce(DataFrame.union, displaced, rows.where("false").select("second")), BROADCAST_ROWS)
+    best = rows.join(out, "second", "left_semi").join(out.withColumnRenamed("second", "first"), "first", "left_anti").groupBy("second").agg(F.min("first").alias("first"))
+    best = staged(best, "greedy")
+    discard(rows, left, *displaced)
+    return best
+
+
 def _of_several(rows: DataFrame) -> DataFrame:
     """Rows of groups with more than one row."""
     sizes = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")

@@ -212,3 +212,44 @@ def test_leaders_in_rounds(spark, monkeypatch):
     got = vectors.leaders(df, "id", "v", "w", F.col("p"), 0.8, 0.5, 0.4)
     assert {r.id: r.kept_id for r in got.collect()} == want
     assert vectors.leaders(df.where("false"), "id", "v", "w", F.col("p"), 0.8, 0.5, 0.4).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_greedy_pairs_equal_one_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(greedy, "BROADCAST_ROWS", most)
+    rng = random.Random(12)
+    pairs = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(260)})
+    got = {r.second: r.first for r in greedy.greedy_pairs(spark.createDataFrame(pairs, "first long, second long")).collect()}
+    assert got == greedy_by_hand([(n, n) for n in range(120)], pairs)
+    assert greedy.greedy_pairs(spark.createDataFrame([], "first long, second long")).collect() == []
+
+
+def rows_shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(at).shuffleWriteRecords() for at in range(stages.size()))
+
+
+def test_fuzzy_shuffles_no_pairs_of_sets_that_differ(spark):
+    rng = random.Random(9)
+    rows = [(n, 1.0, rng.sample([f"w{k}" for k in range(120)], 50)) for n in range(600)] + [(900, 2.0, None), (901, 2.0, [])]
+    rows.append((902, 3.0, rows[7][2][:-2] + ["other", "words"]))
+    before = rows_shuffled(spark)
+    got = {r.id: (r.kept_id, r.similar_count) for r in dedup.fuzzy(spark.createDataFrame(rows, "id long, score double, w array<string>"), "id", "w", "score").collect()}
+    # nearly all of the 180,300 pairs share a word of their beginnings; the words alone are 30,050
+    assert rows_shuffled(spark) - before < 15_000
+    assert got == {n: (n, 0) for n, _, _ in rows} | {7: (902, 0), 902: (902, 1)}
+
+
+def test_similar_sets_in_many_blocks_and_cells(spark, monkeypatch):
+    for name, value in (("BLOCK_SETS", 8), ("BLOCKS_A_TASK", 2), ("PART_BYTES", 4096), ("BROADCAST_NEEDS", 3), ("TOGGLED", 4096)):
+        monkeypatch.setattr(dedup, name, value)
+    rng, rows = random.Random(10), []
+    for n, size in enumerate([1, 2, 3, 7, 15, 31, 64, 90, 200, 700, 1500] * 3):
+        base = [f"b{n}-{k}" for k in range(size)]
+        for copy in range(6):
+            words = [w if rng.random() > 0.04 * copy else f"x{rng.randrange(10**9)}" for w in base] + [f"y{rng.randrange(10**9)}" for _ in range(size * copy // 12)]
+            rows.append((len(rows), rng.sample(words, len(words))))
+    for threshold in (0.35, 0.65, 0.9):
+        got = sorted((r.a, r.b, r.similarity) for r in dedup.similar_pairs(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w", threshold).collect())
+        assert got == [(a, b, s) for a, x in rows for b, y in rows[a + 1 :] if (s := jaccard(set(x), set(y))) >= threshold]
