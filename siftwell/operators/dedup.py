@@ -32,6 +32,7 @@ TOGGLED = 1 << 19
 BLOCK_SETS, BLOCK_BYTES, BLOCKS_A_TASK, LEAST_SIDES = 4096, 1 << 20, 8, 4
 #: Bytes of words of one part of the sets that are compared word by word; a task holds two parts. Partners compared at once.
 PART_BYTES, PARTNERS = 32 << 20, 1024
+#: Sets that are broadcast at most, with the cells that need them.
 BROADCAST_NEEDS = 1_000_000
 
 
@@ -145,6 +146,24 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
     return met
 
 
+def _cells(met: DataFrame) -> DataFrame:
+    """Candidates (a, na, b, nb) dealt into cells: (cell, a, b). A cell has sets of two parts, each of PART_BYTES of words or so.
+
+    Sets around one least set are of one part, so that most words go to one cell; where these are many, they are dealt by set.
+    """
+    both = met.select("a", "na", "b").union(met.select("b", "nb", "a")).toDF("id", "n", "other")
+    named = both.groupBy("id").agg(F.min("n").alias("n"), F.least("id", F.min("other")).alias("label"))
+    named = staged(named, "word-labels")
+    parts = max(1, -(-8 * (named.agg(F.sum("n")).first()[0] or 0) // PART_BYTES))
+    large = named.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > PART_BYTES // 8).select("label", F.lit(True).alias("large"))
+    name = F.when(F.col("large"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
+    part = staged(named.join(broadcast_within(large, BROADCAST_NEEDS), "label", "left").select("id", F.pmod(name, F.lit(parts)).alias("part")), "word-parts")
+    dealt = met.select("a", "b")
+    for end in "ab":
+        dealt = dealt.join(broadcast_within(part.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}")), BROADCAST_NEEDS), end)
+    return dealt.select((F.least("part_a", "part_b") * parts + F.greatest("part_a", "part_b")).alias("cell"), "a", "b")
+
+
 def _counted(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
     """Of pairs (a, b) of the sets (id, w) those with a similarity of at least the threshold; words ascend."""
     words = sets["w"].combine_chunks()
@@ -193,10 +212,7 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
     sets = staged(marked.groupBy("h", "n", "g").agg(F.min("id").alias("id"), F.first("m").alias("m")), "word-sketches")
     members = staged(narrow.join(sets.select("h", "n", "g", F.col("id").alias("set")), ["h", "n", "g"]).select("set", "id"), "word-members")
     met = _candidates(sets, threshold)
-    ends = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("e")).select("e.*").distinct()
-    parts = max(1, -(-8 * (ends.agg(F.sum("n")).first()[0] or 0) // PART_BYTES))
-    part = [F.pmod(F.xxhash64(end), F.lit(parts)) for end in "ab"]
-    dealt = met.select((F.least(*part) * parts + F.greatest(*part)).alias("cell"), "a", "b")
+    dealt = staged(_cells(met), "word-cells")
     needs = broadcast_within(dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_NEEDS)
     held = rows.select(F.col("s.id").alias("id"), F.col("s.w").alias("w")).join(needs, "id").select(F.col("cell").alias("of"), "id", "w")
     kind = sets.schema["id"].dataType.simpleString()
@@ -206,7 +222,7 @@ def similar_sets(items: DataFrame, key: str, words: str, threshold: float) -> tu
 
     found = dealt.groupBy("cell").cogroup(held.groupBy("of")).applyInArrow(counted, f"a {kind}, b {kind}, similarity double")
     pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"), "word-pairs")
-    discard(sets)
+    discard(sets, dealt)
     return pairs, members
 
 

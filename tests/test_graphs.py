@@ -253,3 +253,20 @@ def test_similar_sets_in_many_blocks_and_cells(spark, monkeypatch):
     for threshold in (0.35, 0.65, 0.9):
         got = sorted((r.a, r.b, r.similarity) for r in dedup.similar_pairs(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w", threshold).collect())
         assert got == [(a, b, s) for a, x in rows for b, y in rows[a + 1 :] if (s := jaccard(set(x), set(y))) >= threshold]
+
+
+def test_word_jaccard_sends_the_words_of_a_group_of_near_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PART_BYTES", 16384)
+    rows = [(n, [f"c{n // 4}-{k}" for k in range(30)] + [f"own{n}"]) for n in range(400)]
+    sent = []
+
+    def staged(df, label, real=dedup.staged):
+        out = real(df, label)
+        if label == "word-cells":
+            sent.append(out.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().count())
+        return out
+
+    monkeypatch.setattr(dedup, "staged", staged)
+    pairs = dedup.similar_pairs(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w", 0.65).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(a, b) for a in range(400) for b in range(a + 1, 400) if a // 4 == b // 4]
+    assert sent == [400]
